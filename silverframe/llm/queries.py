@@ -34,12 +34,47 @@ def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_codes(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from silverframe.llm.simhash import near_duplicates
+
+    groups = near_duplicates(table(spark, sf_dir, "documents"), bits=3, shingle=3, seed=42)
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from silverframe.llm.decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=5, threshold=0.8)
+
+
+SHINGLES_SQL = """
+    SELECT id, array_to_string(CASE WHEN len(w) < 5 THEN w ELSE w[i:i + 4] END, ' ') AS s
+    FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i
+          FROM (SELECT {id} AS id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM {table})
+          WHERE len(w) > 0)
+"""
+
+OP8_SQL = f"""
+WITH d AS (SELECT DISTINCT * FROM ({SHINGLES_SQL.format(id="doc_id", table="documents")})),
+     b AS (SELECT DISTINCT * FROM ({SHINGLES_SQL.format(id="item_id", table="benchmark")})),
+     n AS (SELECT id, count(*) AS n FROM b GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, any_value(n.n) AS n_shingles, count(*) AS n_shared, count(*)::DOUBLE / any_value(n.n) AS containment
+FROM d JOIN b USING (s) JOIN n ON n.id = b.id
+GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(n.n) - 1e-9
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
         "op5_token_codes": op5_token_codes,
+        "op6_simhash": op6_simhash,
+        "op8_decontamination": op8_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL over whole tables, for the queries that it can express."""
+    return {
+        "op8_decontamination": OP8_SQL,
+    }
