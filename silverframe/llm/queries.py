@@ -41,6 +41,23 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from silverframe.llm.topk import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+OP7_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+           FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from silverframe.llm.decontamination import contaminated
 
@@ -69,6 +86,7 @@ def queries() -> dict[str, Query]:
         "op1_packing": op1_packing,
         "op5_token_codes": op5_token_codes,
         "op6_simhash": op6_simhash,
+        "op7_topk": op7_topk,
         "op8_decontamination": op8_decontamination,
     }
 
@@ -76,5 +94,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     """SQL over whole tables, for the queries that it can express."""
     return {
+        "op7_topk": OP7_SQL,
         "op8_decontamination": OP8_SQL,
     }
