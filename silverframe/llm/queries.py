@@ -27,6 +27,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from silverframe.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from silverframe.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from silverframe.llm.token_codes import read_codes, write_codes
 
@@ -84,6 +96,8 @@ GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(n.n) - 1e-9
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
+        "op2_toxicity": op2_toxicity,
+        "op4_quality": op4_quality,
         "op5_token_codes": op5_token_codes,
         "op6_simhash": op6_simhash,
         "op7_topk": op7_topk,
