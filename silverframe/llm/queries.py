@@ -33,6 +33,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from silverframe.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from silverframe.llm.quality import quality
 
@@ -97,6 +103,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
         "op2_toxicity": op2_toxicity,
+        "op3_pii": op3_pii,
         "op4_quality": op4_quality,
         "op5_token_codes": op5_token_codes,
         "op6_simhash": op6_simhash,
