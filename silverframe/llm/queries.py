@@ -82,6 +82,23 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=5, threshold=0.8)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from silverframe.llm.warc import build_derivatives
+
+    h = F.col("headers")
+    return build_derivatives(table(spark, sf_dir, "pages")).select(
+        F.col("source_row").alias("page_id"),
+        h["WARC-Type"].alias("record_type"),
+        h["WARC-Record-ID"].alias("record_id"),
+        h["WARC-Refers-To"].alias("refers_to"),
+        h["WARC-Target-URI"].alias("target_uri"),
+        h["Content-Type"].alias("content_type"),
+        h["WARC-Block-Digest"].alias("block_digest"),
+        F.coalesce(h["WARC-Payload-Digest"], h["WARC-Source-Payload-Digest"]).alias("payload_digest"),
+        F.length("block").cast("long").alias("n_bytes"),
+    )
+
+
 SHINGLES_SQL = """
     SELECT id, array_to_string(CASE WHEN len(w) < 5 THEN w ELSE w[i:i + 4] END, ' ') AS s
     FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i
@@ -109,6 +126,7 @@ def queries() -> dict[str, Query]:
         "op6_simhash": op6_simhash,
         "op7_topk": op7_topk,
         "op8_decontamination": op8_decontamination,
+        "op10_warc": op10_warc,
     }
 
 
