@@ -82,6 +82,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=5, threshold=0.8)
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from silverframe.llm.repeats import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents"), width=200)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from silverframe.llm.warc import build_derivatives
 
@@ -126,6 +132,7 @@ def queries() -> dict[str, Query]:
         "op6_simhash": op6_simhash,
         "op7_topk": op7_topk,
         "op8_decontamination": op8_decontamination,
+        "op9_repeats": op9_repeats,
         "op10_warc": op10_warc,
     }
 

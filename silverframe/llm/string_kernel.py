@@ -82,9 +82,9 @@ def features(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def table_scores(strings: list[str], table: np.ndarray) -> np.ndarray:
     """Sum of kernel terms of each string under a table of subsequence weights."""
     out = np.zeros(len(strings))
-    for at in range(0, len(strings), 20_000):
-        who, slot, value = features(strings[at : at + 20_000])
-        out[at : at + 20_000] = np.bincount(who, value * table[slot], minlength=min(20_000, len(strings) - at))
+    for at in range(0, len(strings), 8_000):
+        who, slot, value = features(strings[at : at + 8_000])
+        out[at : at + 8_000] = np.bincount(who, value * table[slot], minlength=min(8_000, len(strings) - at))
     return out
 
 
@@ -95,14 +95,14 @@ def landmark_kernel(strings: list[str], landmarks: list[str]) -> np.ndarray:
     used, column = np.unique(ls, return_inverse=True)
     dense = np.zeros((len(used), len(landmarks)))
     dense[column, lw] = lv
-    for at in range(0, len(strings), 4000):
-        part = strings[at : at + 4000]
+    for at in range(0, len(strings), 500):
+        part = strings[at : at + 500]
         w, s, v = features(part)
         pos = np.minimum(np.searchsorted(used, s), len(used) - 1)
         ok = used[pos] == s
         x = np.zeros((len(part), len(used)))
         x[w[ok], pos[ok]] = v[ok]
-        out[at : at + 4000] = x @ dense
+        out[at : at + 500] = x @ dense
     return out
 
 
@@ -154,10 +154,8 @@ def train(docs: list[tuple[str, int]], landmarks: int = 256, rounds: int = 4, se
     if not len(y) or y.min() == y.max():
         return ToxicityModel(np.zeros(SLOTS), -1.0, 1.0, 0.0 if len(y) and y.max() else -2.0, [])
     seen = np.zeros((2, SLOTS))
-    who, slot, _ = features(strings)
-    start = np.searchsorted(who, np.arange(len(strings) + 1))
-    for r, label in zip(rows, y, strict=True):
-        seen[label][np.unique(np.concatenate([slot[start[i] : start[i + 1]] for i in r]))] += 1
+    for (bag, _), label in zip(bags, y, strict=True):
+        seen[label][np.unique(features(bag)[1])] += 1
     n0, n1 = (1 - y).sum(), y.sum()
     lift = np.log((seen[1] + 1) / (n1 + 2)) - np.log((seen[0] + 1) / (n0 + 2))
     score = table_scores(strings, np.maximum(lift - 2 * np.sqrt(1 / (seen[1] + 1) + 1 / (seen[0] + 1)), 0))

@@ -48,7 +48,7 @@ class WordScores:
         return np.array([max(map(self.known.__getitem__, ws), default=self.model.bias) for ws in split])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> sk.ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> sk.ToxicityModel:
     """Fit on at most ``per_class`` labelled documents of each class whose crc32(doc_id) modulo 3 is not 1."""
     return sk.train(labelled_sample(docs, labels, "toxic", 3, 1, per_class))
 
@@ -68,7 +68,7 @@ def with_scores(docs: DataFrame, model: sk.ToxicityModel, column: str = "score")
     return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField(column, DoubleType())]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_class: int = 3000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_class: int = 1500) -> DataFrame:
     """doc_id, held_out, score, predicted (1 from ``threshold``) of every document."""
     scored = with_scores(docs.select(F.col("doc_id").cast("long"), "text"), fit(docs, labels, per_class))
     return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
