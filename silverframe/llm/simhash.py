@@ -193,3 +193,18 @@ def near_duplicates(docs: DataFrame, bits: int = 3, shingle: int = 3, seed: int
     classes = materialize(rooted.join(least, "root").select("fp", "component_id"), "fingerprint-groups")
     drop_table(docs.sparkSession, table_path(distinct))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_per_group(docs: DataFrame, bits: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` that stay when each near-duplicate group keeps one: that with the least doc_id.
+
+    Columns stay as they are. Of rows with the same least doc_id one stays, and a group of rows without ids keeps one.
+    """
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    ids = numbered.select(F.col("_row").alias("doc_id"), "text")
+    prints = materialize(fingerprints(ids, shingle, seed), "fingerprints").withColumnRenamed("doc_id", "_row")
+    roots = connected_components(near_links(prints.select("fp").distinct(), bits)).withColumnRenamed("node", "fp")
+    grouped = prints.join(roots, "fp", "left").select("_row", F.coalesce("root", "fp").alias("root"))
+    named = grouped.join(numbered.select("_row", F.col("doc_id").cast("long").alias("id")), "_row")
+    kept = named.groupBy("root").agg(F.min_by("_row", F.struct(F.col("id").isNull(), "id", "_row")).alias("_row"))
+    return numbered.join(kept.select("_row"), "_row", "left_semi").drop("_row").select(*docs.columns)
