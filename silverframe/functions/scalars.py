@@ -7,6 +7,7 @@ from decimal import ROUND_HALF_UP, Decimal
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SUPPORTED = r"\.(nef|jpe?g|png|webp)$"
 
@@ -93,7 +94,7 @@ def number_property(text: Column) -> Column:
     return F.when(t == "", 0.0).when(t.rlike(r"^0[xX][0-9a-fA-F]{1,13}$"), hexadecimal).when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t.try_cast("double"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def to_fixed(x: pd.Series, places: pd.Series) -> pd.Series:
     """A double with a fixed number of decimals, rounded half up on its exact binary value."""
     return pd.Series([None if v is None or v != v else str(Decimal(v).quantize(Decimal(1).scaleb(-int(p)), ROUND_HALF_UP)) for v, p in zip(x, places, strict=True)])

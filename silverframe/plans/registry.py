@@ -4,8 +4,12 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    return {}
+    from silverframe.plans import image_plans
+
+    return dict(image_plans.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from silverframe.plans import image_plans
+
+    return dict(image_plans.ORACLE)
