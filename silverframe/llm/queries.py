@@ -92,7 +92,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from silverframe.llm.warc import build_derivatives
 
     h = F.col("headers")
-    return build_derivatives(table(spark, sf_dir, "pages")).select(
+    return build_derivatives(table(spark, sf_dir, "pages"), blocks=False).select(
         F.col("source_row").alias("page_id"),
         h["WARC-Type"].alias("record_type"),
         h["WARC-Record-ID"].alias("record_id"),
@@ -101,7 +101,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         h["Content-Type"].alias("content_type"),
         h["WARC-Block-Digest"].alias("block_digest"),
         F.coalesce(h["WARC-Payload-Digest"], h["WARC-Source-Payload-Digest"]).alias("payload_digest"),
-        F.length("block").cast("long").alias("n_bytes"),
+        "n_bytes",
     )
 
 

@@ -1,7 +1,7 @@
 """WARC files and their derivatives: linked metadata and plain-text conversion records.
 
 A WARC record ends with two line breaks, so Spark's text writer with that separator writes valid WARC/1.1
-files in parallel. Reading goes by ``Content-Length``, whatever a record's block holds: files come as binary
+files in parallel, gzip-compressed. Reading goes by ``Content-Length``, whatever a record's block holds: files come as binary
 rows (bounded by ``records_per_file`` at writing) and are cut record by record.
 
 Record ids are name-based UUIDs of what a record is made from, so a retried task writes the same file and
@@ -15,9 +15,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import html
 import re
 import uuid
-from html.parser import HTMLParser
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,8 @@ from silverframe.llm.common import shared_dir
 
 VERSION, BREAK = "WARC/1.1", "\r\n"
 _SPACE = uuid.UUID("9f7f2c1e-6a5f-4d43-8f6e-2d1a4c7b9e10")
-RECORD = "source_row long, headers map<string,string>, block binary"
+RECORD = "source_row long, headers map<string,string>, n_bytes long, block binary"
+# Elements without visible text, and elements that break the line.
 _HIDDEN = {"script", "style", "noscript", "template", "head"}
 _LINES = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "article", "section", "nav", "header", "footer", "blockquote", "pre"}
 
@@ -52,13 +54,13 @@ def _clean(value: str | None) -> str | None:
     return None if value is None else re.sub(r"[\r\n]+", " ", value)
 
 
-def response_record(page_id: int | None, url: str | None, html: str | None, date: str) -> str:
-    payload = html or ""
+def response_record(page_id: int | None, url: str | None, page: str | None, date: str) -> str:
+    payload = page or ""
     block = BREAK.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload.encode())}", "", payload])
     return record_text(
         {
             "WARC-Type": "response",
-            "WARC-Record-ID": record_id("response", page_id, url, html),
+            "WARC-Record-ID": record_id("response", page_id, url, page),
             "WARC-Date": date,
             "WARC-Target-URI": _clean(url),
             "WARC-Block-Digest": digest(block.encode()),
@@ -84,51 +86,28 @@ def parse_records(data: bytes):
         at = end + 8 + size
 
 
-class _Page(HTMLParser):
-    """Visible text, title, language and links of a page."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.text, self.title, self.links, self.lang = [], [], [], None
-        self.hidden, self.in_title = 0, False
-
-    def handle_starttag(self, tag, attrs):
-        values = dict(attrs)
-        if tag == "html":
-            self.lang = values.get("lang")
-        if tag == "a" and values.get("href"):
-            self.links.append(values["href"])
-        if tag in _HIDDEN:
-            self.hidden += 1
-        if tag == "title":
-            self.in_title = True
-        if tag in ("body", "article"):
-            self.hidden = 0
-        if tag in _LINES:
-            self.text.append("\n")
-
-    def handle_endtag(self, tag):
-        if tag in _HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-        if tag == "title":
-            self.in_title = False
-        if tag in _LINES:
-            self.text.append("\n")
-
-    def handle_data(self, data):
-        if self.in_title:
-            self.title.append(data)
-        elif not self.hidden:
-            self.text.append(data)
-
-
-def page_parts(html: str) -> dict:
-    """Plain text (one line per block, single spaces), title, language and links."""
-    page = _Page()
-    page.feed(html)
-    page.close()
-    lines = (" ".join(x.split()) for x in "".join(page.text).split("\n"))
-    return {"text": "\n".join(x for x in lines if x), "title": " ".join("".join(page.title).split()), "lang": page.lang, "links": page.links}
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
+_HIDE = re.compile(rf"<({'|'.join(sorted(_HIDDEN))})\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(_LINES, key=len, reverse=True))})\b[^<>]*+>", re.I)
+_TAG = re.compile(r"<[/!?a-zA-Z](?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+>")
+_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
+_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
+_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", re.I)
+
+
+def page_parts(markup: str) -> dict:
+    """Plain text (one line per block, single spaces), title, language and links. Comments and hidden elements have no text."""
+    shown = _COMMENT.sub("", markup) if "<!--" in markup else markup
+    title, lang = _TITLE.search(shown), _LANG.search(shown)
+    visible = _HIDE.sub("", shown)
+    text = html.unescape(_TAG.sub("", _BLOCK.sub("\n", visible)))
+    lines = (" ".join(x.split()) for x in text.split("\n"))
+    return {
+        "text": "\n".join(x for x in lines if x),
+        "title": " ".join(html.unescape(title[1]).split()) if title else "",
+        "lang": lang[1] if lang else None,
+        "links": [html.unescape(x or y) for x, y in _LINK.findall(visible)],
+    }
 
 
 def derive(headers: dict[str, str], block: bytes, date: str) -> list[str]:
@@ -146,9 +125,20 @@ def derive(headers: dict[str, str], block: bytes, date: str) -> list[str]:
     return out
 
 
-def _write(records: DataFrame, path: str, records_per_file: int, compress: bool) -> None:
-    writer = records.write.option("lineSep", BREAK * 2).option("maxRecordsPerFile", records_per_file)
-    (writer.option("compression", "gzip") if compress else writer).text(path)
+def _write(records: DataFrame, path: str, records_per_file: int) -> None:
+    records.write.option("lineSep", BREAK * 2).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+
+
+def _plain(content: bytes) -> bytes:
+    """A file's bytes, unzipped member by member if it is gzip."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    out = []
+    while content:
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(content))
+        content = member.unused_data
+    return b"".join(out)
 
 
 def write_responses(pages: DataFrame, path: str, date: str, records_per_file: int = 20_000) -> None:
@@ -160,21 +150,21 @@ def write_responses(pages: DataFrame, path: str, date: str, records_per_file: in
             yield pa.RecordBatch.from_arrays([pa.array([response_record(*row, date) for row in zip(*cols, strict=True)], pa.string())], ["value"])
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    _write(rows.mapInArrow(run, "value string"), path, records_per_file, False)
+    _write(rows.mapInArrow(run, "value string"), path, records_per_file)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files in a folder: their row in the source, headers and block."""
+def read_records(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
+    """Records of the WARC files in a folder: their row in the source, headers, size and (or null) block."""
 
     def run(batches):
         for b in batches:
             for content in b.column(0):
-                rows = list(parse_records(content.as_py()))
+                rows = list(parse_records(_plain(content.as_py())))
                 for at in range(0, len(rows), 1000):
                     part = rows[at : at + 1000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(h["Source-Row"]) if "Source-Row" in h else None for h, _ in part], pa.int64()), pa.array([list(h.items()) for h, _ in part], pa.map_(pa.string(), pa.string())), pa.array([x for _, x in part], pa.binary())],
-                        ["source_row", "headers", "block"],
+                        [pa.array([int(h["Source-Row"]) if "Source-Row" in h else None for h, _ in part], pa.int64()), pa.array([list(h.items()) for h, _ in part], pa.map_(pa.string(), pa.string())), pa.array([len(x) for _, x in part], pa.int64()), pa.array([x if blocks else None for _, x in part], pa.binary())],
+                        ["source_row", "headers", "n_bytes", "block"],
                     )
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, RECORD)
@@ -192,14 +182,13 @@ def write_derivatives(responses: DataFrame, path: str, date: str, records_per_fi
                     out += derive(headers, block, date)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    _write(responses.mapInArrow(run, "value string"), path, records_per_file, False)
+    _write(responses.mapInArrow(run, "value string"), path, records_per_file)
 
 
-def build_derivatives(pages: DataFrame, folder: str | None = None, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+def build_derivatives(pages: DataFrame, folder: str | None = None, date: str = "2024-01-01T00:00:00Z", blocks: bool = True) -> DataFrame:
     """Write responses and derivatives under ``folder`` (the shared folder by default) and read all records back."""
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/silverframe/warc-{uuid.uuid4().hex}"
     write_responses(pages, f"{folder}/responses", date)
-    responses = read_records(spark, f"{folder}/responses")
-    write_derivatives(responses, f"{folder}/derivatives", date)
-    return responses.unionByName(read_records(spark, f"{folder}/derivatives"))
+    write_derivatives(read_records(spark, f"{folder}/responses"), f"{folder}/derivatives", date)
+    return read_records(spark, f"{folder}/responses", blocks).unionByName(read_records(spark, f"{folder}/derivatives", blocks))
