@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from silverframe.functions.scalars import clamp, mix, smoothstep
+from silverframe.functions.scalars import clamp, let, mix, smoothstep
 
 Rgb = tuple[Column, Column, Column]
 
@@ -84,11 +84,17 @@ def from_hsl(c: Rgb) -> Rgb:
 
 def mixer(c: Rgb, bands: list[tuple[float, float, float]]) -> Rgb:
     """Hue, saturation and luminance shifts of eight hue bands, weighted by the distance on the hue circle."""
-    h, s, light = to_hsl(each(c, clamp))
-    weights = [smoothstep(0.18, 0.0, F.least(F.abs(h - m), 1 - F.abs(h - m))) for m in BANDS]
-    total = lambda k, unit: sum((w * b[k] * unit for w, b in zip(weights, bands, strict=True)), F.lit(0.0))
-    hue = h + total(0, 1 / 360)
-    return from_hsl((hue - F.floor(hue), clamp(s * (1 + total(1, 0.01))), clamp(light + total(2, 0.005))))
+    def shifted(v: Column) -> Column:
+        weights = F.array(*(smoothstep(0.18, 0.0, F.least(F.abs(v["h"] - m), 1 - F.abs(v["h"] - m))) for m in BANDS))
+        sums = lambda w: [sum((F.element_at(w, i + 1) * b[k] * unit for i, b in enumerate(bands)), F.lit(0.0)) for k, unit in enumerate((1 / 360, 0.01, 0.005))]
+        return let(weights, lambda w: (lambda t: F.struct((v["h"] + t[0]).alias("h"), clamp(v["s"] * (1 + t[1])).alias("s"), clamp(v["l"] + t[2]).alias("l")))(sums(w)))
+
+    def back(v: Column) -> Column:
+        return F.struct(*(x.alias(n) for x, n in zip(from_hsl((v["h"] - F.floor(v["h"]), v["s"], v["l"])), "rgb", strict=True)))
+
+    hsl = F.struct(*(x.alias(n) for x, n in zip(to_hsl(each(c, clamp)), "hsl", strict=True)))
+    out = let(let(hsl, shifted), back)
+    return out["r"], out["g"], out["b"]
 
 
 def vignette(c: Rgb, u: Column, v: Column, amount: float, midpoint: float = 50, feather: float = 50, roundness: float = 0, highlights: float = 0) -> Rgb:

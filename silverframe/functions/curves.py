@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from silverframe.functions.scalars import clamp, round_half_up
+from silverframe.functions.scalars import clamp, let, round_half_up
 
 LUT_SIZE = 256
 POINTS = "array<struct<x:double,y:double>>"
@@ -40,24 +40,43 @@ def from_sliders(shadows: Column, midtones: Column, highlights: Column) -> Colum
 
 def sample(points: Column, value: Column) -> Column:
     """A normalized curve's value, by a cubic through the segment whose end slopes are limited to stay monotone."""
-    v = clamp(value)
-    # the first segment whose right end is not before the value
-    k = F.array_position(F.transform(points, lambda p, i: (i > 0) & (v <= p["x"])), True).cast("int")
-    at = lambda i: F.try_element_at(points, i)
     n = F.size(points)
-    right, left = at(k), at(F.greatest(k - 1, F.lit(1)))
-    before, after = at(F.greatest(k - 2, F.lit(1))), at(F.least(k + 1, n))
-    width = right["x"] - left["x"]
-    seg = (right["y"] - left["y"]) / F.nullif(width, F.lit(0.0))
-    slope = lambda a, b: F.coalesce((b["y"] - a["y"]) / F.nullif(b["x"] - a["x"], F.lit(0.0)), F.lit(0.0))
-    usable = lambda s: F.when((seg == 0) | (s * seg < 0), 0.0).otherwise(s)
-    ls, rs = usable(slope(before, right)), usable(slope(left, after))
-    size = F.hypot(ls / F.nullif(seg, F.lit(0.0)), rs / F.nullif(seg, F.lit(0.0)))
-    limit = F.when(size > 3, 3 / size).otherwise(1.0)
-    t = (v - left["x"]) / F.nullif(width, F.lit(0.0))
-    t2, t3 = t * t, t * t * t
-    cubic = (2 * t3 - 3 * t2 + 1) * left["y"] + (t3 - 2 * t2 + t) * width * (ls * limit) + (-2 * t3 + 3 * t2) * right["y"] + (t3 - t2) * width * (rs * limit)
-    return F.when(k == 0, F.coalesce(at(n)["y"], v)).when(width == 0, left["y"]).otherwise(clamp(cubic))
+
+    def segment(at: Column) -> Column:
+        """The points around a value: before, left, right, after; ``found`` unless it lies beyond the last."""
+        k = at["k"]
+        point_at = lambda i: F.try_element_at(points, i)
+        return F.struct(at["v"].alias("v"), (k > 0).alias("found"), point_at(F.greatest(k - 2, F.lit(1))).alias("before"), point_at(F.greatest(k - 1, F.lit(1))).alias("left"), point_at(F.greatest(k, F.lit(1))).alias("right"), point_at(F.least(k + 1, n)).alias("after"), point_at(n).alias("end"))
+
+    def slopes(s: Column) -> Column:
+        left, right, before, after = (s[c] for c in ("left", "right", "before", "after"))
+        zero = F.lit(0.0)
+        slope = lambda a, b: F.coalesce((b["y"] - a["y"]) / F.nullif(b["x"] - a["x"], zero), zero)
+        width = right["x"] - left["x"]
+        return F.struct(s["v"].alias("v"), s["found"].alias("found"), left.alias("left"), right.alias("right"), s["end"].alias("end"), width.alias("width"), slope(left, right).alias("seg"), slope(before, right).alias("ls"), slope(left, after).alias("rs"))
+
+    def limited(s: Column) -> Column:
+        seg = s["seg"]
+        usable = lambda v: F.when((seg == 0) | (v * seg < 0), 0.0).otherwise(v)
+        size = F.hypot(usable(s["ls"]) / F.nullif(seg, F.lit(0.0)), usable(s["rs"]) / F.nullif(seg, F.lit(0.0)))
+        limit = F.when(size > 3, 3 / size).otherwise(1.0)
+        return F.struct(*(s[c].alias(c) for c in ("v", "found", "left", "right", "end", "width")), (usable(s["ls"]) * limit).alias("ls"), (usable(s["rs"]) * limit).alias("rs"), ((s["v"] - s["left"]["x"]) / F.nullif(s["width"], F.lit(0.0))).alias("t"))
+
+    def cubic(s: Column) -> Column:
+        t, left, right, width = s["t"], s["left"], s["right"], s["width"]
+        t2, t3 = t * t, t * t * t
+        y = (2 * t3 - 3 * t2 + 1) * left["y"] + (t3 - 2 * t2 + t) * width * s["ls"] + (-2 * t3 + 3 * t2) * right["y"] + (t3 - t2) * width * s["rs"]
+        return F.when(~s["found"], F.coalesce(s["end"]["y"], s["v"])).when(width == 0, left["y"]).otherwise(clamp(y))
+
+    def located(v: Column) -> Column:
+        # the first segment whose right end is not before the value
+        k = F.array_position(F.transform(points, lambda p, i: (i > 0) & (v <= p["x"])), True).cast("int")
+        return F.struct(v.alias("v"), k.alias("k"))
+
+    out = let(clamp(value), located)
+    for step in (segment, slopes, limited, cubic):
+        out = let(out, step)
+    return out
 
 
 def look_up_table(points: Column) -> Column:

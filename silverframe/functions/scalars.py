@@ -31,9 +31,14 @@ def mix(a: Column | float, b: Column | float, t: Column | float) -> Column:
     return F.lit(0.0) + a * (1 - t) + b * t
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, where spelling it out several times would blow up the expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def scaled(x: Column, places: int = 6) -> Column:
-    """A double as a whole number of units of the last place, for exact comparison."""
-    return F.floor(x * float(10**places) + 0.5).cast("long")
+    """A double as a whole number of units of the last place; just under a half goes up, so that ties don't hang on the last bit."""
+    return F.floor(x * float(10**places) + 0.5001).cast("long")
 
 
 def entry_id(path: Column) -> Column:

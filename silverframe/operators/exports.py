@@ -33,7 +33,7 @@ def export_names(jobs: DataFrame, existing: DataFrame | None = None) -> DataFram
 
 def export_status(items: DataFrame) -> DataFrame:
     """Status of items (failed, exists, policy, diagnostics): error, skipped, warning or success."""
-    status = F.when("failed", "error").when(F.col("exists") & (F.col("policy") == "skip"), "skipped").when(F.col("diagnostics") > 0, "warning").otherwise("success")
+    status = F.when(F.col("failed"), "error").when(F.col("exists") & (F.col("policy") == "skip"), "skipped").when(F.col("diagnostics") > 0, "warning").otherwise("success")
     return items.withColumn("status", status)
 
 

@@ -39,7 +39,7 @@ def s_luma(r="r", g="g", b="b"):
 
 
 def s_scaled(x):
-    return f"floor(({x}) * 1000000.0::DOUBLE + 0.5::DOUBLE)::BIGINT"
+    return f"floor(({x}) * 1000000.0::DOUBLE + 0.5001::DOUBLE)::BIGINT"
 
 
 def s_linear(x):
