@@ -76,7 +76,7 @@ def with_halo(tiles: DataFrame, halo: int) -> DataFrame:
     def join(pdf):
         parts = {(r.dx, r.dy): np.array(r.part).reshape(r.h, r.w) for r in pdf.itertuples()}
         if (0, 0) not in parts:
-            return pdf.iloc[:0][["image_id", "tx", "ty"]].assign(w=[], h=[], plane=[])
+            return pdf.iloc[:0][["image_id", "tx", "ty", "w", "h"]].assign(plane=pdf["part"].iloc[:0])
         own = parts[0, 0]
         h, w = own.shape
         out = np.pad(own, halo, mode="edge")

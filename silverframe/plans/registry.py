@@ -4,12 +4,12 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from silverframe.plans import image_plans
+    from silverframe.plans import codec_plans, image_plans  # noqa: F401
 
     return dict(image_plans.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from silverframe.plans import image_plans
+    from silverframe.plans import codec_plans, image_plans  # noqa: F401
 
     return dict(image_plans.ORACLE)
