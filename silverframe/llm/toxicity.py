@@ -24,7 +24,7 @@ from silverframe.llm.common import batch_texts, by_bytes
 from silverframe.llm.labelled import held_out, labelled_sample
 
 _LETTERS = re.compile(r"(?:^|(?<=\s))\w\s+\w(?!\S)")
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 class WordScores:
@@ -60,7 +60,7 @@ def with_scores(docs: DataFrame, model: sk.ToxicityModel, column: str = "score")
     def run(batches):
         words = WordScores(shared.value)
         for batch in batches:
-            for piece in by_bytes(batch):
+            for piece in by_bytes(batch, limit=1 << 20):
                 p = shared.value.probability(words.highest(batch_texts(piece)))
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(p)], [*piece.schema.names, column])
 
