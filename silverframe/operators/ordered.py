@@ -82,3 +82,11 @@ def ranked_visible(rows: DataFrame, centre: float, selected: Column) -> DataFram
     distance = F.abs(F.col("start") + F.col("row_height") / 2 - centre)
     once = rows.withColumn("distance", distance).groupBy("id").agg(F.min(F.struct("distance", "pos")).alias("best"))
     return once.select("id", (~F.coalesce(selected, F.lit(False))).alias("later"), "best.distance", "best.pos")
+
+
+def restore_selection(rows: DataFrame, previous: DataFrame) -> DataFrame:
+    """The selection (id, ord) after a rescan: those of ``previous`` (id, ord) still in ``rows``, else the first row alone."""
+    kept = previous.join(rows.select("id"), "id", "left_semi").select("id", "ord")
+    first = rows.orderBy("pos").limit(1).select("id", F.lit(0).cast("long").alias("ord"))
+    none = kept.limit(1).agg(F.count("*").alias("n"))
+    return kept.unionByName(first.join(F.broadcast(none)).where("n = 0").select("id", "ord"))  # one row of a count

@@ -120,3 +120,31 @@ def best_angle(scores: DataFrame) -> DataFrame:
     """The first angle with the highest mean score of each image."""
     mean = F.col("total") / F.col("n")
     return scores.groupBy("image_id").agg(F.max_by("angle", F.struct(mean, -F.col("angle"))).alias("angle"))
+
+
+def brush_coverage(strokes: DataFrame, width: int, height: int) -> DataFrame:
+    """Coverage (mask_id, x, y, coverage from 1 to 255) of brush strokes, later stamps over earlier ones.
+
+    ``strokes``: mask_id, stroke (its order), radius in pixels, feather, alpha, points (array of x, y from 0 to 1).
+    Stamps stand at most half a radius apart along each segment. A pixel's stamps are folded in order; only those
+    that touch it are gathered.
+    """
+    pts = F.transform("points", lambda p: F.struct((p["x"] * (width - 1)).alias("x"), (p["y"] * (height - 1)).alias("y")))
+    s = strokes.where((F.col("alpha") > 0) & (F.size("points") > 0)).select("mask_id", "stroke", F.greatest(F.lit(0.5), F.col("radius")).alias("radius"), "feather", "alpha", pts.alias("p"))
+    seg = s.select("*", F.posexplode("p").alias("i", "end")).withColumn("start", F.when(F.col("i") > 0, F.try_element_at("p", F.col("i"))).otherwise(F.col("end")))
+    far = F.hypot(F.col("end.x") - F.col("start.x"), F.col("end.y") - F.col("start.y"))
+    steps = F.greatest(F.lit(1), F.ceil(far / F.greatest(F.lit(1.0), F.col("radius") * 0.5))).cast("int")
+    stamp = seg.withColumn("steps", F.when(F.col("i") == 0, 1).otherwise(steps)).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("steps"))))
+    t = F.col("k") / F.col("steps")
+    at = stamp.select("mask_id", "stroke", "i", "k", "radius", "feather", "alpha", (F.col("start.x") + (F.col("end.x") - F.col("start.x")) * t).alias("cx"), (F.col("start.y") + (F.col("end.y") - F.col("start.y")) * t).alias("cy"))
+    span = lambda c, n: F.sequence(F.greatest(F.lit(0), F.floor(F.col(c) - F.col("radius"))).cast("int"), F.least(F.lit(n - 1), F.ceil(F.col(c) + F.col("radius"))).cast("int"))
+    inside = (F.col("cx") + F.col("radius") >= 0) & (F.col("cx") - F.col("radius") <= width - 1) & (F.col("cy") + F.col("radius") >= 0) & (F.col("cy") - F.col("radius") <= height - 1)
+    px = at.where(inside).withColumn("x", F.explode(span("cx", width))).withColumn("y", F.explode(span("cy", height)))
+    d, inner = F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")), F.col("radius") * (1 - F.col("feather"))
+    fade = (d - inner) / F.nullif(F.col("radius") - inner, F.lit(0.0))
+    fade = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), fade)), F.lit(1.0))
+    edge = F.when(d <= inner, 1.0).otherwise(1 - fade * fade * (3 - 2 * fade))
+    source = round_half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.0), edge * F.col("alpha"))) * 255)
+    drawn = px.select("mask_id", "x", "y", F.struct("stroke", "i", "k", source.alias("v")).alias("s")).where("s.v > 0")
+    over = F.aggregate(F.array_sort("list"), F.lit(0).cast("long"), lambda acc, s: F.least(F.lit(255).cast("long"), s["v"] + F.floor(acc * (255 - s["v"]) / 255.0 + 0.5)))
+    return drawn.groupBy("mask_id", "x", "y").agg(F.collect_list("s").alias("list")).select("mask_id", "x", "y", over.alias("coverage"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from silverframe.functions import codecs, color
-from silverframe.operators import edits, exports
+from silverframe.operators import edits, exports, rasters
 from silverframe.plans import fixtures as fx
 from silverframe.plans.image_plans import out, pixels, rgb
 from silverframe.plans.library_plans import query
@@ -71,3 +71,12 @@ def guard(spark, d):
     p, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     targets = li.select((F.col("l_orderkey") * 10 + n).alias("target"), (p % 5003).alias("path"), (s + 100000 * (p % 9)).alias("real_path"), (s % 5).alias("device"), (p * 3).alias("inode"), n.cast("long").alias("folder"), (p % 4000).alias("name"))
     return exports.overwrites_source(targets, sources, outputs)
+
+
+@query("brush_raster")
+def brush(spark, d):
+    """A stroke for each vector: from its first two components to the next two."""
+    at = lambda i: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.element_at("embedding", i).cast("double") + 0.5))
+    point = lambda i: F.struct(at(i).alias("x"), at(i + 1).alias("y"))
+    strokes = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("mask_id"), F.lit(0).alias("stroke"), F.lit(1.5).alias("radius"), F.lit(0.5).alias("feather"), F.lit(0.7).alias("alpha"), F.array(point(1), point(3)).alias("points"))
+    return rasters.brush_coverage(strokes, 16, 16)

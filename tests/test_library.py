@@ -151,3 +151,35 @@ def test_streams(spark, tmp_path):
 def test_grain_is_centred(spark, sf_dir):
     a, b = (registry.queries()[n](spark, sf_dir).agg(F.avg("r")).first()[0] for n in ("grain", "overlay"))
     assert math.isfinite(a) and math.isfinite(b)
+
+
+def test_brush_strokes(spark):
+    strokes = [(1, 0, 2.0, 0.5, 0.6, [(0.0, 0.2), (0.9, 0.7)]), (1, 1, 1.5, 0.0, 0.5, [(0.5, 0.5)]), (2, 0, 1.0, 1.0, 0.0, [(0.1, 0.1)])]
+    w, h = 10, 8
+    want = {}
+    for _, _, r, feather, alpha, pts in strokes[:2]:
+        p = [(x * (w - 1), y * (h - 1)) for x, y in pts]
+        stamps = [p[0]]
+        for (ax, ay), (bx, by) in zip(p, p[1:], strict=False):
+            n = max(1, math.ceil(math.hypot(bx - ax, by - ay) / max(1, r * 0.5)))
+            stamps += [(ax + (bx - ax) * k / n, ay + (by - ay) * k / n) for k in range(1, n + 1)]
+        for cx, cy in stamps:
+            for x in range(max(0, math.floor(cx - r)), min(w - 1, math.ceil(cx + r)) + 1):
+                for y in range(max(0, math.floor(cy - r)), min(h - 1, math.ceil(cy + r)) + 1):
+                    d, inner = math.hypot(x - cx, y - cy), r * (1 - feather)
+                    t = 1.0 if r == inner else max(0, min(1, (d - inner) / (r - inner)))
+                    v = math.floor((1 if d <= inner else 1 - t * t * (3 - 2 * t)) * alpha * 255 + 0.5)
+                    if v:
+                        want[x, y] = min(255, v + math.floor(want.get((x, y), 0) * (255 - v) / 255 + 0.5))
+    df = spark.createDataFrame(strokes, "mask_id int, stroke int, radius double, feather double, alpha double, points array<struct<x:double,y:double>>")
+    got = {(p.x, p.y): p.coverage for p in rasters.brush_coverage(df, w, h).collect()}
+    assert got == want
+
+
+def test_restore_selection(spark):
+    from silverframe.operators import ordered
+
+    rows = spark.createDataFrame([(5, 1), (6, 0), (7, 2)], "id long, pos long")
+    old = spark.createDataFrame([(7, 0), (9, 1), (5, 2)], "id long, ord long")
+    assert sorted(tuple(r) for r in ordered.restore_selection(rows, old).collect()) == [(5, 2), (7, 0)]
+    assert [tuple(r) for r in ordered.restore_selection(rows, old.where("id = 9")).collect()] == [(6, 0)]
