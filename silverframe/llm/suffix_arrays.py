@@ -21,7 +21,7 @@ class ShardSuffixes:
         key = np.zeros(self.n, np.uint64)
         for k in range(_FIRST):
             key = (key << np.uint64(8)) | wide[k : k + self.n]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys form a group, whatever their order
         head = np.flatnonzero(np.diff(key[order], prepend=key[order[:1]] + np.uint64(1)))
         rank = np.empty(self.n, np.int64)
         rank[order] = np.repeat(head, np.diff(np.append(head, self.n)))
@@ -42,7 +42,7 @@ class ShardSuffixes:
             return new
         r = rank[open_]
         ahead = np.where(open_ + h < self.n, rank[np.minimum(open_ + h, self.n - 1)], -1)
-        order = np.lexsort((ahead, r))
+        order = np.argsort(r * (self.n + 1) + ahead + 1)
         r, ahead, who = r[order], ahead[order], open_[order]
         group = np.diff(r, prepend=-1) != 0
         part = group | (np.diff(ahead, prepend=-2) != 0)
@@ -54,18 +54,22 @@ class ShardSuffixes:
     def order(self, starts: np.ndarray, depth: int) -> np.ndarray:
         """``starts`` in the order of their suffixes' first ``depth`` characters."""
         top = self.h[-1]
-        return starts[np.lexsort((self.at(-1, starts + depth - top), self.at(-1, starts)))]
+        return starts[np.argsort(self.at(-1, starts) * (self.n + 1) + self.at(-1, starts + depth - top) + 1)]
 
-    def common_prefixes(self, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-        """Kasai's lengths of common prefixes of suffixes next to each other, for all pairs at once, up to ``depth``."""
+    def common_prefixes(self, a: np.ndarray, b: np.ndarray, depth: int, exact: bool = True) -> np.ndarray:
+        """Kasai's lengths of common prefixes of suffixes next to each other, for all pairs at once, up to ``depth``.
+
+        Where only whole prefixes matter (``exact`` false), two ranks a pair tell them, and the rest count as 0.
+        """
+        top = self.h[-1]
+        full = (self.at(-1, a) == self.at(-1, b)) & (self.at(-1, a + depth - top) == self.at(-1, b + depth - top))
+        if not exact:
+            return np.where(full, depth, 0)
         length = np.zeros(len(a), np.int64)
         for level in range(len(self.h) - 1, -1, -1):
             for _ in range(2 if level == len(self.h) - 1 else 1):
                 same = (self.at(level, a + length) == self.at(level, b + length)) & (self.at(level, a + length) >= 0)
                 length += np.where(same, self.h[level], 0)
-        # what is left is shorter than the first key; whole windows are what is asked for, so compare once more at their end
-        top = self.h[-1]
-        full = (self.at(-1, a) == self.at(-1, b)) & (self.at(-1, a + depth - top) == self.at(-1, b + depth - top))
         return np.where(full, depth, np.minimum(length, depth - 1))
 
 
@@ -81,7 +85,7 @@ def repeated_windows(blocks: list[bytes], counts: np.ndarray, width: int) -> tup
     starts = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(total)
     shard = ShardSuffixes(data, width)
     sa = shard.order(starts, width)
-    lcp = shard.common_prefixes(sa[:-1], sa[1:], width)
+    lcp = shard.common_prefixes(sa[:-1], sa[1:], width, exact=False)
     with_previous = np.concatenate([[False], lcp >= width])
     repeated = with_previous | np.concatenate([lcp >= width, [False]])
     where = np.empty(len(data), np.int64)
