@@ -35,7 +35,7 @@ from silverframe.llm.common import by_bytes, drop_table, materialize, table_path
 from silverframe.llm.suffix_arrays import repeated_windows
 from silverframe.llm.text_hash import _power, mix
 
-GRAM, SHARD_BYTES, CHUNK = 32, 1 << 21, 1 << 23
+GRAM, SHARD_BYTES, CHUNK = 32, 1 << 19, 1 << 19
 _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _VALUES = np.random.default_rng(77).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -122,8 +122,8 @@ def _texts(docs: DataFrame, width: int) -> DataFrame:
     def analyse(batches):
         at = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                piece = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, 200):
+                piece = batch.slice(lo, 200)
                 texts = _unzip(piece)
                 doc, _, _, g, b = text_blocks(texts, width)
                 edge = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
@@ -247,8 +247,8 @@ def without_repeats(docs: DataFrame, width: int = 200, hot: int = 2000) -> DataF
 
     def cut(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                piece = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, 200):
+                piece = batch.slice(lo, 200)
                 data = _unzip(piece)
                 doc, start, windows, g, b = text_blocks(data, width)
                 first = np.searchsorted(doc, np.arange(len(data)))
@@ -275,8 +275,8 @@ def without_repeats(docs: DataFrame, width: int = 200, hot: int = 2000) -> DataF
 
     def keep(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                piece = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, 200):
+                piece = batch.slice(lo, 200)
                 data = _unzip(piece)
                 doc, start, windows, _, _ = text_blocks(data, width)
                 first = np.searchsorted(doc, np.arange(len(data)))
