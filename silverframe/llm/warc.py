@@ -15,10 +15,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import html
 import re
 import uuid
 import zlib
+from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +29,9 @@ from silverframe.llm.common import shared_dir
 VERSION, BREAK = "WARC/1.1", "\r\n"
 _SPACE = uuid.UUID("9f7f2c1e-6a5f-4d43-8f6e-2d1a4c7b9e10")
 RECORD = "source_row long, headers map<string,string>, n_bytes long, block binary"
-# Elements without visible text, and elements that break the line.
-_HIDDEN = {"script", "style", "noscript", "template", "head"}
+# Elements without visible text, elements that a head can hold, and elements that break the line.
+_HIDDEN = {"script", "style", "noscript", "template"}
+_HEAD = {"html", "head", "title", "meta", "link", "base", *_HIDDEN}
 _LINES = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "article", "section", "nav", "header", "footer", "blockquote", "pre"}
 
 
@@ -86,28 +87,61 @@ def parse_records(data: bytes):
         at = end + 8 + size
 
 
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
-_HIDE = re.compile(rf"<({'|'.join(sorted(_HIDDEN))})\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(_LINES, key=len, reverse=True))})\b[^<>]*+>", re.I)
-_TAG = re.compile(r"<[/!?a-zA-Z](?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", re.I)
+class _Page(HTMLParser):
+    """Visible text, title, language and links of a page. An open head ends where HTML ends it: at its end tag, or at the first tag or text that a head can't hold."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.text, self.title, self.links, self.lang = [], [], [], None
+        self.hidden, self.in_head, self.in_title = 0, False, False
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "html" or tag == "a":
+            values = dict(attrs)
+            if tag == "html":
+                self.lang = self.lang or values.get("lang")
+            elif values.get("href"):
+                self.links.append(values["href"])
+        if tag == "head":
+            self.in_head = True
+        elif self.in_head and tag not in _HEAD:
+            self.in_head = False
+        if tag in _HIDDEN:
+            self.hidden += 1
+        if tag == "title":
+            self.in_title = True
+        if tag in ("body", "article"):
+            self.hidden, self.in_title = 0, False
+        if tag in _LINES:
+            self.text.append("\n")
+
+    def handle_endtag(self, tag):
+        if tag == "head":
+            self.in_head = False
+        if tag in _HIDDEN:
+            self.hidden = max(0, self.hidden - 1)
+        if tag == "title":
+            self.in_title = False
+        if tag in _LINES:
+            self.text.append("\n")
+
+    def handle_data(self, data):
+        if self.in_title:
+            self.title.append(data)
+        elif not self.hidden:
+            if self.in_head and data.strip():
+                self.in_head = False
+            if not self.in_head:
+                self.text.append(data)
 
 
 def page_parts(markup: str) -> dict:
     """Plain text (one line per block, single spaces), title, language and links. Comments and hidden elements have no text."""
-    shown = _COMMENT.sub("", markup) if "<!--" in markup else markup
-    title, lang = _TITLE.search(shown), _LANG.search(shown)
-    visible = _HIDE.sub("", shown)
-    text = html.unescape(_TAG.sub("", _BLOCK.sub("\n", visible)))
-    lines = (" ".join(x.split()) for x in text.split("\n"))
-    return {
-        "text": "\n".join(x for x in lines if x),
-        "title": " ".join(html.unescape(title[1]).split()) if title else "",
-        "lang": lang[1] if lang else None,
-        "links": [html.unescape(x or y) for x, y in _LINK.findall(visible)],
-    }
+    page = _Page()
+    page.feed(markup)
+    page.close()
+    lines = (" ".join(x.split()) for x in "".join(page.text).split("\n"))
+    return {"text": "\n".join(x for x in lines if x), "title": " ".join("".join(page.title).split()), "lang": page.lang, "links": page.links}
 
 
 def derive(headers: dict[str, str], block: bytes, date: str) -> list[str]:

@@ -37,3 +37,11 @@ def test_odd_pages_round_trip(spark):
     assert b"http-content-type: text/html; charset=utf-8" in bytes(meta[0].block)
     assert warc.build_derivatives(df.limit(0)).count() == 0
     assert df.select(F.col("headers")).first().headers == "clash"
+
+
+def test_omitted_tags_and_unquoted_links():
+    body = "<p>hello <a href=/x>one</a><p>world <a href='/y'>two</a>"
+    for page in (f"<html lang=en><head><title>t</title><body>{body}</body></html>", f"<html lang=en><head><title>t</title><article>{body}</article>", f"<html lang=en><head><title>t</title><meta charset=utf-8>{body}", f"<html lang=en><head><title>t</title><template/><noscript/></head>{body}", f"<html lang=en><title>t</title>{body}"):
+        assert warc.page_parts(page) == {"text": "hello one\nworld two", "title": "t", "lang": "en", "links": ["/x", "/y"]}, page
+    assert warc.page_parts("<head><title>t</title><style>a</style> bare <b>text</b>")["text"] == "bare text"
+    assert warc.page_parts("<head><template>x</template><script>'<p>'</script></head><!-- <p>c -->y<template>z<p>z</template>")["text"] == "y"
