@@ -4,7 +4,7 @@ The base finds e-mail addresses, IP addresses, payment cards and phone numbers b
 from a small labelled table (templates filled by rule) and finds spellings that the patterns miss, such as
 ``ana (at) mail dot example dot com`` or a number without its ``+``. Its chains are the words within
 ``REACH`` characters of a trigger (a digit, ``@`` or a spelled ``dot``/``at`` sign); words further away are
-outside by definition, and a chain is cut at ``CHAIN`` words. A decoded span counts if it doesn't touch a
+outside by definition, and a chain is decoded whole, however long. A decoded span counts if it doesn't touch a
 base span and holds what its kind needs (digits in number, check digit, range, separators).
 
 Counts and ``base_sha256`` are of the base spans; ``spans`` has all. Offsets are in code points.
@@ -29,7 +29,7 @@ from silverframe.llm.crf import LinearChain, pad
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
-REACH, CHAIN = 60, 128
+REACH, SLICE, BATCH = 60, 4096, 1 << 16  # characters; words whose feature names are made, and padded words that are decoded, together
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -119,7 +119,8 @@ def chains(text: str) -> list[list[tuple[int, int]]]:
     out = []
     for a, b in areas:
         words = [m.span() for m in _WORD.finditer(text, a, min(b, len(text)))]
-        out += [words[i : i + CHAIN] for i in range(0, len(words), CHAIN)]
+        if words:
+            out.append(words)
     return out
 
 
@@ -193,14 +194,27 @@ class Tagger:
     def _features(text: str, words: list[tuple[int, int]]) -> list[list[str]]:
         return features([(text[a:b], int(i == 0 or words[i - 1][1] < a)) for i, (a, b) in enumerate(words)])
 
+    def _numbers(self, text: str, words: list[tuple[int, int]]) -> np.ndarray:
+        """Feature numbers, a slice of words at a time; a feature looks at two words on either side."""
+        parts = []
+        for at in range(0, len(words), SLICE):
+            first = max(0, at - 2)
+            names = self._features(text, words[first : at + SLICE + 2])[at - first :][:SLICE]
+            parts.append(np.array([[self.names.get(f, -1) for f in fs] for fs in names]))
+        return np.concatenate(parts)
+
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """Decoded spans of each text, chains of similar length decoded together."""
         found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         work = [(k, words) for k, t in enumerate(texts) for words in chains(t)]
         work.sort(key=lambda kw: len(kw[1]))
-        for at in range(0, len(work), 512):
-            part = work[at : at + 512]
-            x = [np.array([[self.names.get(f, -1) for f in fs] for fs in self._features(texts[k], words)]) for k, words in part]
+        at = 0
+        while at < len(work):
+            end = at + 1
+            while end < min(len(work), at + 512) and (end + 1 - at) * len(work[end][1]) <= BATCH:
+                end += 1
+            part, at = work[at:end], end
+            x = [self._numbers(texts[k], words) for k, words in part]
             for (k, words), path in zip(part, self.crf.decode(pad(x), np.array([len(w) for _, w in part])), strict=True):
                 i = 0
                 while i < len(path):

@@ -65,3 +65,11 @@ def test_redact_and_odd_rows(spark):
     got = {(r.doc_id, r.text, r.n_chars, r.spans) for r in pii.redact(df).collect()}
     assert (1, "mail [EMAIL] or [PHONE].", 24, "x") in got and (2, None, 0, "x") in got and (1, "nothing", 7, "x") in got
     assert pii.redact(df).columns == df.columns
+
+
+def test_long_areas_lose_no_span():
+    model, numbers = pii.tagger(), [f"({200 + i % 700}) {100 + i % 900}-{1000 + i % 9000}" for i in range(3000)]
+    assert len(model.spans([numbers[0]])[0]) == 1
+    text = ", ".join(numbers)
+    base, found = pii.all_spans([text, "call " + numbers[0]], model)[0]
+    assert base == [] and [text[a:b] for _, a, b in found] == numbers
