@@ -10,25 +10,30 @@ numbers live in a table indexed by a hash of the subsequence.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import product
 
 import numpy as np
 
 DECAY, SLOTS, LONGEST = 0.6, 1 << 20, 24
-STEPS = [(1, 1, 1), (1, 1, 2), (1, 2, 1), (2, 1, 1), (1, 2, 2), (2, 2, 1), (2, 2, 2)]  # distances between the four characters
+STEPS = list(product((1, 2, 3, 4), repeat=3))  # distances between the four characters: up to three skipped at each
+BLOCK = 1 << 18  # subsequences that are hashed together
 _EDGES = re.compile(r"^[^\w]+|[^\w]+$")
-_SENTENCE = re.compile(r"(?<=[.!?\n])\s+|\n")
+_SIGNS = re.compile(r"[\W_]+")
 
 
-def sentences(text: str) -> list[str]:
-    return [s for s in _SENTENCE.split(text) if s]
-
-
-def words(sentence: str) -> list[str]:
-    """Raw words; a run of single letters is one word (``i d i o t``)."""
+def words(text: str) -> list[str]:
+    """Raw words; a run of single letters, with or without signs around and between them, is one word (``i d i o t``, ``i . d. - i o t``)."""
     out, run = [], []
-    for w in sentence.split():
-        if len(w) == 1 and w.isalpha():
-            run.append(w)
+    for w in text.split():
+        bare = w if w.isalnum() else _SIGNS.sub("", w)
+        if len(bare) == 1 and bare.isalpha():
+            run.append(bare)
+            continue
+        if not bare:
+            if not run:
+                out.append(w)
             continue
         if len(run) > 1:
             out.append("".join(run))
@@ -40,51 +45,79 @@ def words(sentence: str) -> list[str]:
 
 
 def windows(word: str) -> list[str]:
-    """A raw word as the strings that are compared: lower case, without outer punctuation, long ones in overlapping windows."""
+    """A raw word as the strings that are compared: lower case, without outer punctuation, long ones in overlapping windows.
+
+    A word with inner signs, or with one string of one to three characters between all its letters, is also compared without them.
+    """
     w = _EDGES.sub("", word).lower()
     if not w:
         return []
-    w = f"^{w}$"
-    if len(w) <= LONGEST:
-        return [w]
-    return [w[i : i + LONGEST] for i in range(0, len(w) - LONGEST // 2, LONGEST // 2)]
+    out = []
+    spread = [w[::p] for p in (2, 3, 4) if len(w) > 3 * p and len(w) % p == 1 and w[1] == w[p + 1] and w == w[1:p].join(w[::p])]
+    for v in dict.fromkeys((w, w if w.isalnum() else _SIGNS.sub("", w), *spread)):
+        v = f"^{v}$"
+        out += [v] if len(v) <= LONGEST else [v[i : i + LONGEST] for i in range(0, len(v) - LONGEST // 2, LONGEST // 2)]
+    return out
 
 
-def features(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, slot, value) of the normalized feature vectors, sorted by string and slot."""
+@lru_cache(maxsize=2 * LONGEST)
+def _places(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(subsequences x 4) places of the subsequences of a string of ``size`` characters, and the characters that each skips."""
+    rows = [(i, i + a, i + a + b, i + a + b + c) for a, b, c in STEPS for i in range(size - a - b - c)]
+    at = np.array(rows, np.int64).reshape(-1, 4)
+    return at, (at[:, 3] - at[:, 0] - 3).astype(np.uint32)
+
+
+_WEIGHTS = DECAY ** np.arange(16)
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
+
+
+def feature_blocks(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(string, slot, value) of the normalized feature vectors, in blocks of strings of equal length."""
     sizes = np.array([len(s) for s in strings], np.int64)
     code = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    owner = np.repeat(np.arange(len(strings)), sizes)
-    keys, values = [], []
-    for a, b, c in STEPS:
-        n = len(code) - a - b - c
-        if n <= 0:
+    begin = np.cumsum(sizes) - sizes
+    for size in np.unique(sizes):
+        at, skipped = _places(int(size))
+        if not len(at):
             continue
-        same = np.flatnonzero(owner[:n] == owner[a + b + c :])
-        h = code[same] * np.uint64(0x9E3779B97F4A7C15) + code[same + a] * np.uint64(0xC2B2AE3D27D4EB4F) + code[same + a + b] * np.uint64(0x165667B19E3779F9) + code[same + a + b + c] * np.uint64(0x27D4EB2F165667C5)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        keys.append((owner[same] << 20) | (h >> np.uint64(44)).astype(np.int64))
-        values.append(np.full(len(same), DECAY ** (a + b + c - 3)))
-    if not keys:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    key, value = np.concatenate(keys), np.concatenate(values)
-    order = np.argsort(key, kind="stable")
-    key, value = key[order], value[order]
-    first = np.flatnonzero(np.diff(key, prepend=-1))
-    if not len(first):
+        same = np.flatnonzero(sizes == size)
+        step = max(1, BLOCK // len(at))
+        for first in range(0, len(same), step):
+            who = same[first : first + step]
+            chars = code[begin[who][:, None] + np.arange(size)]
+            h = (chars * _MIX[0])[:, at[:, 0]]
+            for k in (1, 2, 3):
+                h += (chars * _MIX[k])[:, at[:, k]]
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            key = (h >> np.uint64(44)).astype(np.uint32)
+            key <<= np.uint32(4)
+            key |= skipped
+            key.sort(axis=1)
+            slot, value = key >> np.uint32(4), _WEIGHTS[key & np.uint32(15)]
+            new = np.ones(key.shape, bool)
+            new[:, 1:] = slot[:, 1:] != slot[:, :-1]
+            start = np.flatnonzero(new)
+            value = np.add.reduceat(value.ravel(), start)
+            row = start // len(at)
+            norm = np.sqrt(np.bincount(row, value * value, minlength=len(who)))
+            yield who[row], slot.ravel()[start].astype(np.int64), value / norm[row]
+
+
+def features(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, slot, value) of the normalized feature vectors; a string's slots stand together in order."""
+    blocks = list(feature_blocks(strings))
+    if not blocks:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    value = np.add.reduceat(value, first)
-    who, slot = key[first] >> 20, key[first] & (SLOTS - 1)
-    norm = np.sqrt(np.bincount(who, value * value, minlength=len(strings)))
-    return who, slot, value / norm[who]
+    return tuple(np.concatenate(x) for x in zip(*blocks, strict=True))
 
 
 def table_scores(strings: list[str], table: np.ndarray) -> np.ndarray:
     """Sum of kernel terms of each string under a table of subsequence weights."""
     out = np.zeros(len(strings))
-    for at in range(0, len(strings), 8_000):
-        who, slot, value = features(strings[at : at + 8_000])
-        out[at : at + 8_000] = np.bincount(who, value * table[slot], minlength=min(8_000, len(strings) - at))
+    for who, slot, value in feature_blocks(strings):
+        out += np.bincount(who, value * table[slot], minlength=len(strings))
     return out
 
 
@@ -136,16 +169,15 @@ class ToxicityModel:
 
 
 def train(docs: list[tuple[str, int]], landmarks: int = 256, rounds: int = 4, seed: int = 1) -> ToxicityModel:
-    """Multiple-instance training on labelled sentences.
+    """Multiple-instance training on labelled documents.
 
-    A sentence has its document's label. Of a toxic document's sentences, which ones are toxic isn't known:
-    each round takes the word that scores highest as the witness of its document (if it
+    Of a toxic document's words, which ones are toxic isn't known: each round takes the word that scores highest as the witness of its document (if it
     scores above what clean documents reach), picks landmarks among
     witnesses and the highest-scoring clean words, and fits the machine on Nyström features. The first
     round's scores are lower bounds of the log odds of the subsequences' document frequencies.
     """
     rng = np.random.default_rng(seed)
-    bags = [(sorted({v for s in sentences(t) for w in words(s) for v in windows(w)}), y) for t, y in docs]
+    bags = [(sorted({v for w in words(t) for v in windows(w)}), y) for t, y in docs]
     bags = [(b, y) for b, y in bags if b]
     strings = sorted({v for b, _ in bags for v in b})
     index = {v: i for i, v in enumerate(strings)}

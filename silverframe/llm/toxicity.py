@@ -23,7 +23,7 @@ from silverframe.llm import string_kernel as sk
 from silverframe.llm.common import batch_texts, by_bytes
 from silverframe.llm.labelled import held_out, labelled_sample
 
-_LETTERS = re.compile(r"(?:^|(?<=\s))\w\s+\w(?!\S)")
+_LETTERS = re.compile(r"(?<!\S)(?:[^\w\s]|_)*[^\W\d_](?:[^\w\s]|_)*\s+(?:(?:[^\w\s]|_)+\s+)*(?:[^\w\s]|_)*[^\W\d_](?:[^\w\s]|_)*(?!\S)")
 REMEMBERED = 150_000
 
 

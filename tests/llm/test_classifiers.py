@@ -60,3 +60,17 @@ def test_odd_rows_and_labels(spark):
     model = toxicity_op.fit(df, none)
     kept = toxicity_op.with_scores(df, model, "p")
     assert kept.columns == [*df.columns, "p"] and kept.where(F.col("p") >= 0.7).count() == 0
+
+
+def test_insults_with_inserted_characters():
+    sf = "/root/testdata/sf0.01"
+    plain = ["^idiot$", "^moron$", "^scum$"]
+    for word in ("idiot", "moron", "scum"):
+        for sign in ("x", "xx", "xxx"):
+            near = sk.landmark_kernel([f"^{sign.join(word)}$"], plain)[0]
+            assert near[plain.index(f"^{word}$")] == max(near) > 0
+        for sign in ("-", "--", "---", ".", "*_*", "_", "x", "xyz"):
+            assert f"^{word}$" in sk.windows(sign.join(word))
+        for sign in (" . ", " - ", ". ", " -- ", "  "):
+            assert toxicity_op._LETTERS.search(f"you {sign.join(word)} now") and word in sk.words(f"you {sign.join(word)} now")
+    assert (2, 1, 2) in sk.STEPS
