@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from silverframe.llm.common import by_bytes, drop_table, materialize, table_path
 from silverframe.llm.components import connected_components
+from silverframe.llm.near_copies import near_copy_links
 
 LEAF_PAIRS = 64
 
@@ -195,15 +196,17 @@ def near_duplicates(docs: DataFrame, bits: int = 3, shingle: int = 3, seed: int
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_per_group(docs: DataFrame, bits: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
+def one_per_group(docs: DataFrame, bits: int = 3, shingle: int = 3, seed: int = 42, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay when each near-duplicate group keeps one: that with the least doc_id.
 
-    Columns stay as they are. Of rows with the same least doc_id one stays, and a group of rows without ids keeps one.
+    Rows are linked by fingerprints within ``bits`` bits and by five-word shingles with a Jaccard similarity of at least ``similarity``. Columns stay as they are. Of rows with the same least doc_id one stays, and a group of rows without ids keeps one.
     """
     numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     ids = numbered.select(F.col("_row").alias("doc_id"), "text")
     prints = materialize(fingerprints(ids, shingle, seed), "fingerprints").withColumnRenamed("doc_id", "_row")
-    roots = connected_components(near_links(prints.select("fp").distinct(), bits)).withColumnRenamed("node", "fp")
+    texts = numbered.select("_row", "doc_id", F.col("text").cast("string")).join(prints.select("_row", F.col("fp").alias("node")), "_row")
+    links = near_links(prints.select("fp").distinct(), bits).unionByName(near_copy_links(texts, similarity))
+    roots = connected_components(links).withColumnRenamed("node", "fp")
     grouped = prints.join(roots, "fp", "left").select("_row", F.coalesce("root", "fp").alias("root"))
     named = grouped.join(numbered.select("_row", F.col("doc_id").cast("long").alias("id")), "_row")
     kept = named.groupBy("root").agg(F.min_by("_row", F.struct(F.col("id").isNull(), "id", "_row")).alias("_row"))

@@ -44,3 +44,20 @@ def test_one_row_of_each_group_stays(spark):
     assert got.columns == df.columns
     assert sorted((str(r.doc_id), r.text) for r in got.collect()) == [("1", None), ("7", "a b c d"), ("None", "x")]
     assert cp.drop_near_duplicates(spark, df.limit(0), "").count() == 0
+
+
+def test_no_near_copy_stays(spark):
+    docs = Q.table(spark, "/root/testdata/sf0.01", "documents")
+    words = [f"w{i}" for i in range(200)]
+    sparse = [" ".join("x" if i in (20, 60, 100, 140)[:k] else w for i, w in enumerate(words)) for k in range(5)]
+    more = spark.createDataFrame([(10_000_000 + k, t, "l", "s", 1) for k, t in enumerate(sparse)], docs.schema)
+    before = {r.doc_id: grams(r.text) for r in docs.unionByName(more).collect()}
+    kept = {r.doc_id for r in cp.drop_near_duplicates(spark, docs.unionByName(more), "").collect()}
+    by = {}
+    for d in sorted(before):
+        for g in before[d]:
+            by.setdefault(g, []).append(d)
+    pairs = {(x, y) for ds in by.values() if len(ds) <= 60 for i, x in enumerate(ds) for y in ds[i + 1 :]}
+    near = {(x, y) for x, y in pairs if len(before[x] & before[y]) >= 0.8 * len(before[x] | before[y])}
+    assert len(near) > 5 and not [p for p in near if kept.issuperset(p)]
+    assert kept & set(range(10_000_000, 10_000_005)) == {10_000_000}
