@@ -1,8 +1,9 @@
 """Quality scores: random-indexing word vectors, pooled per document, and a small calibrated network.
 
-A word's index vector is the sum of fixed sparse random vectors of its units (shape, first and last letters).
-Random indexing adds up, for each unit, the index vectors of the words around it over the training sample; a
-word's vector is its index vector plus that context, both of unit length, so unseen words have vectors too. A
+A word's index vector is the sum of fixed sparse random vectors of its units: the word itself, its shape (up to 12
+characters), its first and last three letters and its length (up to 20). Random indexing adds up, for each unit, the index
+vectors of the words around it over the training sample (words of fewer than ``RARE`` places have only the other units' contexts);
+a word's vector is its index vector plus that context, both of unit length, so unseen words have vectors too. A
 document is pooled to the mean, the spread and the mean product of neighbouring words' vectors. A network
 with one hidden layer scores it, and a temperature fitted on a tenth of the sample calibrates the score.
 
@@ -24,11 +25,12 @@ from pyspark.sql import functions as F
 from silverframe.llm.common import batch_texts, by_bytes
 from silverframe.llm.labelled import held_out, labelled_sample
 
-DIM, NONZERO, REMEMBERED = 32, 4, 300_000
+DIM, NONZERO, REMEMBERED, UNITS, RARE, SLICE = 32, 4, 300_000, 5, 5, 1 << 20
+_GAP = re.compile(r"\s")
 _SHAPES = [(re.compile(r"[^\W\d_]*[A-ZÀ-ÖØ-Þ]{2}[^\W\d_]*"), "A"), (re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "0")]
 
 
-def units(word: str) -> tuple[str, str, str, str]:
+def units(word: str) -> tuple[str, str, str, str, str]:
     if word.isalpha() and word[1:].islower():
         shape = "a"
     elif word[:-1].isalpha() and word[-1] in ".,;:!?" and word[1:-1].islower():
@@ -37,23 +39,26 @@ def units(word: str) -> tuple[str, str, str, str]:
         shape = word
         for pattern, mark in _SHAPES:
             shape = pattern.sub(mark, shape)
-    return "s" + shape[:12], "f" + word[:3].lower(), "l" + word[-3:].lower(), "n" + str(min(len(word), 20))
+    return "w" + word.strip(".,;:!?").lower(), "s" + shape[:12], "f" + word[:3].lower(), "l" + word[-3:].lower(), "n" + str(min(len(word), 20))
 
 
-def index_vector(unit: str) -> np.ndarray:
-    v = np.zeros(DIM, np.float32)
-    h = zlib.crc32(unit.encode("utf-8", "surrogatepass"))
+def index_vectors(names: list[str]) -> np.ndarray:
+    """The fixed sparse random vector of each unit."""
+    v = np.zeros((len(names), DIM), np.float32)
+    h = np.fromiter((zlib.crc32(u.encode("utf-8", "surrogatepass")) for u in names), np.uint64, len(names))
+    rows = np.arange(len(names))
     for k in range(NONZERO):
-        h = (h * 2654435761 + 97 * k + 1) & 0xFFFFFFFF
-        v[(h >> 8) % DIM] += 1 if h >> 31 else -1
+        h = (h * np.uint64(2654435761) + np.uint64(97 * k + 1)) & np.uint64(0xFFFFFFFF)
+        v[rows, ((h >> np.uint64(8)) % np.uint64(DIM)).astype(np.int64)] += np.where(h >> np.uint64(31), 1, -1)
     return v
 
 
 class WordVectors:
     """Vectors of words, with a bounded memory of rows."""
 
-    def __init__(self, context: dict[str, np.ndarray] | None = None):
-        self.context = context or {}
+    def __init__(self, context: tuple[list[str], np.ndarray] | None = None):
+        names, self.contexts = context or ([], np.zeros((0, DIM), np.float32))
+        self.place = {u: k for k, u in enumerate(names)}
         self._reset()
 
     def _reset(self) -> None:
@@ -68,14 +73,21 @@ class WordVectors:
             k = self.unit[unit] = len(self.unit)
             if k == len(self.own):
                 self.own, self.around = (np.concatenate([m, np.zeros_like(m)]) for m in (self.own, self.around))
-            self.own[k] = index_vector(unit)
-            if unit in self.context:
-                self.around[k] = self.context[unit]
+            self.own[k] = index_vectors([unit])[0]
+            if unit in self.place:
+                self.around[k] = self.contexts[self.place[unit]]
         return k
 
     def _add(self, words: list[str]) -> None:
-        k = np.fromiter((self._unit(u) for w in words for u in units(w)), np.int64, 4 * len(words)).reshape(-1, 4)
-        own, around = self.own[k].sum(1), self.around[k].sum(1)
+        named = [units(w) for w in words]
+        own = index_vectors([u[0] for u in named])  # words are too many to be kept as units
+        at = np.fromiter((self.place.get(u[0], -1) for u in named), np.int64, len(words))
+        around = np.zeros_like(own)
+        around[at >= 0] = self.contexts[at[at >= 0]]
+        k = np.fromiter((self._unit(u) for us in named for u in us[1:]), np.int64, (UNITS - 1) * len(words)).reshape(-1, UNITS - 1)
+        for column in k.T:
+            own += self.own[column]
+            around += self.around[column]
         made = own / (np.linalg.norm(own, axis=1, keepdims=True) + 1e-6) + around / (np.linalg.norm(around, axis=1, keepdims=True) + 1e-6)
         first = len(self.row)
         while len(self.rows) < first + len(words):
@@ -94,46 +106,76 @@ class WordVectors:
         return np.fromiter((i for s in split for i in map(self.row.__getitem__, s)), np.int64, int(sizes.sum())), sizes
 
     def pooled(self, texts: list[str]) -> np.ndarray:
-        """Mean, spread and neighbour product of each text's vectors."""
-        ids, sizes = self.ids(texts)
+        """Mean, spread and neighbour product of each text's vectors; long texts go slice by slice."""
         out = np.zeros((len(texts), 3 * DIM), np.float32)
+        short = [k for k, t in enumerate(texts) if len(t) <= SLICE]
+        ids, sizes = self.ids([texts[k] for k in short])
         some = np.flatnonzero(sizes)
-        if not len(some):
-            return out
-        v = self.rows[ids]
-        starts = (np.cumsum(sizes) - sizes)[some]
-        n = sizes[some, None]
-        mean = np.add.reduceat(v, starts, axis=0) / n
-        out[some, :DIM] = mean
-        out[some, DIM : 2 * DIM] = np.sqrt(np.maximum(np.add.reduceat(v * v, starts, axis=0) / n - mean * mean, 0))
-        beside = np.zeros_like(v)
-        beside[:-1] = v[:-1] * v[1:]
-        beside[starts[1:] - 1] = 0
-        out[some, 2 * DIM :] = np.add.reduceat(beside, starts, axis=0) / np.maximum(n - 1, 1)
+        if len(some):
+            v, starts = self.rows[ids], (np.cumsum(sizes) - sizes)[some]
+            beside = np.zeros_like(v)
+            beside[:-1] = v[:-1] * v[1:]
+            beside[starts[1:] - 1] = 0
+            out[np.array(short)[some]] = _pool(*(np.add.reduceat(x, starts, axis=0) for x in (v, v * v, beside)), sizes[some, None])
+        for k in set(range(len(texts))) - set(short):
+            sums, n, last = np.zeros((3, DIM)), 0, None
+            for part in slices(texts[k]):
+                ids, _ = self.ids([part])
+                if len(ids):
+                    v = self.rows[ids]
+                    ahead = v if last is None else np.concatenate([last, v])
+                    sums += [v.sum(0), (v * v).sum(0), (ahead[:-1] * ahead[1:]).sum(0)]
+                    n, last = n + len(ids), v[-1:]
+            if n:
+                out[k] = _pool(*sums, n)
         return out
 
 
-def contexts(texts: list[str], reach: int = 2) -> dict[str, np.ndarray]:
-    """Random indexing: for each unit, the sum of the index vectors of words up to ``reach`` places away."""
+def _pool(total: np.ndarray, squares: np.ndarray, beside: np.ndarray, n) -> np.ndarray:
+    mean = total / n
+    return np.concatenate([mean, np.sqrt(np.maximum(squares / n - mean * mean, 0)), beside / np.maximum(n - 1, 1)], -1)
+
+
+def slices(text: str):
+    """A text in slices of about ``SLICE`` characters, cut at white space."""
+    at = 0
+    while at < len(text):
+        gap = _GAP.search(text, at + SLICE)
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
+
+
+def contexts(texts: list[str], reach: int = 2) -> tuple[list[str], np.ndarray]:
+    """Random indexing: units, and for each the sum of the index vectors of words up to ``reach`` places away."""
     plain = WordVectors()
-    order: dict[str, int] = {}
-    sums = np.zeros((1024, DIM))
+    words: dict[str, int] = {}
+    sums, places = np.zeros((1024, DIM), np.float32), np.zeros(1024, np.int64)
     for text in texts:
-        ids, _ = plain.ids([text])
-        if not len(ids):
+        split = text.split()
+        if not split:
             continue
+        ids, _ = plain.ids([text])
         v = plain.rows[ids]
         total = np.zeros_like(v)
         for k in range(1, min(reach, len(ids) - 1) + 1):
             total[k:] += v[:-k]
             total[:-k] += v[k:]
-        own = [[order.setdefault(u, len(order)) for u in units(w)] for w in text.split()]
-        while len(order) > len(sums):
-            sums = np.concatenate([sums, np.zeros_like(sums)])
-        flat = np.array(own)
-        for column in flat.T:
-            np.add.at(sums, column, total)
-    return {u: (sums[k] / (np.linalg.norm(sums[k]) + 1e-6)).astype(np.float32) for u, k in order.items()}
+        own = np.array([words.setdefault(w, len(words)) for w in split])
+        while len(words) > len(sums):
+            sums, places = np.concatenate([sums, np.zeros_like(sums)]), np.concatenate([places, np.zeros_like(places)])
+        np.add.at(sums, own, total)
+        places += np.bincount(own, minlength=len(places))
+    order: dict[str, int] = {}
+    rows = np.array([[order.setdefault(u, len(order)) for u in units(w)] for w in words], np.int64).reshape(-1, UNITS)
+    out, seen = np.zeros((len(order), DIM)), np.zeros(len(order), np.int64)
+    for column in rows.T:
+        np.add.at(out, column, sums[: len(words)])
+        np.add.at(seen, column, places[: len(words)])
+    names = list(order)
+    kept = np.array([k for k, u in enumerate(names) if u[0] != "w" or seen[k] >= RARE], np.int64)
+    out = out[kept]
+    return [names[k] for k in kept], (out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-6)).astype(np.float32)
 
 
 class QualityModel:
@@ -156,13 +198,13 @@ def _forward(x, layers):
     return hidden, (hidden @ w2 + b2).astype(float)
 
 
-def train(docs: list[tuple[str, int]], hidden: int = 32, epochs: int = 60, seed: int = 3, context_docs: int = 1500) -> QualityModel:
+def train(docs: list[tuple[str, int]], hidden: int = 32, epochs: int = 60, seed: int = 3) -> QualityModel:
     y = np.array([float(v) for _, v in docs])
     if not len(y) or y.min() == y.max():
-        return QualityModel({}, 0, 1, None, 1.0, float(y.mean()) if len(y) else 0.5)
+        return QualityModel(None, 0, 1, None, 1.0, float(y.mean()) if len(y) else 0.5)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(docs))
-    context = contexts([docs[i][0] for i in order[:context_docs]])
+    context = contexts([t for t, _ in docs])
     vectors = WordVectors(context)
     x = np.concatenate([vectors.pooled([t]) for t, _ in docs])
     mean, scale = x.mean(0), x.std(0) + 1e-3
@@ -191,9 +233,9 @@ def train(docs: list[tuple[str, int]], hidden: int = 32, epochs: int = 60, seed:
     return QualityModel(context, mean, scale, p, float(grid[int(np.argmin(loss))]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> QualityModel:
-    """Fit on at most ``per_class`` labelled documents of each class whose crc32(doc_id) modulo 5 is not 0."""
-    return train(labelled_sample(docs, labels, "quality", 5, 0, per_class))
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, longest: int = 20_000) -> QualityModel:
+    """Fit on at most ``per_class`` labelled documents of each class, of at most ``longest`` characters, whose crc32(doc_id) modulo 5 is not 0."""
+    return train(labelled_sample(docs, labels, "quality", 5, 0, per_class, longest))
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 4000) -> DataFrame:

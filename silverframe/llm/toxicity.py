@@ -1,12 +1,13 @@
 """Toxicity scores by a subsequence string-kernel support vector machine.
 
 The machine (:mod:`silverframe.llm.string_kernel`) is fitted on the driver on a bounded sample of labelled
-documents and broadcast (4 MB). A document's score is the calibrated decision of its highest-scoring word;
-each distinct word is scored once while the worker remembers it.
+documents, sentence by sentence, and broadcast (8 MB). A sentence's decision is that of its highest-scoring word, a document's
+score the calibrated decision of its highest sentence; each distinct word is scored once while the worker remembers it.
 
 Defined cases: null and empty texts score as a text without any match; null ids count as not held out;
 repeated rows and ties score alike; an empty table gives no rows; without labels of both classes every
-document gets the same score below the threshold (or above, if all labels are toxic); other columns are ignored.
+document gets the same score below the threshold (or above, if all labels are toxic); other columns are ignored by
+:func:`toxicity`, kept by :func:`without_toxic` and kept by :func:`with_scores` unless they have the score's name, which replaces them.
 """
 
 from __future__ import annotations
@@ -48,9 +49,28 @@ class WordScores:
         return np.array([max(map(self.known.__getitem__, ws), default=self.model.bias) for ws in split])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> sk.ToxicityModel:
-    """Fit on at most ``per_class`` labelled documents of each class whose crc32(doc_id) modulo 3 is not 1."""
-    return sk.train(labelled_sample(docs, labels, "toxic", 3, 1, per_class))
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int = 20_000) -> sk.ToxicityModel:
+    """Fit on at most ``per_class`` labelled documents of each class, of at most ``longest`` characters, whose crc32(doc_id) modulo 3 is not 1."""
+    return sk.train(labelled_sample(docs, labels, "toxic", 3, 1, per_class, longest))
+
+
+def _scored(batches, model: sk.ToxicityModel):
+    """(slice of a batch, scores of its texts)."""
+    words = WordScores(model)
+    for batch in batches:
+        for piece in by_bytes(batch, limit=1 << 20):
+            yield piece, model.probability(words.highest(batch_texts(piece)))
+
+
+def without_toxic(docs: DataFrame, model: sk.ToxicityModel, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score under ``threshold``, with the columns as they are and no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for piece, p in _scored(batches, shared.value):
+            yield piece.filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def with_scores(docs: DataFrame, model: sk.ToxicityModel, column: str = "score") -> DataFrame:
@@ -58,11 +78,8 @@ def with_scores(docs: DataFrame, model: sk.ToxicityModel, column: str = "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        words = WordScores(shared.value)
-        for batch in batches:
-            for piece in by_bytes(batch, limit=1 << 20):
-                p = shared.value.probability(words.highest(batch_texts(piece)))
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(p)], [*piece.schema.names, column])
+        for piece, p in _scored(batches, shared.value):
+            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(p)], [*piece.schema.names, column])
 
     rest = docs.drop(column).withColumn("text", F.col("text").cast("string"))
     return rest.mapInArrow(run, StructType([*rest.schema.fields, StructField(column, DoubleType())]))
