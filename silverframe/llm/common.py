@@ -15,15 +15,17 @@ _TABLES: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or in local mode (tests) a new one where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
-def write_table(df: DataFrame, name: str) -> str:
+def write_table(df: DataFrame, name: str, options: dict[str, str] | None = None) -> str:
     """Write ``df`` as Parquet into the shared folder and return its path.
 
     A committed table replaces the lineage behind it, so a lost executor costs a re-read and not a
@@ -31,7 +33,7 @@ def write_table(df: DataFrame, name: str) -> str:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/silverframe/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**({"compression": "zstd"} | (options or {}))).parquet(path)
     _TABLES.append((spark, path))
     return path
 

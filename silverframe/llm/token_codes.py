@@ -2,7 +2,8 @@
 
 File format. Documents are range-partitioned by ``doc_id`` and sorted, so partitions in order of their
 number hold the ids in ascending order of ``doc_id``. Each row of the Parquet container is one segment
-of about ``segment_ids`` ids, with the image below in ``payload``:
+of about ``segment_ids`` ids, with the image below in ``payload``. The container is not compressed and has one
+segment a row group, so a reader of one id fetches the segment that holds it and no other, and unpacks nothing:
 
     "DAC1", then little-endian unsigned 32-bit: number of ids, of levels, of documents
     document starts within the segment, 32 bits each
@@ -11,13 +12,16 @@ of about ``segment_ids`` ids, with the image below in ``payload``:
     level) and its rank directory (32 bits for every 512 bits: set bits before them)
 
 To read id ``i``: take its chunk; if its bit is set, ``rank`` (directory entry plus the set bits of one
-block) is its place in the next level.
+block) is its place in the next level. :func:`tokens_at` reads ids by their number in the corpus.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_right
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -113,8 +117,8 @@ class SegmentReader:
 def write_codes(docs: DataFrame, tokenizer_path: str, end_id: int = 0, segment_ids: int = 1 << 20) -> str:
     """Encode documents (doc_id, text) and write their ids in ascending order of doc_id; returns the folder.
 
-    Null texts count as empty (the end id alone), null ids come first, rows with the same id stay
-    side by side, other columns are ignored. A segment closes at ``segment_ids`` ids or more.
+    Null texts count as empty (the end id alone), null ids come first, rows with the same id follow each
+    other in the order of a hash of their texts, other columns are ignored. A segment closes at ``segment_ids`` ids or more.
     """
 
     def run(batches):
@@ -146,8 +150,10 @@ def write_codes(docs: DataFrame, tokenizer_path: str, end_id: int = 0, segment_i
         if held:
             yield close()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return write_table(ordered.mapInArrow(run, SEGMENT), "token-codes")
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions(*order)
+    # a segment exceeds the row group's size, and pages aren't compressed
+    return write_table(ordered.mapInArrow(run, SEGMENT), "token-codes", {"compression": "none", "parquet.block.size": str(segment_ids), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.enable.dictionary": "false"})
 
 
 def read_codes(spark: SparkSession, path: str) -> DataFrame:
@@ -169,5 +175,32 @@ def read_codes(spark: SparkSession, path: str) -> DataFrame:
     return segments.select("part", "part_start", "doc_ids", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
+def tokens_at(spark: SparkSession, path: str, places: list[int]) -> DataFrame:
+    """place and id of some numbers of ids in the corpus, read by rank from the segments that hold them.
+
+    The heads of all segments are looked at, payloads only of row groups that the filter on part and segment leaves.
+    Repeated places give one row, places beyond the corpus none.
+    """
+    segments = spark.read.schema(SEGMENT).parquet(path)
+    begins = sorted((at, part) for part, at in partition_offsets(segments).items())
+    first = [at for at, _ in begins]
+    inside = [(p, begins[k][1], p - first[k]) for p in sorted(set(places)) if p >= 0 and (k := bisect_right(first, p) - 1) >= 0]
+    asked = spark.createDataFrame(inside, "place long, part int, at long")
+    heads = segments.select("part", "segment", "part_start", "n_tokens")
+    hit = asked.join(heads, (asked.part == heads.part) & (F.col("at") >= F.col("part_start")) & (F.col("at") < F.col("part_start") + F.col("n_tokens")))
+    wanted: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for part, segment, place, at in hit.select(heads.part, "segment", "place", F.col("at") - F.col("part_start")).collect():  # a row for each place
+        wanted.setdefault((part, segment), []).append((place, at))
+
+    def run(batches):
+        for batch in batches:
+            for part, segment, payload in zip(*(batch.column(c).to_pylist() for c in ("part", "segment", "payload")), strict=True):
+                reader, asked = SegmentReader(payload), wanted.get((part, segment), [])
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in asked], pa.int64()), pa.array([reader.access(i) for _, i in asked], pa.int64())], ["place", "id"])
+
+    pick = reduce(or_, ((F.col("part") == p) & (F.col("segment") == s) for p, s in wanted), F.lit(False))
+    return segments.where(pick).select("part", "segment", "payload").mapInArrow(run, "place long, id long")
+
+
 def crc32_ids(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())

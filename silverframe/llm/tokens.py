@@ -4,7 +4,8 @@ Both vocabularies split a text before byte-pair merging, and that split never jo
 space unless white space stands on both sides of it. So the ids of a text are the concatenation of the ids
 of its pieces, and each distinct piece is merged once per worker. The memo changes speed only: beyond
 its bound, pieces are encoded again. Texts for which the argument doesn't hold (longer white space in
-a byte-level vocabulary) and pieces with unusual characters go through the library's full encoder.
+a byte-level vocabulary), texts with the string of one of the vocabulary's special tokens, and pieces with unusual
+characters go through the library's full encoder, which takes such a string as that token.
 """
 
 from __future__ import annotations
@@ -55,11 +56,12 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             declared = json.load(f)
         self.letters = _byte_letters()
         self.model = self.full.model
+        added = [t["content"] for t in declared.get("added_tokens") or [] if t["content"]]
+        self.special = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         words = "Lowercase" in json.dumps(declared["normalizer"])
         if words and WORD_SPLIT in [p.get("pattern", {}).get("Regex") for p in declared["pre_tokenizer"].get("pretokenizers", [])]:
             self.split, self.lead = regex.compile(WORD_SPLIT), ""
@@ -93,7 +95,7 @@ class PieceEncoder:
         return b"".join(map(self.units.__getitem__, self.split.findall(piece)))
 
     def encode(self, text: str) -> bytes:
-        if self.split is None or (self.lead and _INNER_SPACE.search(text)):
+        if self.split is None or (self.special and self.special.search(text)) or (self.lead and _INNER_SPACE.search(text)):
             return self.whole(text)
         pieces = text.split(" ")
         return self.first[pieces[0]] + b"".join(map(self.later.__getitem__, pieces[1:]))

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
@@ -11,15 +12,14 @@ from tokenizers import Tokenizer
 
 from silverframe.llm import queries as Q
 from silverframe.llm.packing import assemble_sequences, pack_documents
-from silverframe.llm.token_codes import SegmentReader, encode_segment, read_codes, write_codes
+from silverframe.llm.token_codes import SegmentReader, encode_segment, read_codes, tokens_at, write_codes
 from silverframe.llm.tokens import encoder
 
-ODD = ["", " ", "  ", "a  b", " a", "a ", "a   b", "a\n  b", "\n \n", "a\xa0 b", "don't it's 's", "<|endoftext|> x", "é é ½ ²", "日本語 テキスト", "🙂 🙃!!", "ΣΑΣ Σ", "a\x1cb c\x85d"]
+ODD = ["", " ", "  ", "a  b", " a", "a ", "a   b", "a\n  b", "\n \n", "a\xa0 b", "don't it's 's", "<|endoftext|> x", "a<|endoftext|>b", "x <|ENDOFTEXT|> y", "<|startoftext|>", "<|endoftext| >", "é é ½ ²", "日本語 テキスト", "🙂 🙃!!", "ΣΑΣ Σ", "a\x1cb c\x85d"]
 
 
 def library(name):
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -104,6 +104,26 @@ def test_token_codes_query(spark, sf_dir):
     check_codes(Q.op5_token_codes(spark, sf_dir).collect(), docs, library("byte_bpe_50k.json"))
 
 
+def test_random_access_by_place(spark):
+    df = odd_docs(spark).where("doc_id is null or doc_id > 0")
+    path = write_codes(df, P.path("byte_bpe_50k.json"), segment_ids=50)
+    ids = np.concatenate([np.frombuffer(r.ids, "<u4") for r in sorted(read_codes(spark, path).collect(), key=lambda r: r.start)])
+    places = [0, 1, 49, 50, 51, 100, len(ids) - 1, 7, 7]
+    got = {r.place: r.id for r in tokens_at(spark, path, [*places, -1, len(ids)]).collect()}
+    assert got == {p: int(ids[p]) for p in places}
+    assert tokens_at(spark, path, []).count() == 0
+    for f in spark.read.parquet(path).inputFiles():
+        held = pq.ParquetFile(f.removeprefix("file://")).metadata
+        assert held.num_row_groups == held.num_rows and held.row_group(0).column(held.num_columns - 1).compression == "UNCOMPRESSED"
+
+
+def test_repeated_ids_have_one_order(spark):
+    rows = [(1, t) for t in ("b", "a c", "", "a c", "zz z")] + [(2, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = {tuple(sorted((r.start, r.doc_id, bytes(r.ids)) for r in read_codes(spark, write_codes(df.repartition(n), P.path("byte_bpe_50k.json"))).collect())) for n in (1, 3, 6)}
+    assert len(seen) == 1
+
+
 def test_token_codes_odd_rows(spark):
     df = odd_docs(spark).where("doc_id is null or doc_id > 0")
     path = write_codes(df, P.path("byte_bpe_50k.json"), segment_ids=50)
