@@ -17,7 +17,7 @@ from silverframe.llm.packing import pack_documents
 from silverframe.llm.pii import redact
 from silverframe.llm.queries import table, tokenizer
 from silverframe.llm.simhash import one_per_group
-from silverframe.llm.toxicity import fit, with_scores
+from silverframe.llm.toxicity import fit, without_toxic
 
 TOXIC = 0.7
 
@@ -25,8 +25,7 @@ TOXIC = 0.7
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under the threshold."""
     model = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    scored = with_scores(docs, model, "_toxicity")
-    return scored.where(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    return without_toxic(docs, model, TOXIC)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
