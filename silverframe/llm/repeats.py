@@ -6,12 +6,13 @@ the whole corpus would sort text that occurs once, so candidates are found first
 so only windows whose anchor's hash occurs twice can repeat. Neighbouring windows with one anchor form a block.
 
 1. Equal texts are collapsed (by SHA-256); a text with copies is all repeated, and stays as a source for others.
-2. Anchors are counted. An anchor all of whose blocks are equal needs no sorting: its windows repeat.
-3. The blocks of the other repeated anchors go to shards by their anchor, equal blocks collapsed. Each shard
+2. Anchors are counted. An anchor all of whose blocks are equal (64-bit hashes) needs no sorting: its windows repeat.
+3. The blocks of the other repeated anchors go to shards by their anchor, equal blocks collapsed to one. Each shard
    sorts its windows (Larsson-Sadakane refinement) and marks those whose common prefix (Kasai) with a neighbour has
-   ``width`` bytes.
-4. An anchor with more than ``hot`` blocks is spread over several shards; their sorted lists of distinct windows
-   are merged by binary search, range by range of the windows' 128-bit digests.
+   ``width`` bytes. Blocks with copies repeat as a whole; they are all but those that are alone in their class, so
+   no join needs a passage's own, possibly hot, key.
+4. An anchor with more than ``hot`` distinct blocks is spread over several shards. Each gives its distinct windows as a run sorted by
+   128-bit digests; runs are merged two by two, each window of one looked up in the other by binary search.
 5. Marked windows go back to their texts, and texts to their documents.
 
 Every step ends in a table in the shared folder. Texts travel zstd-compressed.
@@ -50,21 +51,33 @@ def _span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, name: str
 
 
 def text_blocks(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
-    """(text, start in it, windows, anchor hash, block hash) of the blocks of all texts, in order."""
-    parts = []
-    group, size, first = [], 0, 0
-    for k, t in enumerate([*texts, None]):
-        if t is None or (group and size + len(t) > CHUNK):
-            if group:
-                parts.append(_blocks(group, first, width))
-            group, size, first = [], 0, k
-        if t is not None:
-            group.append(t)
-            size += len(t)
+    """(text, start in it, windows, anchor hash, block hash) of the blocks of all texts, in order.
+
+    Texts are taken in groups of at most ``CHUNK`` bytes and a bit; a longer text in pieces that share ``width - 1`` bytes, so
+    that each window is in one piece.
+    """
+    parts, group, size = [], [], 0
+
+    def close():
+        if group:
+            owner, offset, pieces = zip(*group, strict=True)
+            k, start, *rest = _blocks(list(pieces), width)
+            parts.append((np.array(owner, np.int64)[k], np.array(offset, np.int64)[k] + start, *rest))
+            group.clear()
+
+    for k, t in enumerate(texts):
+        for at in range(0, max(len(t) - width + 1, 1), CHUNK):
+            piece = t if len(t) <= CHUNK else t[at : at + CHUNK + width - 1]
+            if group and size + len(piece) > CHUNK + width - 1:
+                close()
+                size = 0
+            group.append((k, at, piece))
+            size += len(piece)
+    close()
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else tuple(np.empty(0, np.int64) for _ in range(5))
 
 
-def _blocks(texts: list[bytes], first: int, width: int) -> tuple[np.ndarray, ...]:
+def _blocks(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     buf = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     begin = np.cumsum(sizes) - sizes
@@ -76,7 +89,7 @@ def _blocks(texts: list[bytes], first: int, width: int) -> tuple[np.ndarray, ...
         h = h[:-k] * np.uint64(m) + h[k:]
         h ^= h >> np.uint64(31)
         k *= 2
-    low = max(24, (n - 1).bit_length())
+    low = 24  # bits of the place in the buffer, which is shorter
     key = ((h >> np.uint64(low)) << np.uint64(low)) | np.arange(len(h), dtype=np.uint64)
     grams, step = width - GRAM + 1, 1
     while 2 * step <= grams:
@@ -91,7 +104,7 @@ def _blocks(texts: list[bytes], first: int, width: int) -> tuple[np.ndarray, ...
     which = np.cumsum(new)[inside] - 1
     windows = np.bincount(which, minlength=len(start))
     block = _span_hash(_VALUES[buf], start, start + windows + width - 1, "block", _BASE)
-    return owner[start] + first, start - begin[owner[start]], windows, h[anchor[start]], block
+    return owner[start], start - begin[owner[start]], windows, h[anchor[start]], block
 
 
 def _release(spark: SparkSession) -> None:
@@ -107,6 +120,15 @@ def _unzip(batch: pa.RecordBatch) -> list[bytes]:
     return [d.decompress(z) for z in batch.column("z").to_pylist()]
 
 
+def _by_size(batch: pa.RecordBatch, limit: int = 4 << 20):
+    """Slices of a batch of about ``limit`` unpacked bytes (column n), one row at least."""
+    n = batch.column("n").to_numpy(zero_copy_only=False)
+    part = (np.cumsum(n) - n) // limit
+    cuts = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else np.empty(0, int)
+    for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+        yield batch.slice(int(a), int(b - a))
+
+
 def _texts(docs: DataFrame, width: int) -> DataFrame:
     """One row per distinct text: rid, sha, copies, n, z (compressed), and its blocks' hashes (anchors g, blocks b)."""
 
@@ -117,27 +139,26 @@ def _texts(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for piece in by_bytes(batch):
                 raw = piece.column("text").cast(pa.binary()).to_pylist()
-                yield pa.RecordBatch.from_arrays([piece.column("sha"), piece.column("k"), pa.array([c.compress(x) for x in raw], pa.binary())], ["sha", "k", "z"])
+                yield pa.RecordBatch.from_arrays([piece.column("sha"), piece.column("k"), pa.array([len(x) for x in raw], pa.int64()), pa.array([c.compress(x) for x in raw], pa.binary())], ["sha", "k", "n", "z"])
 
     def analyse(batches):
         at = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                piece = batch.slice(lo, 200)
+            for piece in _by_size(batch):
                 texts = _unzip(piece)
                 doc, _, _, g, b = text_blocks(texts, width)
                 edge = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(edge), pa.array(v.view(np.int64))) for v in (g, b)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(at, at + len(texts))), piece.column("sha"), piece.column("copies"), pa.array([len(t) for t in texts], pa.int64()), piece.column("z"), *lists],
+                    [pa.array(np.arange(at, at + len(texts))), piece.column("sha"), piece.column("copies"), piece.column("n"), piece.column("z"), *lists],
                     ["rid", "sha", "copies", "n", "z", "g", "b"],
                 )
                 at += len(texts)
 
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("sha", F.unhex(F.sha2("text", 256)))
     one = keyed.groupBy("sha").agg(F.min("k").alias("k"), F.count("*").alias("copies"))
-    squeezed = keyed.select("sha", "k", "text").mapInArrow(squeeze, "sha binary, k long, z binary")
-    return squeezed.join(one, ["sha", "k"]).select("sha", "copies", "z").mapInArrow(analyse, "rid long, sha binary, copies long, n long, z binary, g array<long>, b array<long>")
+    squeezed = keyed.select("sha", "k", "text").mapInArrow(squeeze, "sha binary, k long, n long, z binary")
+    return squeezed.join(one, ["sha", "k"]).select("sha", "copies", "n", "z").mapInArrow(analyse, "rid long, sha binary, copies long, n long, z binary, g array<long>, b array<long>")
 
 
 def _sort_shard(rows: list[tuple], width: int):
@@ -216,22 +237,38 @@ def _shard_windows(blocks: DataFrame, width: int, hot: int) -> DataFrame:
         if not rows:
             return
         t = pa.concat_tables(rows)
-        f1, f2 = (t.column(c).to_numpy() for c in ("f1", "f2"))
-        order = np.lexsort((f2, f1))
-        f1, f2 = f1[order], f2[order]
-        # equal digests stand side by side; binary search gives the range of each first half
-        left, right = np.searchsorted(f1, f1, "left"), np.searchsorted(f1, f1, "right")
-        again = np.zeros(len(f1), bool)
-        again[1:] |= (f1[1:] == f1[:-1]) & (f2[1:] == f2[:-1])
-        again[:-1] |= again[1:] & (f1[1:] == f1[:-1]) & (f2[1:] == f2[:-1])
-        hit = order[again & (right - left > 1)]
-        hit = hit[~t.column("marked").to_numpy(zero_copy_only=False)[hit].astype(bool)]
+        f1, f2, shard = (t.column(c).to_numpy() for c in ("f1", "f2", "shard"))
+        edge = np.append(np.flatnonzero(np.diff(shard, prepend=shard[0] - 1)), len(shard))
+        seen = np.zeros(len(f1), bool)
+        runs = [np.arange(a, b) for a, b in zip(edge, edge[1:], strict=False)]
+        while len(runs) > 1:
+            runs = [merged(*pair, f1, f2, seen) if len(pair) > 1 else pair[0] for pair in (runs[k : k + 2] for k in range(0, len(runs), 2))]
+        hit = np.flatnonzero(seen & ~t.column("marked").to_numpy(zero_copy_only=False).astype(bool))
         yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks().take(pa.array(hit)) for c in ("rid", "ord", "w0", "w1")], ["rid", "ord", "w0", "w1"])
 
-    across = done.where("f1 is not null").select("rid", "ord", "w0", "w1", "f1", "f2", "marked").repartition("f1", "f2").mapInArrow(merge, "rid long, ord int, w0 int, w1 int")
+    across = done.where("f1 is not null").select("rid", "ord", "w0", "w1", "f1", "f2", "marked", "shard").repartition("f1", "f2").sortWithinPartitions("shard", "f1", "f2").mapInArrow(merge, "rid long, ord int, w0 int, w1 int")
     return done.where("f1 is null").select("rid", "ord", "w0", "w1").unionByName(across)
 
 
+def merged(a: np.ndarray, b: np.ndarray, f1: np.ndarray, f2: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Two runs (row numbers, sorted by f1) as one. Each row of the second is looked up in the first by binary search; rows with equal digests are marked in ``seen``."""
+    left, right = (np.searchsorted(f1[a], f1[b], side) for side in ("left", "right"))
+    one = np.flatnonzero(right - left == 1)
+    same = one[f2[a[left[one]]] == f2[b[one]]]
+    seen[a[left[same]]] = seen[b[same]] = True
+    for k in np.flatnonzero(right - left > 1):  # merged rows that share the digest's first half
+        group = a[left[k] : right[k]]
+        equal = group[f2[group] == f2[b[k]]]
+        seen[equal] = True
+        seen[b[k]] |= len(equal) > 0
+    out = np.empty(len(a) + len(b), np.int64)
+    place = left + np.arange(len(b))
+    other = np.ones(len(out), bool)
+    other[place] = False
+    out[place], out[other] = b, a
+    return out
+
+
 def without_repeats(docs: DataFrame, width: int = 200, hot: int = 2000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -247,8 +284,7 @@ def without_repeats(docs: DataFrame, width: int = 200, hot: int = 2000) -> DataF
 
     def cut(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                piece = batch.slice(lo, 200)
+            for piece in _by_size(batch):
                 data = _unzip(piece)
                 doc, start, windows, g, b = text_blocks(data, width)
                 first = np.searchsorted(doc, np.arange(len(data)))
@@ -259,13 +295,14 @@ def without_repeats(docs: DataFrame, width: int = 200, hot: int = 2000) -> DataF
                     ["rid", "ord", "g", "b", "block"],
                 )
 
-    blocks = texts.select("rid", "z").join(found.where("any_mixed").select("rid", "ords", "mixed"), "rid").mapInArrow(cut, "rid long, ord int, g long, b long, block binary")
+    blocks = texts.select("rid", "n", "z").join(found.where("any_mixed").select("rid", "ords", "mixed"), "rid").mapInArrow(cut, "rid long, ord int, g long, b long, block binary")
     blocks = materialize(blocks, "blocks")
     _release(spark)
     classes = materialize(blocks.groupBy("g", "b").agg(F.count("*").alias("c"), F.min_by(F.struct("rid", "ord", "block"), F.col("rid")).alias("x")).select("g", "b", "c", "x.rid", "x.ord", "x.block"), "block-classes")
     _release(spark)
     marked = _shard_windows(classes, width, hot)
-    equal = blocks.select("rid", "ord", "g", "b").join(classes.where("c > 1").select("g", "b"), ["g", "b"]).select("rid", "ord", F.lit(0).alias("w0"), F.lit(-1).alias("w1"))
+    alone = classes.where("c = 1").select("rid", "ord")
+    equal = blocks.select("rid", "ord").join(alone, ["rid", "ord"], "left_anti").select("rid", "ord", F.lit(0).alias("w0"), F.lit(-1).alias("w1"))
     plain = found.select("rid", F.explode(F.arrays_zip("ords", "mixed")).alias("x")).where("not x.mixed").select("rid", F.col("x.ords").alias("ord"), F.lit(0).alias("w0"), F.lit(-1).alias("w1"))
     runs = marked.unionByName(equal).unionByName(plain).groupBy("rid").agg(F.collect_list(F.struct("ord", "w0", "w1")).alias("x"))
     runs = materialize(runs.select("rid", F.col("x.ord").alias("ords"), F.col("x.w0").alias("w0"), F.col("x.w1").alias("w1")), "runs")
@@ -275,8 +312,7 @@ def without_repeats(docs: DataFrame, width: int = 200, hot: int = 2000) -> DataF
 
     def keep(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                piece = batch.slice(lo, 200)
+            for piece in _by_size(batch):
                 data = _unzip(piece)
                 doc, start, windows, _, _ = text_blocks(data, width)
                 first = np.searchsorted(doc, np.arange(len(data)))

@@ -12,11 +12,11 @@ class ShardSuffixes:
 
     A suffix's rank is the first place of its group in the suffix array. A round of refinement sorts only the
     groups that still have several members, by the rank of the suffix ``h`` further on, and doubles ``h``. The
-    ranks of each round are kept: common prefixes are read off them.
+    ranks of the first and the last round are what later steps use.
     """
 
     def __init__(self, data: np.ndarray, depth: int):
-        self.n, pad = len(data), np.zeros(_FIRST, np.uint8)
+        self.data, self.n, pad = data, len(data), np.zeros(_FIRST, np.uint8)
         wide = np.concatenate([data, pad]).astype(np.uint64)
         key = np.zeros(self.n, np.uint64)
         for k in range(_FIRST):
@@ -56,21 +56,40 @@ class ShardSuffixes:
         top = self.h[-1]
         return starts[np.argsort(self.at(-1, starts) * (self.n + 1) + self.at(-1, starts + depth - top) + 1)]
 
-    def common_prefixes(self, a: np.ndarray, b: np.ndarray, depth: int, exact: bool = True) -> np.ndarray:
-        """Kasai's lengths of common prefixes of suffixes next to each other, for all pairs at once, up to ``depth``.
+    def common_prefixes(self, sa: np.ndarray, begin: np.ndarray, counts: np.ndarray, depth: int) -> np.ndarray:
+        """Kasai's common prefixes of each suffix of ``sa`` with the one before it, up to ``depth`` (0 for the first).
 
-        Where only whole prefixes matter (``exact`` false), two ranks a pair tell them, and the rest count as 0.
+        Block k holds the suffixes ``begin[k]`` to ``begin[k] + counts[k] - 1``. Kasai walks a block's suffixes in the order of
+        the text: the prefix of the next is shorter by one at most, so only what follows is compared. All blocks walk side by side.
+        The argument needs the neighbour's next suffix in ``sa``, and before it; where a block ends, or the prefix has
+        the whole depth and the order after it is open, the count starts again.
         """
-        top = self.h[-1]
-        full = (self.at(-1, a) == self.at(-1, b)) & (self.at(-1, a + depth - top) == self.at(-1, b + depth - top))
-        if not exact:
-            return np.where(full, depth, 0)
-        length = np.zeros(len(a), np.int64)
-        for level in range(len(self.h) - 1, -1, -1):
-            for _ in range(2 if level == len(self.h) - 1 else 1):
-                same = (self.at(level, a + length) == self.at(level, b + length)) & (self.at(level, a + length) >= 0)
-                length += np.where(same, self.h[level], 0)
-        return np.where(full, depth, np.minimum(length, depth - 1))
+        before = np.full(self.n, -1, np.int64)
+        before[sa[1:]] = sa[:-1]
+        last = np.zeros(self.n, bool)
+        last[begin + counts - 1] = True
+        lanes = np.argsort(-counts, kind="stable")
+        begin, counts = begin[lanes], counts[lanes]
+        found, h, eight = np.zeros(self.n, np.int64), np.zeros(len(lanes), np.int64), self.ranks[0]
+        left = np.searchsorted(-counts, -np.arange(1, int(counts.max(initial=0)) + 1), side="right")
+        for step, m in enumerate(left.tolist()):
+            i = begin[:m] + step
+            j = before[i]
+            h = np.where(j >= 0, np.maximum(h[:m] - 1, 0), 0)
+            at = np.flatnonzero(j >= 0)
+            while len(at):
+                k = h[at]
+                same = (k + _FIRST <= depth) & (eight[np.minimum(i[at] + k, self.n - 1)] == eight[np.minimum(j[at] + k, self.n - 1)])
+                at = at[same]
+                h[at] += _FIRST
+            at = np.flatnonzero((j >= 0) & (h < depth))
+            while len(at):
+                at = at[self.data[i[at] + h[at]] == self.data[j[at] + h[at]]]
+                h[at] += 1
+                at = at[h[at] < depth]
+            found[i] = h
+            h = np.where(last[np.maximum(j, 0)] | (h >= depth), 0, h)
+        return found[sa]
 
 
 def repeated_windows(blocks: list[bytes], counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,9 +104,8 @@ def repeated_windows(blocks: list[bytes], counts: np.ndarray, width: int) -> tup
     starts = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(total)
     shard = ShardSuffixes(data, width)
     sa = shard.order(starts, width)
-    lcp = shard.common_prefixes(sa[:-1], sa[1:], width, exact=False)
-    with_previous = np.concatenate([[False], lcp >= width])
-    repeated = with_previous | np.concatenate([lcp >= width, [False]])
+    with_previous = shard.common_prefixes(sa, begin[counts > 0], counts[counts > 0], width) >= width
+    repeated = with_previous | np.append(with_previous[1:], False)
     where = np.empty(len(data), np.int64)
     where[starts] = np.arange(total)
     out, cls = np.zeros(total, bool), np.zeros(total, np.int64)

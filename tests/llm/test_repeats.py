@@ -6,7 +6,8 @@ from collections import Counter
 import numpy as np
 
 from silverframe.llm import queries as Q
-from silverframe.llm.repeats import without_repeats
+from silverframe.llm import repeats
+from silverframe.llm.repeats import merged, without_repeats
 from silverframe.llm.suffix_arrays import ShardSuffixes
 
 
@@ -54,14 +55,65 @@ def test_odd_rows_and_spread_anchors(spark):
 
 def test_suffix_order_and_common_prefixes():
     rng = np.random.default_rng(2)
-    data = np.frombuffer(b"".join([rng.integers(97, 99, 300, dtype=np.uint8).tobytes(), b"ab" * 150, rng.integers(97, 99, 300, dtype=np.uint8).tobytes()]), np.uint8)
-    raw, depth = data.tobytes(), 40
-    starts = np.arange(len(raw) - depth)
+    blocks = [rng.integers(97, 99, 300, dtype=np.uint8).tobytes(), b"ab" * 150, rng.integers(97, 99, 120, dtype=np.uint8).tobytes(), b"ab" * 40, rng.integers(97, 100, 41, dtype=np.uint8).tobytes()]
+    data, depth = np.frombuffer(b"".join(blocks), np.uint8), 40
+    raw = data.tobytes()
+    counts = np.array([len(b) - depth + 1 for b in blocks])
+    begin = np.cumsum([0, *map(len, blocks)])[:-1]
+    starts = np.concatenate([b + np.arange(n) for b, n in zip(begin, counts, strict=True)])
     s = ShardSuffixes(data, depth)
     sa = s.order(starts, depth)
     keys = [raw[i : i + depth] for i in sa]
     assert keys == sorted(keys)
-    lcp = s.common_prefixes(sa[:-1], sa[1:], depth)
-    for a, b, n in zip(sa, sa[1:], lcp, strict=False):
-        true = next((k for k in range(depth) if raw[a + k] != raw[b + k]), depth)
-        assert n == true if true == depth else true - 8 < n <= true
+    lcp = s.common_prefixes(sa, begin, counts, depth)
+    assert lcp[0] == 0
+    for a, b, n in zip(sa, sa[1:], lcp[1:], strict=False):
+        assert n == next((k for k in range(depth) if raw[a + k] != raw[b + k]), depth)
+
+
+def test_merging_of_sorted_runs():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        runs, rows, at = [], [], 0
+        for _ in range(rng.integers(1, 6)):
+            run = sorted({(int(x), int(y)) for x, y in rng.integers(0, 6, (rng.integers(0, 12), 2))})
+            runs.append(np.arange(at, at + len(run)))
+            rows, at = rows + run, at + len(run)
+        f1, f2 = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+        seen, order = np.zeros(len(rows), bool), runs[0]
+        for run in runs[1:]:
+            order = merged(order, run, f1, f2, seen)
+        assert sorted(order) == list(range(len(rows))) and (np.diff(f1[order]) >= 0).all()
+        assert seen.tolist() == [rows.count(r) > 1 for r in rows]
+
+
+def test_long_texts_in_pieces(spark):
+    """A text of 20 MB with known repeats."""
+    rng = np.random.default_rng(5)
+    big = rng.integers(33, 127, 20_000_000, dtype=np.uint8)
+    for at in (1_000, 524_000, 9_999_990, 19_999_600):
+        big[at : at + 300] = big[5_000_000:5_000_300]
+    big[[999, 1_300, 523_999, 524_300, 4_999_999, 5_000_300, 9_999_989, 10_000_290, 19_999_599, 19_999_900]] = np.arange(40, 50)  # copies go no further
+    text = big.tobytes().decode()
+    df = spark.createDataFrame([(1, text), (2, text[:400]), (3, "x" * 100)], "doc_id long, text string")
+    kept = {r.doc_id: r for r in without_repeats(df).collect()}
+    assert kept[2].n_removed == 400 and kept[3].n_removed == 0
+    gone = np.zeros(len(big), bool)
+    gone[:400] = True
+    for at in (1_000, 524_000, 5_000_000, 9_999_990, 19_999_600):
+        gone[at : at + 300] = True
+    assert (kept[1].n_bytes, kept[1].n_removed, kept[1].n_spans) == (len(big), 1_900, 6)
+    assert kept[1].kept_sha256 == hashlib.sha256(big[~gone].tobytes()).hexdigest()
+
+
+def test_pieces_hold_each_window_once(monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK", 700)
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(97, 101, n, dtype=np.uint8).tobytes() for n in (0, 199, 200, 699, 700, 701, 898, 899, 900, 1399, 1400, 5000, 3)]
+    doc, start, windows, g, _ = repeats.text_blocks(texts, 200)
+    got = sorted((d, s + k) for d, s, w in zip(doc.tolist(), start.tolist(), windows.tolist(), strict=True) for k in range(w))
+    assert got == [(d, k) for d, t in enumerate(texts) for k in range(len(t) - 199)]
+    by = {}
+    for d, s, w, a in zip(doc.tolist(), start.tolist(), windows.tolist(), g.tolist(), strict=True):
+        for k in range(w):
+            assert by.setdefault(texts[d][s + k : s + k + 200], a) == a
