@@ -34,6 +34,11 @@ def write_table(df: DataFrame, name: str, options: dict[str, str] | None = None)
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/silverframe/{name}-{uuid.uuid4().hex}"
     df.write.options(**({"compression": "zstd"} | (options or {}))).parquet(path)
+    return keep_until_exit(spark, path)
+
+
+def keep_until_exit(spark: SparkSession, path: str) -> str:
+    """``path``, which is deleted when the driver exits."""
     _TABLES.append((spark, path))
     return path
 

@@ -1,174 +1,220 @@
 """Exact top-k by distributed histogram selection.
 
-Every query is scored against every row, in blocks: a bounded block of queries is broadcast, tasks multiply
-it with their vectors. The k-th score of each query is located by rounds of histograms: a round counts the
-scores of each query in equal bins of its current range, the counts are summed over tasks, and the range
+Every query is scored against every row: the query vectors go out in waves of bounded size, and each task multiplies a
+wave, block by block, with its own vectors. The k-th score of each query is located by rounds of histograms: a round
+counts the scores of each query in equal bins of its current range, the counts are summed over tasks, and the range
 shrinks to the bin that holds the k-th score, until it is one integer. A last scan keeps the scores above it
 and, in each task, the k least ids at it, which settles ties exactly however many rows share a score.
+
+A round is one job over all queries of a wave, and a wave's results are written to the shared folder, so neither the
+plan nor the driver's state grows with the number of waves.
+
+Components are floor(scale * x) as exact integers of any size. A score beyond the range of a long counts as the end of that range.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from silverframe.llm.common import materialize
-
-BINS = 256
+from silverframe.llm.common import keep_until_exit, materialize, shared_dir
 
+BINS, BLOCK = 256, 1024
+LEAST, MOST = -(2**63) + 1, 2**63 - 1
 
-def quantized(vectors: DataFrame, scale: int = 1024) -> DataFrame:
-    """(vec_id, x): components as floor(scale * x), without vectors that are null or hold null or non-finite components.
 
-    Empty vectors take no part either, nor do components beyond 2**53 / scale, which have no exact integer.
-    """
+def usable(vectors: DataFrame) -> DataFrame:
+    """(vec_id, x): vectors as doubles, without those that are null, have no id or hold null or non-finite components."""
     x = F.transform(F.col("embedding"), lambda c: c.cast("double"))
-    limit = float(2**53) / scale
-    fine = F.col("x").isNotNull() & (F.size("x") > 0) & F.forall("x", lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) <= limit), F.lit(False)))
-    return (
-        vectors.select(F.col("vec_id").cast("long"), x.alias("x"))
-        .where(fine & F.col("vec_id").isNotNull())
-        .select("vec_id", F.transform("x", lambda c: F.floor(c * scale).cast("long")).alias("x"))
-    )
-
-
-class QueryBlock:
-    """A bounded block of query vectors with the range that each k-th score is known to lie in."""
-
-    def __init__(self, ids: list[int], vectors: list[list[int]]):
-        self.dim = max(map(len, vectors))
+    inf = F.lit(float("inf"))
+    fine = F.forall("x", lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < inf), F.lit(False)))
+    return vectors.select(F.col("vec_id").cast("long"), x.alias("x")).where(F.col("x").isNotNull() & fine & F.col("vec_id").isNotNull())
+
+
+def scaled(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) exactly: as doubles while all are below 2**53, as Python integers beyond."""
+    y = np.floor(x * scale)
+    if np.abs(y).max(initial=0) < 2**53:
+        return y
+    exact = [int(v) * scale if abs(v) >= 2**53 else int(np.floor(v * scale)) for v in x.ravel().tolist()]
+    out = np.empty(x.size, object)
+    out[:] = exact
+    return out.reshape(x.shape)
+
+
+def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Exact inner products of the rows of two integer matrices, held within the range of a long."""
+    bound = int(np.abs(left).max(initial=0)) * int(np.abs(right).max(initial=0)) * left.shape[1]
+    if bound < 2**53:
+        return (left.astype(float) @ right.astype(float).T).astype(np.int64)
+    if bound < 2**63:
+        return left.astype(np.int64) @ right.astype(np.int64).T
+    out = left.astype(object) @ right.astype(object).T
+    return np.minimum(np.maximum(out, LEAST), MOST).astype(np.int64)
+
+
+class Wave:
+    """Query vectors of bounded size, and the range that each k-th score is known to lie in."""
+
+    def __init__(self, ids: list[int], vectors: list[list[float]], scale: int):
+        self.dim, self.scale = max(map(len, vectors)), scale
         self.ids = np.array(ids, np.int64)
-        self.x = np.zeros((len(ids), self.dim), np.int64)
-        for row, v in zip(self.x, vectors, strict=True):
+        x = np.zeros((len(ids), self.dim))
+        for row, v in zip(x, vectors, strict=True):
             row[: len(v)] = v
-        self.low = self.high = self.k = None
+        self.x = scaled(x, scale)
+        self.low = self.high = None
 
     def scores(self, batch: pa.RecordBatch):
-        """(ids, queries x rows) blocks of exact scores; a shorter vector counts as padded with zeros."""
+        """(slice of queries, ids, scores) of blocks of queries and rows; a shorter vector counts as padded with zeros."""
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         lists = batch.column(1)
         sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
         flat = lists.flatten().to_numpy(zero_copy_only=False)
-        rows = np.zeros((len(ids), max(self.dim, int(sizes.max(initial=0)))), np.int64)
-        at = np.repeat(np.arange(len(ids)), sizes)
-        rows[at, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
-        rows = rows[:, : self.dim]
-        exact = float(np.abs(self.x).max(initial=0)) * float(np.abs(rows).max(initial=0)) * self.dim < 2**53
-        left, right = (self.x.astype(float), rows.T.astype(float)) if exact else (self.x, rows.T)
-        step = max(1, (1 << 21) // len(self.x))
-        for a in range(0, len(ids), step):
-            yield ids[a : a + step], (left @ right[:, a : a + step]).astype(np.int64)
-
-
-def _round(rows: DataFrame, block) -> DataFrame:
-    """Counts of each query's scores in the bins of its range: (q, bin, n)."""
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        inside = place < self.dim
+        rows = np.zeros((len(ids), self.dim))
+        rows[np.repeat(np.arange(len(ids)), sizes)[inside], place[inside]] = flat[inside]
+        rows = scaled(rows, self.scale)
+        for a in range(0, len(ids), 2 * BLOCK):
+            for q in range(0, len(self.ids), BLOCK):
+                block = slice(q, q + BLOCK)
+                yield block, ids[a : a + 2 * BLOCK], products(self.x[block], rows[a : a + 2 * BLOCK])
+
+
+def _extremes(rows: DataFrame, wave) -> DataFrame:
+    """Least and highest score of each query, and the number of its scores."""
 
     def run(batches):
-        b = block.value
-        width = -(-(b.high - b.low + 1) // BINS)
-        total = np.zeros((len(b.ids), BINS + 1), np.int64)
-        place = np.arange(len(b.ids))[:, None] * (BINS + 1)
+        w = wave.value
+        low, high, n = np.full(len(w.ids), MOST), np.full(len(w.ids), LEAST), np.zeros(len(w.ids), np.int64)
         for batch in batches:
-            for ids, s in b.scores(batch):
-                inside = (s >= b.low[:, None]) & (s <= b.high[:, None]) & (ids[None, :] != b.ids[:, None])
-                bins = np.where(inside, (s - b.low[:, None]) // width[:, None], BINS)
-                total += np.bincount((bins + place).ravel(), minlength=total.size).reshape(total.shape)
-        q, k = np.nonzero(total[:, :BINS])
-        yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(total[q, k])], ["q", "bin", "n"])
+            for at, ids, s in w.scores(batch):
+                other = ids[None, :] != w.ids[at, None]
+                low[at] = np.minimum(low[at], np.where(other, s, MOST).min(1))
+                high[at] = np.maximum(high[at], np.where(other, s, LEAST).max(1))
+                n[at] += other.sum(1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w.ids), dtype=np.int32)), pa.array(low), pa.array(high), pa.array(n)], ["q", "low", "high", "n"])
 
-    return rows.mapInArrow(run, "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "q int, low long, high long, n long").groupBy("q").agg(F.min("low"), F.max("high"), F.sum("n"))
 
 
-def _extremes(rows: DataFrame, block) -> DataFrame:
+def _bin_width(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """ceil((high - low + 1) / BINS), where the difference may need all 64 bits."""
+    return (high.astype(np.uint64) - low.astype(np.uint64)) // np.uint64(BINS) + np.uint64(1)
+
+
+def _round(rows: DataFrame, wave) -> DataFrame:
+    """Counts of each query's scores in the bins of its range: (q, bin, n)."""
+
     def run(batches):
-        b = block.value
-        low, high, n = np.full(len(b.ids), np.iinfo(np.int64).max), np.full(len(b.ids), np.iinfo(np.int64).min), np.zeros(len(b.ids), np.int64)
+        w = wave.value
+        width = _bin_width(w.low, w.high)
+        total = np.zeros((len(w.ids), BINS + 1), np.int64)
         for batch in batches:
-            for ids, s in b.scores(batch):
-                other = ids[None, :] != b.ids[:, None]
-                low = np.minimum(low, np.where(other, s, np.iinfo(np.int64).max).min(1))
-                high = np.maximum(high, np.where(other, s, np.iinfo(np.int64).min).max(1))
-                n += other.sum(1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(b.ids), dtype=np.int32)), pa.array(low), pa.array(high), pa.array(n)], ["q", "low", "high", "n"])
+            for at, ids, s in w.scores(batch):
+                low, high = w.low[at, None], w.high[at, None]
+                inside = (s >= low) & (s <= high) & (ids[None, :] != w.ids[at, None])
+                bins = np.where(inside, ((s.astype(np.uint64) - low.astype(np.uint64)) // width[at, None]).astype(np.int64), BINS)
+                place = np.arange(len(s))[:, None] * (BINS + 1)
+                total[at] += np.bincount((bins + place).ravel(), minlength=len(s) * (BINS + 1)).reshape(len(s), -1)
+        q, k = np.nonzero(total[:, :BINS])
+        yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(total[q, k])], ["q", "bin", "n"])
 
-    return rows.mapInArrow(run, "q int, low long, high long, n long").groupBy("q").agg(F.min("low"), F.max("high"), F.sum("n"))
+    return rows.mapInArrow(run, "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
 
 
-def _thresholds(rows: DataFrame, block: QueryBlock, k: int) -> np.ndarray:
-    """The k-th score of each query of the block; the least score where there are fewer."""
-    sc = rows.sparkSession.sparkContext
-    m = len(block.ids)
+def _thresholds(rows: DataFrame, wave: Wave, k: int) -> np.ndarray:
+    """The k-th score of each query of the wave; the least score where there are fewer."""
+    spark = rows.sparkSession
+    m = len(wave.ids)
     low, high, need = np.zeros(m, np.int64), np.full(m, -1, np.int64), np.zeros(m, np.int64)
-    for q, a, b, n in _extremes(rows, sc.broadcast(block)).collect():  # a row for each query of the block
+    shared = spark.sparkContext.broadcast(wave)
+    for q, a, b, n in _extremes(rows, shared).collect():  # a row for each query of the wave
         if n:
             low[q], high[q], need[q] = a, b, min(k, n)
+    shared.unpersist()
+    after = Window.partitionBy("q").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)  # at most BINS rows a query
     while (high > low).any():
-        block.low, block.high = low, high
-        width = -(-(high - low + 1) // BINS)
-        after = Window.partitionBy("q").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
-        state = rows.sparkSession.createDataFrame([(int(q), int(x)) for q, x in enumerate(need)], "q int, need long")
-        counts = _round(rows, sc.broadcast(block)).withColumn("above", F.coalesce(F.sum("n").over(after), F.lit(0)))
-        for q, b, above in counts.join(F.broadcast(state), "q").where("above < need and above + n >= need").select("q", "bin", "above").collect():
+        wave.low, wave.high = low, high
+        shared = spark.sparkContext.broadcast(wave)
+        state = spark.createDataFrame([(q, x) for q, x in enumerate(need.tolist())], "q int, need long")
+        counts = _round(rows, shared).withColumn("above", F.coalesce(F.sum("n").over(after), F.lit(0)))
+        hits = counts.join(F.broadcast(state), "q").where("above < need and above + n >= need").select("q", "bin", "above").collect()
+        shared.unpersist()
+        width = _bin_width(low, high)
+        for q, b, above in hits:
             need[q] -= above
-            low[q], high[q] = low[q] + b * width[q], min(high[q], low[q] + (b + 1) * width[q] - 1)
+            first = int(low[q]) + b * int(width[q])
+            low[q], high[q] = first, min(int(high[q]), first + int(width[q]) - 1)
     return low
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the ``k`` highest integer inner products of each query, itself left out.
+def _best(rows: DataFrame, wave: Wave, at: np.ndarray, first: int, k: int) -> DataFrame:
+    """In each task, the k best rows of each query from its k-th score: (q, query_id, vec_id, score)."""
+    shared = rows.sparkSession.sparkContext.broadcast((wave, at))
+
+    def run(batches):
+        w, least = shared.value
+        out: list[tuple[np.ndarray, ...]] = []
+
+        def best():
+            q, v, s = (np.concatenate(x) for x in zip(*out, strict=True))
+            order = np.lexsort((v, -s, q))
+            q, v, s = q[order], v[order], s[order]
+            keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+            return q[keep], v[keep], s[keep]
 
-    ``vectors`` and ``queries`` have vec_id (unique) and embedding. Ties go to the smaller vec_id; a query with
-    fewer other rows gets all; queries with the same vector are answered one by one; vectors of unequal length
-    count as padded with zeros; no queries or no rows give an empty result.
+        held = 0
+        for batch in batches:
+            for block, ids, s in w.scores(batch):
+                q, j = np.nonzero((s >= least[block, None]) & (ids[None, :] != w.ids[block, None]))
+                out.append((q + block.start, ids[j], s[q, j]))
+                held += len(q)
+                if held > 2 * k * len(w.ids) + 100_000:
+                    out = [best()]
+                    held = len(out[0][0])
+        if out:
+            q, v, s = best()
+            yield pa.RecordBatch.from_arrays([pa.array(first + q), pa.array(w.ids[q]), pa.array(v), pa.array(s)], ["q", "query_id", "vec_id", "score"])
+
+    return rows.mapInArrow(run, "q long, query_id long, vec_id long, score long")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, wave_bytes: int = 32 << 20) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the ``k`` highest integer inner products of each query with all rows of other ids.
+
+    ``vectors`` and ``queries`` have vec_id and embedding; a wave holds about ``wave_bytes`` of query vectors. Ties go to the smaller
+    vec_id; a query with fewer other rows gets all. Rows are what is ranked: an id with several rows takes a rank for each, and
+    each row of ``queries`` has its own ranks. Vectors of unequal length count as padded with zeros, empty ones
+    as zeros; no queries or no rows give an empty result.
     """
     spark = vectors.sparkSession
-    rows = materialize(quantized(vectors), "vectors")
-    asked = quantized(queries).orderBy("vec_id")
-    parts, ids, xs = [], [], []
+    rows = materialize(usable(vectors), "vectors")
+    asked = usable(queries).orderBy("vec_id", "x")
+    path = keep_until_exit(spark, f"{shared_dir(spark)}/silverframe/top-k-{uuid.uuid4().hex}")
+    ids: list[int] = []
+    xs: list[list[float]] = []
+    first = size = 0
 
     def flush():
-        b = QueryBlock(ids, xs)
-        at = _thresholds(rows, b, k)
-        shared = spark.sparkContext.broadcast((b, at))
-
-        def run(batches):
-            b, at = shared.value
-            out: list[tuple[np.ndarray, ...]] = []
-
-            def best():
-                q, v, s = (np.concatenate(x) for x in zip(*out, strict=True))
-                order = np.lexsort((v, -s, q))
-                q, v, s = q[order], v[order], s[order]
-                first = np.searchsorted(q, q)
-                keep = np.arange(len(q)) - first < k
-                return q[keep], v[keep], s[keep]
-
-            for batch in batches:
-                for ids, s in b.scores(batch):
-                    q, j = np.nonzero((s >= at[:, None]) & (ids[None, :] != b.ids[:, None]))
-                    out.append((q, ids[j], s[q, j]))
-                    if sum(len(x[0]) for x in out) > 2 * k * len(b.ids) + 100_000:
-                        out = [best()]
-            if out:
-                q, v, s = best()
-                yield pa.RecordBatch.from_arrays([pa.array(b.ids[q]), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
-
-        parts.append(rows.mapInArrow(run, "query_id long, vec_id long, score long"))
+        wave = Wave(ids, xs, scale)
+        _best(rows, wave, _thresholds(rows, wave, k), first, k).write.mode("append").parquet(path)
 
     for r in asked.toLocalIterator():
+        if ids and size + 8 * len(r.x) + 8 > wave_bytes:
+            flush()
+            first, size, ids, xs = first + len(ids), 0, [], []
         ids.append(r.vec_id)
         xs.append(list(r.x))
-        if len(ids) == block:
-            flush()
-            ids, xs = [], []
-    if ids:
-        flush()
-    if not parts:
+        size += 8 * len(r.x) + 8
+    if not ids:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    flush()
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")  # at most k rows of each task a query
+    found = spark.read.schema("q long, query_id long, vec_id long, score long").parquet(path)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

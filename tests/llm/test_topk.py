@@ -1,19 +1,23 @@
 """Top-k against full scoring."""
 
 import math
+from fractions import Fraction
 
 import duckdb
+import numpy as np
 
 from silverframe.llm import queries as Q
 from silverframe.llm.topk import top_k
 
 
 def brute(rows, ids, k):
-    vec = {i: [math.floor(1024 * c) for c in x] for i, x in rows if i is not None and x and all(c is not None and math.isfinite(c) and abs(c) < 2**43 for c in x)}
+    """rows: (vec_id, vector); ids: the query ids, each of whose rows is a query."""
+    vec = [(i, [math.floor(1024 * Fraction(c)) for c in x]) for i, x in rows if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x)]
     out = []
-    for q in ids:
-        if q in vec:
-            scored = sorted((-sum(a * b for a, b in zip(vec[q], x, strict=False)), i) for i, x in vec.items() if i != q)
+    for q, x in vec:
+        if q in ids:
+            hold = lambda s: min(max(s, -(2**63) + 1), 2**63 - 1)
+            scored = sorted((-hold(sum(a * b for a, b in zip(x, y, strict=False))), i) for i, y in vec if i != q)
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -29,11 +33,12 @@ def test_query_matches_full_scores_and_sql(spark, sf_dir):
 
 def test_ties_nulls_and_few_rows(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(i, [1.0, 0.5]) for i in range(40)] + [(100, None), (101, [None, 1.0]), (102, [nan, 1.0]), (103, [inf, 0.0]), (104, []), (105, [-3.0, 2.5]), (106, [3000000.0, -1.0]), (107, [2.0]), (None, [1.0, 1.0])]
+    rows = [(i, [1.0, 0.5]) for i in range(40)] + [(100, None), (101, [None, 1.0]), (102, [nan, 1.0]), (103, [inf, 0.0]), (104, []), (105, [-3.0, 2.5]), (106, [3000000.0, -1.0]), (107, [2.0]), (108, [1e13, -0.3]), (109, [-3e30, 2e30]), (110, [1e30, 1e-30]), (7, [2.0, -1.5]), (111, [0.25, 1.0]), (111, [0.25, 1.0]), (112, [1.5e12, 7.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame([(i, x, "clash") for i, x in rows], "vec_id long, embedding array<float>, score string").repartition(5)
-    ids = [0, 7, 100, 103, 105, 106, 107]
-    for block in (4096, 2):
-        got = top_k(df, df.where(df.vec_id.isin(ids)), k=5, block=block)
+    rows = [(i, x and [c and float(np.float32(c)) for c in x]) for i, x in rows]
+    ids = [0, 7, 100, 103, 104, 105, 106, 107, 108, 109, 110, 111]
+    for size in (32 << 20, 40):
+        got = top_k(df, df.where(df.vec_id.isin(ids)), k=5, wave_bytes=size)
         assert sorted(tuple(r) for r in got.collect()) == brute(rows, ids, 5)
     few = df.where("vec_id in (0, 105)")
     assert sorted(tuple(r) for r in top_k(few, few, k=5).collect()) == brute(rows[:1] + [(105, [-3.0, 2.5])], [0, 105], 5)
