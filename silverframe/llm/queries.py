@@ -105,19 +105,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SHINGLES_SQL = """
-    SELECT id, array_to_string(CASE WHEN len(w) < 5 THEN w ELSE w[i:i + 4] END, ' ') AS s
-    FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i
-          FROM (SELECT {id} AS id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM {table})
-          WHERE len(w) > 0)
+WORDS_SQL = """
+    SELECT {id} AS id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM {table}
 """
 
+# an item of fewer than five words is one shingle of its own length k
 OP8_SQL = f"""
-WITH d AS (SELECT DISTINCT * FROM ({SHINGLES_SQL.format(id="doc_id", table="documents")})),
-     b AS (SELECT DISTINCT * FROM ({SHINGLES_SQL.format(id="item_id", table="benchmark")})),
+WITH bw AS (SELECT id, w, least(len(w), 5) AS k FROM ({WORDS_SQL.format(id="item_id", table="benchmark")}) WHERE len(w) > 0),
+     dw AS ({WORDS_SQL.format(id="doc_id", table="documents")}),
+     b AS (SELECT DISTINCT id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM bw)),
+     d AS (SELECT DISTINCT id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+           FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, (SELECT DISTINCT k FROM bw) WHERE len(w) >= k)),
      n AS (SELECT id, count(*) AS n FROM b GROUP BY id)
 SELECT d.id AS doc_id, b.id AS item_id, any_value(n.n) AS n_shingles, count(*) AS n_shared, count(*)::DOUBLE / any_value(n.n) AS containment
-FROM d JOIN b USING (s) JOIN n ON n.id = b.id
+FROM d JOIN b USING (k, s) JOIN n ON n.id = b.id
 GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(n.n) - 1e-9
 """
 
