@@ -1,11 +1,13 @@
 """WARC files and their derivatives: linked metadata and plain-text conversion records.
 
-A WARC record ends with two line breaks, so Spark's text writer with that separator writes valid WARC/1.1
-files in parallel, gzip-compressed. Reading goes by ``Content-Length``, whatever a record's block holds: files come as binary
-rows (bounded by ``records_per_file`` at writing) and are cut record by record.
+Files are WARC/1.1, a gzip member for each record, so that a record can be read from its place alone. They are written by
+Spark's text writer, in parallel: each line holds the members of about ``PART`` bytes of records, and the separator of
+lines is a member without content. Files have a bounded number of lines; they come back as binary rows, are unzipped member by
+member, and a record ends by its ``Content-Length``, whatever its block holds.
 
-Record ids are name-based UUIDs of what a record is made from, so a retried task writes the same file and
-repeated rows repeat their records. Digests are SHA-1 in base 32, over the block and over the HTTP payload.
+Record ids are name-based UUIDs of what a record is made from and, for responses, of the row's place in the input (partition and row),
+so a retried task writes the same file and repeated rows have ids of their own. Digests are SHA-1 in base 32, over the block and over
+the HTTP payload.
 
 Defined cases: a null ``html`` is an empty payload, with an empty conversion; a null ``url`` has no target
 header; null page ids are kept; an empty table gives no records; other columns are ignored.
@@ -15,22 +17,24 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import html
 import re
 import uuid
 import zlib
-from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silverframe.llm.common import shared_dir
+from silverframe.llm.common import by_bytes, keep_until_exit, shared_dir
 
-VERSION, BREAK = "WARC/1.1", "\r\n"
+VERSION, BREAK, PART = "WARC/1.1", "\r\n", 1 << 20
 _SPACE = uuid.UUID("9f7f2c1e-6a5f-4d43-8f6e-2d1a4c7b9e10")
 RECORD = "source_row long, headers map<string,string>, n_bytes long, block binary"
 # Elements without visible text, elements that a head can hold, and elements that break the line.
 _HIDDEN = {"script", "style", "noscript", "template"}
+_RAW = {"script", "style", "title", "textarea"}  # no tags within
 _HEAD = {"html", "head", "title", "meta", "link", "base", *_HIDDEN}
 _LINES = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "article", "section", "nav", "header", "footer", "blockquote", "pre"}
 
@@ -55,13 +59,13 @@ def _clean(value: str | None) -> str | None:
     return None if value is None else re.sub(r"[\r\n]+", " ", value)
 
 
-def response_record(page_id: int | None, url: str | None, page: str | None, date: str) -> str:
+def response_record(page_id: int | None, url: str | None, page: str | None, date: str, place: str = "") -> str:
     payload = page or ""
     block = BREAK.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload.encode())}", "", payload])
     return record_text(
         {
             "WARC-Type": "response",
-            "WARC-Record-ID": record_id("response", page_id, url, page),
+            "WARC-Record-ID": record_id("response", page_id, url, page, place),
             "WARC-Date": date,
             "WARC-Target-URI": _clean(url),
             "WARC-Block-Digest": digest(block.encode()),
@@ -87,61 +91,129 @@ def parse_records(data: bytes):
         at = end + 8 + size
 
 
-class _Page(HTMLParser):
-    """Visible text, title, language and links of a page. An open head ends where HTML ends it: at its end tag, or at the first tag or text that a head can't hold."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.text, self.title, self.links, self.lang = [], [], [], None
-        self.hidden, self.in_head, self.in_title = 0, False, False
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "html" or tag == "a":
-            values = dict(attrs)
-            if tag == "html":
-                self.lang = self.lang or values.get("lang")
-            elif values.get("href"):
-                self.links.append(values["href"])
-        if tag == "head":
-            self.in_head = True
-        elif self.in_head and tag not in _HEAD:
-            self.in_head = False
-        if tag in _HIDDEN:
-            self.hidden += 1
-        if tag == "title":
-            self.in_title = True
-        if tag in ("body", "article"):
-            self.hidden, self.in_title = 0, False
-        if tag in _LINES:
-            self.text.append("\n")
-
-    def handle_endtag(self, tag):
-        if tag == "head":
-            self.in_head = False
-        if tag in _HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-        if tag == "title":
-            self.in_title = False
-        if tag in _LINES:
-            self.text.append("\n")
-
-    def handle_data(self, data):
-        if self.in_title:
-            self.title.append(data)
-        elif not self.hidden:
-            if self.in_head and data.strip():
-                self.in_head = False
-            if not self.in_head:
-                self.text.append(data)
+_NAME = re.compile(r"[^\s/>]+")
+_SKIP = re.compile(r"[\s/]*")
+_ATTRIBUTE = re.compile(r"=?[^\s/>=]*+")
+_VALUE = re.compile(r"\s*+=\s*+")
+_BARE = re.compile(r"[^\s>]*+")
+_RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.IGNORECASE) for tag in _RAW}
+_HUGE = re.compile(r"&#(?:0*[0-9]{8,}+|[xX]0*[0-9a-fA-F]{8,}+);?")
+
+
+def _plain_text(s: str) -> str:
+    """Character references replaced; numbers beyond any character have no meaning."""
+    return html.unescape(_HUGE.sub("\ufffd", s)) if "&" in s else s
+
+
+def tokens(markup: str):
+    """("text", string, None), ("start", tag, attributes) and ("end", tag, None) of a page, in time linear in its length.
+
+    What a page's end cuts off (a tag, a comment, a quoted value) is left out, as HTML says. Comments and declarations are skipped.
+    """
+    at, n = 0, len(markup)
+    while at < n:
+        lt = markup.find("<", at)
+        if lt < 0:
+            yield "text", markup[at:], None
+            return
+        if lt > at:
+            yield "text", markup[at:lt], None
+        after = markup[lt + 1 : lt + 2]
+        closing = after == "/" and markup[lt + 2 : lt + 3].isalpha()
+        if after.isalpha():
+            m = _NAME.match(markup, lt + 1)
+            tag, attributes = m.group().lower(), {}
+            skipped = _SKIP.match(markup, m.end())
+            at = skipped.end()
+            while at < n and markup[at] != ">":
+                m = _ATTRIBUTE.match(markup, at)
+                name, at = m.group().lower(), m.end()
+                value, eq = "", _VALUE.match(markup, at)
+                if eq:
+                    at = eq.end()
+                    quote = markup[at : at + 1]
+                    if quote in ("'", '"') and quote:
+                        end = markup.find(quote, at + 1)
+                        if end < 0:
+                            return
+                        value, at = markup[at + 1 : end], end + 1
+                    else:
+                        m = _BARE.match(markup, at)
+                        value, at = m.group(), m.end()
+                attributes.setdefault(name, value)
+                skipped = _SKIP.match(markup, at)
+                at = skipped.end()
+            if at >= n:
+                return
+            at += 1
+            yield "start", tag, attributes
+            if skipped.group().endswith("/"):
+                yield "end", tag, None
+            elif tag in _RAW:
+                end = _RAW_END[tag].search(markup, at)
+                yield "text", markup[at : end.start() if end else n], None
+                at = end.start() if end else n
+        elif markup.startswith("<!--", lt):
+            end = markup.find("-->", lt + 2)  # "<!-->" is a whole comment
+            if end < 0:
+                return
+            at = end + 3
+        elif closing or after in ("!", "?", "/") and after:
+            end = markup.find(">", lt + 2)
+            if end < 0:
+                return
+            if closing:
+                yield "end", _NAME.match(markup, lt + 2).group().lower(), None
+            at = end + 1
+        else:
+            yield "text", "<", None
+            at = lt + 1
 
 
 def page_parts(markup: str) -> dict:
-    """Plain text (one line per block, single spaces), title, language and links. Comments and hidden elements have no text."""
-    page = _Page()
-    page.feed(markup)
-    page.close()
-    lines = (" ".join(x.split()) for x in "".join(page.text).split("\n"))
-    return {"text": "\n".join(x for x in lines if x), "title": " ".join("".join(page.title).split()), "lang": page.lang, "links": page.links}
+    """Plain text (one line per block, single spaces), title, language and links. Comments and hidden elements have no text.
+
+    An open head ends where HTML ends it: at its end tag, or at the first tag or text that a head can't hold.
+    """
+    text, title, links, lang = [], [], [], None
+    hidden, in_head, in_title = 0, False, False
+    for kind, what, attributes in tokens(markup):
+        if kind == "text":
+            if in_title:
+                title.append(_plain_text(what))
+            elif not hidden:
+                if in_head and what.strip():
+                    in_head = False
+                if not in_head:
+                    text.append(_plain_text(what))
+        elif kind == "start":
+            if what == "html":
+                lang = lang or _plain_text(attributes.get("lang", "")) or None
+            elif what == "a" and attributes.get("href"):
+                links.append(_plain_text(attributes["href"]))
+            if what == "head":
+                in_head = True
+            elif in_head and what not in _HEAD:
+                in_head = False
+            if what in _HIDDEN:
+                hidden += 1
+            if what == "title":
+                in_title = True
+            if what in ("body", "article"):
+                hidden, in_title = 0, False
+            if what in _LINES:
+                text.append("\n")
+        else:
+            if what == "head":
+                in_head = False
+            elif what in _HIDDEN:
+                hidden = max(0, hidden - 1)
+            elif what == "title":
+                in_title = False
+            if what in _LINES:
+                text.append("\n")
+    lines = (" ".join(x.split()) for x in "".join(text).split("\n"))
+    return {"text": "\n".join(x for x in lines if x), "title": " ".join("".join(title).split()), "lang": lang, "links": links}
 
 
 def derive(headers: dict[str, str], block: bytes, date: str) -> list[str]:
@@ -159,70 +231,114 @@ def derive(headers: dict[str, str], block: bytes, date: str) -> list[str]:
     return out
 
 
-def _write(records: DataFrame, path: str, records_per_file: int) -> None:
-    records.write.option("lineSep", BREAK * 2).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+def _member(data: bytes) -> bytes:
+    """A gzip member, the same for the same bytes."""
+    z = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
 
 
-def _plain(content: bytes) -> bytes:
-    """A file's bytes, unzipped member by member if it is gzip."""
+def _packed(records):
+    """Batches of one line: the members of about ``PART`` bytes of records."""
+    held, size = [], 0
+    for record in records:
+        held.append(_member((record + BREAK * 2).encode()))
+        size += len(held[-1])
+        if size >= PART:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
+
+
+def _write(lines: DataFrame, path: str, file_bytes: int) -> None:
+    """Lines (value: binary) as they are. The encoding is that of the separator alone, which takes any byte."""
+    options = {"lineSep": _member(b"").decode("latin-1"), "encoding": "ISO-8859-1", "maxRecordsPerFile": max(1, file_bytes // PART), "compression": "none"}
+    lines.select(F.col("value").cast("string")).write.options(**options).text(path)
+
+
+def members(content: bytes):
+    """The unzipped members of a file, one at a time; a file that isn't gzip is one."""
     if content[:2] != b"\x1f\x8b":
-        return content
-    out = []
-    while content:
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(content))
-        content = member.unused_data
-    return b"".join(out)
+        yield content
+        return
+    at, view = 0, memoryview(content)
+    while at < len(view):
+        z, out, n = zlib.decompressobj(31), [], at
+        while not z.eof and n < len(view):  # piece by piece: what follows the member isn't copied
+            out.append(z.decompress(view[n : n + (1 << 16)]))
+            n += 1 << 16
+        at = min(n, len(view)) - len(z.unused_data)
+        yield b"".join(out)
 
 
-def write_responses(pages: DataFrame, path: str, date: str, records_per_file: int = 20_000) -> None:
-    """Pages (page_id, url, html) as response records."""
+def write_responses(pages: DataFrame, path: str, date: str, file_bytes: int = 32 << 20) -> None:
+    """Pages (page_id, url, html) as response records, in files of about ``file_bytes`` (or one record, if it is longer)."""
 
     def run(batches):
-        for b in batches:
-            cols = (b.column(i).to_pylist() for i in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array([response_record(*row, date) for row in zip(*cols, strict=True)], pa.string())], ["value"])
+        part = TaskContext.get().partitionId()
+
+        def records():
+            row = 0
+            for b in batches:
+                for piece in by_bytes(b, "html"):
+                    for values in zip(*(piece.column(i).to_pylist() for i in range(3)), strict=True):
+                        yield response_record(*values, date, f"{part}/{row}")
+                        row += 1
+
+        return _packed(records())
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    _write(rows.mapInArrow(run, "value string"), path, records_per_file)
+    _write(rows.mapInArrow(run, "value binary"), path, file_bytes)
 
 
 def read_records(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
     """Records of the WARC files in a folder: their row in the source, headers, size and (or null) block."""
 
+    def batch(part: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([int(h["Source-Row"]) if "Source-Row" in h else None for h, _ in part], pa.int64()), pa.array([list(h.items()) for h, _ in part], pa.map_(pa.string(), pa.string())), pa.array([len(x) for _, x in part], pa.int64()), pa.array([x if blocks else None for _, x in part], pa.binary())],
+            ["source_row", "headers", "n_bytes", "block"],
+        )
+
     def run(batches):
         for b in batches:
             for content in b.column(0):
-                rows = list(parse_records(_plain(content.as_py())))
-                for at in range(0, len(rows), 1000):
-                    part = rows[at : at + 1000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(h["Source-Row"]) if "Source-Row" in h else None for h, _ in part], pa.int64()), pa.array([list(h.items()) for h, _ in part], pa.map_(pa.string(), pa.string())), pa.array([len(x) for _, x in part], pa.int64()), pa.array([x if blocks else None for _, x in part], pa.binary())],
-                        ["source_row", "headers", "n_bytes", "block"],
-                    )
+                held, size = [], 0
+                for data in members(content.as_py()):
+                    held += parse_records(data)
+                    size += len(data)
+                    if size >= 4 * PART:
+                        yield batch(held)
+                        held, size = [], 0
+                if held:
+                    yield batch(held)
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, RECORD)
 
 
-def write_derivatives(responses: DataFrame, path: str, date: str, records_per_file: int = 20_000) -> None:
+def write_derivatives(responses: DataFrame, path: str, date: str, file_bytes: int = 32 << 20) -> None:
     """A metadata and a conversion record for each response record."""
 
     def run(batches):
-        for b in batches:
-            out = []
-            for headers, block in zip(b.column("headers").to_pylist(), b.column("block").to_pylist(), strict=True):
-                headers = dict(headers)
-                if headers.get("WARC-Type") == "response":
-                    out += derive(headers, block, date)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        def records():
+            for b in batches:
+                for headers, block in zip(b.column("headers"), b.column("block"), strict=True):
+                    headers = dict(headers.as_py())
+                    if headers.get("WARC-Type") == "response":
+                        yield from derive(headers, block.as_py(), date)
+
+        return _packed(records())
 
-    _write(responses.mapInArrow(run, "value string"), path, records_per_file)
+    _write(responses.mapInArrow(run, "value binary"), path, file_bytes)
 
 
 def build_derivatives(pages: DataFrame, folder: str | None = None, date: str = "2024-01-01T00:00:00Z", blocks: bool = True) -> DataFrame:
-    """Write responses and derivatives under ``folder`` (the shared folder by default) and read all records back."""
+    """Write responses and derivatives under ``folder`` and read all records back.
+
+    Without a folder they go to the shared one and are deleted when the driver exits.
+    """
     spark = pages.sparkSession
-    folder = folder or f"{shared_dir(spark)}/silverframe/warc-{uuid.uuid4().hex}"
+    folder = folder or keep_until_exit(spark, f"{shared_dir(spark)}/silverframe/warc-{uuid.uuid4().hex}")
     write_responses(pages, f"{folder}/responses", date)
     write_derivatives(read_records(spark, f"{folder}/responses"), f"{folder}/derivatives", date)
     return read_records(spark, f"{folder}/responses", blocks).unionByName(read_records(spark, f"{folder}/derivatives", blocks))
