@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -65,13 +66,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the base patterns, by kind and start; linear in the text's length."""
     out, done, at = [], 0, text.find("@")
     while at >= 0:
-        # the local part is what stands before the sign, back to the end of the previous match
+        # the local part is what stands before the sign, back to the end of the previous match or the sign before
         start = done + len(text[done:at].rstrip(_LOCAL))
         m = _DOMAIN.match(text, at)
         if m and start < at:
             out.append((0, start, m.end()))
-            done = m.end()
-        at = text.find("@", max(at + 1, done))
+        done = m.end() if m and start < at else at + 1
+        at = text.find("@", done)
     out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if _octets(m.group().split("."))]
     out += [(2, m.start(), m.end()) for m in _CARD.finditer(text) if 13 <= len(d := _digits(m.group())) <= 19 and luhn(d)]
     out += [(3, m.start(), m.end()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m.group())) <= 15]
@@ -253,14 +254,29 @@ def all_spans(texts: list[str], model: Tagger) -> list[tuple[list, list]]:
     out: list[tuple[list, list]] = [([], []) for _ in texts]
     for k, added in zip(need, model.spans([texts[k] for k in need]), strict=True):
         base = base_spans(texts[k])
-        taken = sorted((a, b) for _, a, b in base)
+        taken = _union(base)
         extra = [(kind, a, b) for kind, a, b in added if holds(kind, texts[k][a:b]) and not _touches(taken, a, b)]
         out[k] = (base, sorted(base + extra))
     return out
 
 
-def _touches(taken: list[tuple[int, int]], a: int, b: int) -> bool:
-    return any(x < b and a < y for x, y in taken)
+def _union(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the areas that spans cover."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _touches(taken: tuple[list[int], list[int]], a: int, b: int) -> bool:
+    starts, ends = taken
+    k = bisect_left(starts, b)
+    return k > 0 and a < ends[k - 1]
 
 
 FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
