@@ -26,7 +26,7 @@ from silverframe.llm.common import by_bytes, drop_table, materialize, table_path
 from silverframe.llm.components import connected_components
 from silverframe.llm.near_copies import near_copy_links
 
-LEAF_PAIRS = 64
+LEAF_PAIRS, TOGETHER = 64, 200_000
 
 
 def fingerprint_hashes(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -160,14 +160,9 @@ def near_links(distinct: DataFrame, bits: int = 3, hot: int = 20_000) -> DataFra
     none = F.array(F.struct(F.lit(0).alias("s"), F.lit(0).cast("long").alias("w")))
     keyed = marked.select("fp", "b", "v", F.explode(F.coalesce(*again, none)).alias("k")).select("fp", "b", "v", "k.s", "k.w")
 
-    def run(batches):
-        rows = [pa.Table.from_batches([b]) for b in batches]
-        if not rows:
-            return
-        t = pa.concat_tables(rows)
+    def forest_links(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows)
         fp, b, v, s, w = (t.column(i).to_numpy() for i in range(5))
-        order = np.lexsort((w, s, v, b))
-        fp, b, v, s, w = (x[order] for x in (fp, b, v, s, w))
         values = fp.view(np.uint64)
         for k, (first, _) in enumerate(blocks):
             values = np.where(b == k, _rotate(fp.view(np.uint64), first), values)
@@ -179,9 +174,30 @@ def near_links(distinct: DataFrame, bits: int = 3, hot: int = 20_000) -> DataFra
         forest = Forest(len(fp))
         trie_links(values, bounds, bits, forest)
         child = np.flatnonzero(forest.label != np.arange(len(fp)))
-        yield pa.RecordBatch.from_arrays([pa.array(fp[child]), pa.array(fp[forest.label[child]])], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(fp[child]), pa.array(fp[forest.label[child]])], ["u", "v"])
 
-    return keyed.repartition("b", "v", "s", "w").mapInArrow(run, "u long, v long")
+    def run(batches):
+        """Buckets come one after another; whole ones are worked off as soon as ``TOGETHER`` rows are there."""
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            if size < TOGETHER:
+                continue
+            b, v, s, w = (batch.column(i).to_numpy() for i in range(1, 5))
+            last = np.flatnonzero((b != b[-1]) | (v != v[-1]) | (s != s[-1]) | (w != w[-1]))
+            if len(last):  # the last bucket may go on
+                held[-1] = batch.slice(0, int(last[-1]) + 1)
+                yield forest_links(held)
+                held = [batch.slice(int(last[-1]) + 1)]
+                size = held[0].num_rows
+        if held:
+            yield forest_links(held)
+
+    return keyed.repartition("b", "v", "s", "w").sortWithinPartitions("b", "v", "s", "w").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, bits: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -201,13 +217,17 @@ def one_per_group(docs: DataFrame, bits: int = 3, shingle: int = 3, seed: int =
 
     Rows are linked by fingerprints within ``bits`` bits and by five-word shingles with a Jaccard similarity of at least ``similarity``. Columns stay as they are. Of rows with the same least doc_id one stays, and a group of rows without ids keeps one.
     """
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    ids = numbered.select(F.col("_row").alias("doc_id"), "text")
+    row = "_row"
+    while row in docs.columns:
+        row = f"_{row}"
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    plain = numbered.select(F.col(row).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ids = plain.select(F.col("_row").alias("doc_id"), "text")
     prints = materialize(fingerprints(ids, shingle, seed), "fingerprints").withColumnRenamed("doc_id", "_row")
-    texts = numbered.select("_row", "doc_id", F.col("text").cast("string")).join(prints.select("_row", F.col("fp").alias("node")), "_row")
+    texts = plain.join(prints.select("_row", F.col("fp").alias("node")), "_row")
     links = near_links(prints.select("fp").distinct(), bits).unionByName(near_copy_links(texts, similarity))
     roots = connected_components(links).withColumnRenamed("node", "fp")
     grouped = prints.join(roots, "fp", "left").select("_row", F.coalesce("root", "fp").alias("root"))
-    named = grouped.join(numbered.select("_row", F.col("doc_id").cast("long").alias("id")), "_row")
+    named = grouped.join(plain.select("_row", F.col("doc_id").alias("id")), "_row")
     kept = named.groupBy("root").agg(F.min_by("_row", F.struct(F.col("id").isNull(), "id", "_row")).alias("_row"))
-    return numbered.join(kept.select("_row"), "_row", "left_semi").drop("_row").select(*docs.columns)
+    return numbered.join(kept.select(F.col("_row").alias(row)), row, "left_semi").select(*docs.columns)

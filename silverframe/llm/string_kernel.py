@@ -226,7 +226,7 @@ def one_per_copy(bags: list[set[str]]) -> list[int]:
     return [top(k) for k in range(len(bags))]
 
 
-def reliable(bags: list[tuple[set[str], int]], chance: float = 0.5, lift: float = 15) -> set[str]:
+def reliable(bags: list[tuple[set[str], int]], chance: float | None = 0.5, lift: float = 15) -> set[str]:
     """Words and stems that toxic documents hold too often for chance (over all that are tried), and ``lift`` times as often as others, as they do the word's first letters."""
     seen = [Counter(), Counter()]
     for bag, y in bags:
@@ -234,7 +234,7 @@ def reliable(bags: list[tuple[set[str], int]], chance: float = 0.5, lift: float
     n1 = sum(y for _, y in bags)
     p, ratio = n1 / len(bags), lift * n1 / (len(bags) - n1)
     tried = [s for s, k in seen[1].items() if k > 1]
-    need = math.log(max(1, len(tried)) / chance)
+    need = math.log(max(1, len(tried)) / chance) if chance else 0.0
     often = lambda s: seen[1][s] >= ratio * seen[0][s]
     return {s for s in tried if often(s) and often(s[:ROOT]) and surprise(seen[1][s], seen[1][s] + seen[0][s], p) > need}
 
@@ -280,7 +280,7 @@ def train(docs: list[tuple[str, int]], landmarks: int = 400, rounds: int = 2, se
     n1 = sum(y for _, y in bags)
     if not n1 or n1 == len(bags):
         return ToxicityModel(np.zeros(SLOTS), -1.0, 1.0, 4.0 if n1 else -2.0, [])
-    marks = reliable(bags) or reliable(bags, chance=math.inf)
+    marks = reliable(bags) or reliable(bags, chance=None)  # of a few documents nothing is certain
     hits = lambda bag: [v for v in bag if any(s in marks for s in stems(v))]
     toxic, clean = Counter(), Counter()
     aside = {k for k in rng.permutation([k for k, (_, y) in enumerate(bags) if not y])[: (len(bags) - n1) // 3].tolist()}

@@ -1,5 +1,7 @@
 """The pipeline's stages against brute-force versions, each on its own input."""
 
+import itertools
+
 import pytest
 
 pytest.importorskip("corpus_pipeline")
@@ -8,10 +10,30 @@ from silverframe.llm import pii
 from silverframe.llm import queries as Q
 from silverframe.llm import toxicity as tox
 from tests.llm.test_decontamination import grams
-from tests.llm.test_simhash import brute_groups, brute_print
+from tests.llm.test_simhash import brute_print
 from tests.llm.test_tokens import check_pieces, library
 
 
+def brute_kept(rows):
+    """Least ids of the groups linked by three bits of three-word fingerprints or by a five-word similarity of 0.8, all pairs compared."""
+    sets = {d: grams(t) for d, t in rows.items()}
+    prints = {d: brute_print(t) for d, t in rows.items()}
+    up = {d: d for d in rows}
+
+    def top(d):
+        while up[d] != d:
+            d = up[d]
+        return d
+
+    for x, y in itertools.combinations(sorted(rows), 2):
+        a, b = sets[x], sets[y]
+        near = a and b and 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b)
+        if near or (prints[x] ^ prints[y]).bit_count() <= 3:
+            x, y = sorted((top(x), top(y)))
+            up[y] = x
+    return {top(d) for d in rows}
+
+
 def test_every_stage(spark, sf_dir):
     docs = Q.table(spark, sf_dir, "documents")
     rows = {r.doc_id: r.text for r in docs.collect()}
@@ -23,11 +45,10 @@ def test_every_stage(spark, sf_dir):
     rows = {d: t for d, t in rows.items() if scores[d] < 0.7}
     docs = cp.materialize(cp.drop_toxic(spark, docs, sf_dir), "t")
     assert {r.doc_id: r.text for r in docs.collect()} == rows
-    groups = brute_groups([(d, brute_print(t)) for d, t in rows.items()])
-    rows = {d: rows[d] for d, _, c in groups if d == c}
+    rows = {d: rows[d] for d in brute_kept(rows)}
     docs = cp.materialize(cp.drop_near_duplicates(spark, docs, sf_dir), "t")
     assert {r.doc_id: r.text for r in docs.collect()} == rows
-    rows = {d: t for d, t in rows.items() if not any(i and len(i & grams(t)) >= 0.8 * len(i) - 1e-9 for i in items)}
+    rows = {d: t for d, t in rows.items() if not any(i and len(i & grams(t)) >= 0.8 * len(i) - 1e-9 for i in items)}  # every item has five words
     docs = cp.materialize(cp.drop_contaminated(spark, docs, sf_dir), "t")
     assert {r.doc_id: r.text for r in docs.collect()} == rows
     rows = {d: pii.redacted(t, pii.all_spans([t], pii.tagger())[0][1]) for d, t in rows.items()}
@@ -39,7 +60,7 @@ def test_every_stage(spark, sf_dir):
 
 def test_one_row_of_each_group_stays(spark):
     rows = [(None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (None, "x"), (None, "x"), (1, None), (2, "")]
-    df = spark.createDataFrame([(d, t, "l", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df = spark.createDataFrame([(d, t, "l", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, _row long")
     got = cp.drop_near_duplicates(spark, df, "")
     assert got.columns == df.columns
     assert sorted((str(r.doc_id), r.text) for r in got.collect()) == [("1", None), ("7", "a b c d"), ("None", "x")]

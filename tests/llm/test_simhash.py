@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 
 from silverframe.llm import queries as Q
+from silverframe.llm import simhash
 from silverframe.llm.components import connected_components
 from silverframe.llm.simhash import near_duplicates, near_links
 
@@ -48,14 +49,15 @@ def test_odd_rows(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
-def test_links_with_crowded_buckets(spark):
+def test_links_with_crowded_buckets(spark, monkeypatch):
     rng = np.random.default_rng(7)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     near = [b ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 5), replace=False))) for b in base for _ in range(12)]
     vals = np.unique(np.concatenate([base, np.array(near)])).astype(np.uint64)
     df = spark.createDataFrame([(int(v),) for v in vals.view(np.int64)], "fp long")
     want = {d: c for d, _, c in brute_groups([(int(v), int(v)) for v in vals])}
-    for hot in (20_000, 3):
+    for hot, together in ((20_000, 200_000), (3, 5)):
+        monkeypatch.setattr(simhash, "TOGETHER", together)
         links = near_links(df, 3, hot)
         roots = {r.node: r.root for r in connected_components(links).collect()}
         groups = {}
