@@ -90,3 +90,33 @@ def look_up(lut: Column, value: Column) -> Column:
     low = F.floor(at).cast("int")
     t = at - low
     return F.element_at(lut, low + 1) * (1 - t) + F.element_at(lut, F.least(low + 1, F.lit(LUT_SIZE - 1)) + 1) * t
+
+
+GAP = 1 / 255
+
+
+def move_point(points: Column, index: Column, to: Column) -> Column:
+    """Points with one moved between its neighbours, a gap from each; the ends keep their x."""
+    n = F.size(points)
+
+    def moved(p, i):
+        before, after = F.try_element_at(points, i), F.try_element_at(points, i + 2)
+        x = F.when(i == 0, 0.0).when(i == n - 1, 1.0).otherwise(F.least(after["x"] - GAP, F.greatest(before["x"] + GAP, to["x"])))
+        return F.when(i == index, F.struct(x.alias("x"), clamp(to["y"]).alias("y"))).otherwise(F.struct(p["x"].alias("x"), p["y"].alias("y")))
+
+    return F.transform(points, lambda p, i: F.when(i == 0, F.struct(F.when(index == 0, 0.0).otherwise(p["x"]).alias("x"), F.when(index == 0, clamp(to["y"])).otherwise(p["y"]).alias("y"))).otherwise(moved(p, i)))
+
+
+def add_point(points: Column, new: Column) -> Column:
+    """Points with a new one in its place; one that is nearer than the gap to a point moves that one up or down."""
+    near = F.filter(F.transform(points, lambda p, i: F.when(F.abs(p["x"] - new["x"]) < GAP, i)), lambda i: i.isNotNull())
+    at = F.try_element_at(near, F.lit(1))
+    onto = F.struct(F.try_element_at(points, at + 1)["x"].alias("x"), new["y"].alias("y"))
+    keyed = F.transform(F.concat(points, F.array(new)), lambda p, i: F.struct(p["x"].alias("x"), i.alias("i"), p["y"].alias("y")))
+    placed = F.transform(F.array_sort(keyed), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    return F.when(at.isNotNull(), move_point(points, at, onto)).otherwise(placed)
+
+
+def remove_point(points: Column, index: Column) -> Column:
+    """Points without one; the ends stay."""
+    return F.filter(points, lambda p, i: (i != index) | (index <= 0) | (index >= F.size(points) - 1))

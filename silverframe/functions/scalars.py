@@ -84,7 +84,8 @@ def sidecar_path(path: Column) -> Column:
 
 
 def signature_key(*parts: Column) -> Column:
-    return F.concat_ws("\u001f", *(p.cast("string") for p in parts))
+    """Parts joined by a separator; a null part differs from an empty one."""
+    return F.concat_ws("\u001f", *(F.coalesce(p.cast("string"), F.lit("\u0000")) for p in parts))
 
 
 def safe_filename(name: Column) -> Column:
@@ -113,3 +114,63 @@ def row_date(ms: Column) -> Column:
 def shutter(seconds: Column) -> Column:
     """Exposure time: ``1/250 s`` below a second, else seconds."""
     return F.when(seconds > 0, F.when(seconds < 1, F.concat(F.lit("1/"), round_half_up(1 / seconds).cast("string"), F.lit(" s"))).otherwise(F.concat(seconds.cast("string"), F.lit(" s"))))
+
+
+def join_root(root: Column, relative: Column) -> Column:
+    """A relative path under a root, with the root's kind of slash."""
+    slash = F.when(F.contains(root, F.lit("\\")), "\\").otherwise("/")
+    return F.concat(root, slash, F.replace(relative, F.lit("/"), slash))
+
+
+def cache_key(path: Column, modified: Column, thumbnail: Column | None = None) -> Column:
+    """``path:time``, and ``:thumb`` or ``:full`` for rendered images."""
+    parts = [path, modified.cast("string")]
+    if thumbnail is not None:
+        parts.append(F.when(thumbnail, "thumb").otherwise("full"))
+    return F.concat(*(p for k, part in enumerate(parts) for p in ([F.lit(":"), part] if k else [part])))
+
+
+def decoded(text: Column, size: Column) -> Column:
+    """The bytes of a base-64 text, null if it is none or they aren't ``size``."""
+    raw = F.try_to_binary(text, F.lit("base64"))
+    return F.when(F.octet_length(raw) == size, raw)
+
+
+def shown_value(value: Column) -> Column:
+    """A value as metadata panels show it; a dash if there is none."""
+    return F.coalesce(value.cast("string"), F.lit("—"))
+
+
+# Capture fields in the order that they are shown, with their labels.
+CAPTURE = [("camera_make", "Make"), ("camera_model", "Model"), ("lens", "Lens"), ("focal_len", "Focal Length"), ("aperture", "Aperture"), ("shutter", "Shutter"), ("iso_speed", "ISO"), ("timestamp", "Date Time")]
+
+
+def panel_rows(values: Column) -> Column:
+    """Rows (pos, label, value) of a map of strings: the capture fields, then all pairs by key."""
+    row = lambda pos, label, value: F.struct(pos.cast("int").alias("pos"), label.alias("label"), shown_value(value).alias("value"))
+    first = F.array(*(row(F.lit(k), F.lit(label), F.try_element_at(values, F.lit(key))) for k, (key, label) in enumerate(CAPTURE)))
+    keys = F.array_sort(F.map_keys(values))
+    rest = F.transform(keys, lambda key, i: row(i + len(CAPTURE), key, F.try_element_at(values, key)))
+    return F.concat(first, rest)
+
+
+def next_clock(source: Column, current: Column) -> Column:
+    """A clock that never stands still or goes back."""
+    return F.greatest(source, current + 1)
+
+
+def fold_line_angle(degrees: Column) -> Column:
+    """The angle of a line from its nearer axis, -45 to 45."""
+    turns = F.when(degrees > 45, F.ceil((degrees - 45) / 90)).when(degrees < -45, -F.ceil((-45 - degrees) / 90)).otherwise(0)
+    return degrees - 90 * turns
+
+
+def normalize_degrees(degrees: Column) -> Column:
+    """The same direction in (-180, 180]."""
+    turned = F.pmod(degrees + 180, F.lit(360)) - 180
+    return F.when(turned == -180, 180).otherwise(turned)
+
+
+def eight_bits(value: Column, rounded: bool = False) -> Column:
+    """A 16-bit level in 8 bits: its high byte, or the nearest level."""
+    return round_half_up(value * 255 / 65535).cast("int") if rounded else F.shiftright(value, 8).cast("int")

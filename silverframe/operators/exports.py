@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Formats, their extensions and whether they have lossy quality, lossless mode and bit depths.
 FORMATS = [("jpeg", "jpg", True, False, 8), ("png", "png", False, True, 16), ("webp", "webp", True, True, 8), ("avif", "avif", True, True, 12), ("tiff", "tif", False, True, 16)]
@@ -15,20 +17,42 @@ def formats(spark) -> DataFrame:
 
 
 def export_names(jobs: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Target names of jobs (job, base, suffix, extension): a name that is taken gets ``-2`` and on; null past ``-999``.
+    """Target names of jobs (job, base, suffix, extension), claimed in the order of ``job``: a name that is taken, by a job or by
+    a file of ``existing`` (name, with its extension), gets ``-2`` and on up to the first free number; null past ``-999``.
 
-    Jobs with the same name are numbered by ``job``, after the numbers of ``existing`` (name, n: how many of
-    the name are there already). Names are counted first, so a job costs one window over its own name.
+    Only names that agree but for numbers at their ends can clash, so the claims of each such family are folded
+    on their own, as sorted partitions stream by; what is held is the names that one family has taken.
     """
     base = F.concat("base", F.coalesce("suffix", F.lit("")))
     rows = jobs.select("job", base.alias("name"), "extension")
-    k = F.row_number().over(Window.partitionBy("name", "extension").orderBy("job"))
     if existing is not None:
-        rows = rows.join(existing.select("name", "n"), "name", "left")
-        k = k + F.coalesce("n", F.lit(0))
-    numbered = rows.withColumn("k", k)
-    name = F.when(F.col("k") == 1, F.concat_ws(".", "name", "extension")).when(F.col("k") <= MAX_NAMES, F.concat(F.col("name"), F.lit("-"), F.col("k").cast("string"), F.lit("."), F.col("extension")))
-    return numbered.select("job", name.alias("output_name"))
+        ext = F.substring_index("name", ".", -1)
+        there = existing.select(F.lit(None).cast(rows.schema["job"].dataType).alias("job"), F.expr("left(name, greatest(length(name) - length(substring_index(name, '.', -1)) - 1, 0))").alias("name"), ext.alias("extension"))
+        rows = rows.unionByName(there)
+    family = F.regexp_replace("name", r"(-[0-9]+)+$", "")
+    kind = rows.schema["job"].dataType
+
+    def claim(batches):
+        current, taken, tried = None, set(), {}
+        for batch in batches:
+            found = []
+            for job, name, extension, root in zip(*(batch.column(c).to_pylist() for c in ("job", "name", "extension", "family")), strict=True):
+                if (root, extension) != current:
+                    current, taken, tried = (root, extension), set(), {}
+                if job is None:
+                    taken.add(name)
+                    continue
+                k = tried.get(name, 1)  # lower numbers stay taken
+                while k <= MAX_NAMES and (name if k == 1 else f"{name}-{k}") in taken:
+                    k += 1
+                tried[name] = k
+                target = name if k == 1 else f"{name}-{k}"
+                taken.add(target)
+                found.append((job, f"{target}.{extension}" if k <= MAX_NAMES else None))
+            yield pa.RecordBatch.from_arrays([pa.array([j for j, _ in found], batch.schema.field("job").type), pa.array([n for _, n in found], pa.string())], ["job", "output_name"])
+
+    placed = rows.withColumn("family", family).repartition("family", "extension").sortWithinPartitions("family", "extension", F.col("job").asc_nulls_first())
+    return placed.mapInArrow(claim, StructType([StructField("job", kind), StructField("output_name", StringType())]))
 
 
 def export_status(items: DataFrame) -> DataFrame:
@@ -57,3 +81,17 @@ def provenance_tail(records: DataFrame, n: int = 4096) -> DataFrame:
     """The last ``n`` valid records (pos, path, device, inode), the last of each path."""
     tail = records.where(F.length(F.trim("path")) > 0).orderBy(F.desc("pos")).limit(n)
     return tail.groupBy("path").agg(F.max_by(F.struct("device", "inode"), "pos").alias("r"), F.max("pos").alias("pos")).select("path", "pos", "r.device", "r.inode")
+
+
+def export_metadata(entries: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Metadata of entries at export: where there is none, defaults whose clock is the file's."""
+    rows = entries.select("id", "last_modified").join(metadata.select("id", "pick", "rating", "color_label", "updated_at"), "id", "left")
+    return rows.select("id", F.coalesce("pick", F.lit("none")).alias("pick"), F.coalesce("rating", F.lit(0)).alias("rating"), "color_label", F.coalesce("updated_at", "last_modified").alias("updated_at"))
+
+
+def selected_sources(requested: DataFrame, approved: DataFrame) -> DataFrame:
+    """Requested sources (path) with an error for those that aren't inside the library or not in its approved scan (path)."""
+    outside = F.col("path").rlike(r"^([/\\]|[A-Za-z]:)|(^|[/\\])\.\.([/\\]|$)")
+    scan = approved.select("path").distinct().withColumn("known", F.lit(True))
+    rows = requested.select("path").distinct().join(scan, "path", "left")
+    return rows.select("path", F.when(F.col("path").isNull() | outside, "outside the library").when(F.col("known").isNull(), "not in the approved scan").alias("error"))

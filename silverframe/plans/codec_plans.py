@@ -18,7 +18,7 @@ def command_log(spark, d):
     command = (
         F.when(kind == "view", F.to_json(F.struct(F.lit("replace-global").alias("kind"), F.lit("basic").alias("plugin"), F.struct((n % 11).alias("exposure")).alias("value"), F.floor(n / 500).alias("group"))))
         .when(kind == "click", F.to_json(F.struct(F.lit("edit-metadata").alias("kind"), F.struct((n % 6).alias("rating")).alias("value"))))
-        .when(kind == "signup", F.to_json(F.struct(F.lit("insert-mask").alias("kind"), F.struct(F.concat(F.lit("m"), (n % 4).cast("string")).alias("id"), F.array(F.struct(F.lit("c").alias("id"), F.lit("subtract").alias("operation"))).alias("components")).alias("value"))))
+        .when(kind == "signup", F.to_json(F.struct(F.lit("insert-mask").alias("kind"), F.struct(F.concat(F.lit("m"), (n % 4).cast("string")).alias("id"), F.array(F.struct(F.concat(F.lit("c"), (n % 4).cast("string")).alias("id"), F.lit("add").alias("operation"))).alias("components")).alias("value"))))
         .when(kind == "error", F.to_json(F.struct(F.lit("undo").alias("kind"))))
         .otherwise(F.to_json(F.struct(F.when(n % 2 == 0, "redo").otherwise("remove-mask").alias("kind"), F.concat(F.lit("m"), (n % 4).cast("string")).alias("mask"))))
     )
@@ -56,8 +56,8 @@ def provenance(spark, d):
     return exports.provenance_tail(e.select(F.col("event_id").alias("pos"), F.concat(F.lit("out/"), F.col("user_id").cast("string"), F.lit(".jpg")).alias("path"), (F.col("event_id") % 3).alias("device"), (F.col("event_id") * 7).alias("inode")))
 
 
-_GUARD = """ WITH s AS (SELECT o_orderkey % 997 AS path, o_custkey AS real_path, o_orderkey % 5 AS device, o_orderkey AS inode, o_custkey % 10 AS folder, o_orderkey % 400 AS name, o_orderkey % 2 = 0 AS selected FROM orders WHERE o_orderkey % 6 = 0),
-    o AS (SELECT DISTINCT o_orderkey % 997 AS path FROM orders WHERE o_orderkey % 4 = 0), g AS (SELECT * FROM s WHERE path NOT IN (SELECT path FROM o) OR selected),
+_GUARD = """ WITH s AS (SELECT o_orderkey % 997 AS path, o_custkey AS real_path, o_orderkey % 5 AS device, o_orderkey AS inode, o_custkey % 10 AS folder, o_orderkey % 400 AS name, o_orderstatus = 'O' AS selected FROM orders),
+    o AS (SELECT DISTINCT o_orderkey % 997 AS path FROM orders WHERE o_orderpriority = '1-URGENT'), g AS (SELECT * FROM s WHERE path NOT IN (SELECT path FROM o) OR selected),
     t AS (SELECT l_orderkey * 10 + l_linenumber AS target, l_partkey % 5003 AS path, l_suppkey + 100000 * (l_partkey % 9) AS real_path, l_suppkey % 5 AS device, l_partkey * 3 AS inode, l_linenumber AS folder, l_partkey % 4000 AS name FROM lineitem)
     SELECT DISTINCT target FROM t WHERE EXISTS (SELECT 1 FROM g WHERE g.path = t.path) OR EXISTS (SELECT 1 FROM g WHERE g.real_path = t.real_path) OR EXISTS (SELECT 1 FROM g WHERE g.device = t.device AND g.inode = t.inode) OR EXISTS (SELECT 1 FROM g WHERE g.folder = t.folder AND g.name = t.name)"""
 
@@ -66,8 +66,8 @@ _GUARD = """ WITH s AS (SELECT o_orderkey % 997 AS path, o_custkey AS real_path,
 def guard(spark, d):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     o, li = fx.table(spark, d, "orders"), fx.table(spark, d, "lineitem")
-    sources = o.where(k % 6 == 0).select((k % 997).alias("path"), c.alias("real_path"), (k % 5).alias("device"), k.alias("inode"), (c % 10).alias("folder"), (k % 400).alias("name"), (k % 2 == 0).alias("selected"))
-    outputs = o.where(k % 4 == 0).select((k % 997).alias("path")).distinct()
+    sources = o.select((k % 997).alias("path"), c.alias("real_path"), (k % 5).alias("device"), k.alias("inode"), (c % 10).alias("folder"), (k % 400).alias("name"), (F.col("o_orderstatus") == "O").alias("selected"))
+    outputs = o.where("o_orderpriority = '1-URGENT'").select((k % 997).alias("path")).distinct()
     p, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     targets = li.select((F.col("l_orderkey") * 10 + n).alias("target"), (p % 5003).alias("path"), (s + 100000 * (p % 9)).alias("real_path"), (s % 5).alias("device"), (p * 3).alias("inode"), n.cast("long").alias("folder"), (p % 4000).alias("name"))
     return exports.overwrites_source(targets, sources, outputs)

@@ -272,22 +272,21 @@ def restored(spark, d):
     return catalog.restore_entries(fx.archive(spark, d), fx.metadata(spark, d).where("rating < 3"))
 
 
-@query("upsert_metadata", sql(""" , c AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'pick' END AS pick, CASE WHEN id % 4 < 2 THEN (id % 6)::INTEGER END AS rating, NULL::VARCHAR AS color_label FROM entries WHERE id % 3 = 0)
+@query("upsert_metadata", sql(""" , c AS (SELECT id, CASE WHEN profile_id = 'nef' THEN 'pick' END AS pick, CASE WHEN size > 500 THEN (size % 6)::INTEGER END AS rating, NULL::VARCHAR AS color_label FROM entries WHERE profile_id IS NOT NULL)
     SELECT id, coalesce(c.pick, m.pick, 'none') AS pick, coalesce(c.rating, m.rating, 0) AS rating, coalesce(c.color_label, m.color_label) AS color_label, CASE WHEN c.id IS NOT NULL THEN 1800000000000 ELSE m.updated_at END AS updated_at
     FROM metadata m FULL JOIN c USING (id)""", "entries", "metadata"))
 def upserted(spark, d):
-    i = F.col("id")
-    changes = fx.entries(spark, d).where("id % 3 = 0").select("id", F.when(i % 2 == 0, "pick").alias("pick"), F.when(i % 4 < 2, (i % 6).cast("int")).alias("rating"), F.lit(None).cast("string").alias("color_label"))
+    changes = fx.entries(spark, d).where("profile_id is not null").select("id", F.when(F.col("profile_id") == "nef", "pick").alias("pick"), F.when(F.col("size") > 500, (F.col("size") % 6).cast("int")).alias("rating"), F.lit(None).cast("string").alias("color_label"))
     return catalog.upsert_metadata(fx.metadata(spark, d), changes, 1_800_000_000_000)
 
 
-@query("newest_wins", sql(""", s AS (SELECT id, 1700000000000 + (id % 5) * 200000 AS modified, (id % 4)::INTEGER AS rating FROM entries WHERE id % 2 = 0)
+@query("newest_wins", sql(""", s AS (SELECT id, 1700000000000 + (id % 5) * 200000 AS modified, (id % 4)::INTEGER AS rating FROM entries WHERE folder IS NOT NULL)
     SELECT e.id, CASE WHEN s.modified > coalesce(m.updated_at, 0) THEN 'sidecar' WHEN m.updated_at IS NOT NULL THEN 'catalog' ELSE 'default' END AS origin,
         CASE WHEN s.modified > coalesce(m.updated_at, 0) THEN s.rating ELSE coalesce(m.rating, 0) END AS rating
     FROM entries e LEFT JOIN metadata m USING (id) LEFT JOIN s USING (id)""", "entries", "metadata"))
 def newest(spark, d):
     i, e = F.col("id"), fx.entries(spark, d)
-    sidecars = e.where("id % 2 = 0").select("id", (fx.EPOCH + (i % 5) * 200_000).alias("modified"), (i % 4).cast("int").alias("rating"))
+    sidecars = e.where("folder is not null").select("id", (fx.EPOCH + (i % 5) * 200_000).alias("modified"), (i % 4).cast("int").alias("rating"))
     return catalog.newest_wins(e, fx.metadata(spark, d), sidecars)
 
 

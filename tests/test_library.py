@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from silverframe.functions import codecs, curves, geometry
 from silverframe.functions import scalars as sc
-from silverframe.operators import edits, library, rasters
+from silverframe.operators import edits, exports, library, rasters
 from silverframe.operators.positions import with_position
 from silverframe.plans import codec_plans, registry
 from silverframe.sources import library_scan as scan
@@ -83,17 +83,89 @@ def test_command_fold(spark, sf_dir):
     assert {r.entry: (json.loads(r.document), r.revision) for r in rows} == {k: (json.loads(json.dumps(s.document)), s.revision) for k, s in want.items()}
 
 
-def test_commands_and_history():
+def mask(mask_id, *parts, **more):
+    return {"id": mask_id, "name": "m", "components": [{"id": i, "operation": op} for i, op in parts], **more}
+
+
+AI = {"id": "i", "operation": "add", "kind": "ai", "asset": "x1"}
+# (command, does it change the document, components of each mask after it); one document, in order
+CASES = [
+    ({"kind": "insert-mask", "value": mask("m", ("a", "add"), ("b", "subtract"))}, True, {"m": "a+b-"}),
+    ({"kind": "insert-mask", "value": mask("m", ("z", "add"))}, False, {"m": "a+b-"}),
+    ({"kind": "rename-mask", "mask": "?", "value": "x"}, False, {"m": "a+b-"}),
+    ({"kind": "rename-mask", "mask": "m", "value": "  "}, False, {"m": "a+b-"}),
+    ({"kind": "rename-mask", "mask": "m", "value": " sky "}, True, {"m": "a+b-"}),
+    ({"kind": "duplicate-mask", "mask": "m", "value": "n", "ids": ["c"]}, False, {"m": "a+b-"}),
+    ({"kind": "duplicate-mask", "mask": "m", "value": "n", "ids": ["c", "c"]}, False, {"m": "a+b-"}),
+    ({"kind": "duplicate-mask", "mask": "m", "value": "n", "ids": ["c", "d"], "index": 0}, True, {"n": "c+d-", "m": "a+b-"}),
+    ({"kind": "move-mask", "mask": "n", "value": 99}, True, {"m": "a+b-", "n": "c+d-"}),
+    ({"kind": "move-mask", "mask": "n", "value": 7}, False, {"m": "a+b-", "n": "c+d-"}),
+    ({"kind": "insert-mask-component", "mask": "m", "value": {"id": "e", "operation": "subtract"}, "index": 0}, False, {"m": "a+b-", "n": "c+d-"}),
+    ({"kind": "insert-mask-component", "mask": "m", "value": {"id": "e", "operation": "subtract"}, "index": -3}, False, {"m": "a+b-", "n": "c+d-"}),
+    ({"kind": "insert-mask-component", "mask": "m", "value": {"id": "e", "operation": "add"}, "index": -3}, True, {"m": "e+a+b-", "n": "c+d-"}),
+    ({"kind": "replace-mask-component", "mask": "m", "value": {"id": "e", "operation": "subtract"}}, False, {"m": "e+a+b-", "n": "c+d-"}),
+    ({"kind": "set-mask-component-operation", "mask": "m", "component": "e", "value": "subtract"}, False, {"m": "e+a+b-", "n": "c+d-"}),
+    ({"kind": "set-mask-component-operation", "mask": "m", "component": "a", "value": "subtract"}, True, {"m": "e+a-b-", "n": "c+d-"}),
+    ({"kind": "remove-mask-component", "mask": "m", "component": "e"}, True, {"m": "a+b-", "n": "c+d-"}),
+    ({"kind": "set-mask-assets", "assets": [{"id": "x0"}]}, True, {"m": "a+b-", "n": "c+d-"}),
+    ({"kind": "complete-ai-mask", "mask": "m", "value": AI, "asset": {"id": "other"}}, False, {"m": "a+b-", "n": "c+d-"}),
+    ({"kind": "complete-ai-mask", "mask": "m", "value": AI, "asset": {"id": "x1"}}, True, {"m": "a+b-i+", "n": "c+d-"}),
+    ({"kind": "complete-ai-mask", "value": {**AI, "id": "j"}, "asset": {"id": "x1"}, "new_mask": {"id": "o", "components": [{"id": "j", "kind": "ai"}]}}, True, {"m": "a+b-i+", "n": "c+d-", "o": "j+"}),
+    ({"kind": "update-ai-mask", "mask": "m", "component": "i", "value": {**AI, "asset": "x2"}, "asset": {"id": "x2"}}, True, {"m": "a+b-i+", "n": "c+d-", "o": "j+"}),
+    ({"kind": "remove-mask", "mask": "o"}, True, {"m": "a+b-i+", "n": "c+d-"}),
+    ({"kind": "remove-mask", "mask": "o"}, False, {"m": "a+b-i+", "n": "c+d-"}),
+    ({"kind": "replace-global", "plugin": "basic", "value": {"exposure": 1}}, True, {"m": "a+b-i+", "n": "c+d-"}),
+    ({"kind": "replace-global", "plugin": "basic", "value": {"contrast": 2}}, True, {"m": "a+b-i+", "n": "c+d-"}),
+    ({"kind": "reset-plugin", "plugin": "crop"}, False, {"m": "a+b-i+", "n": "c+d-"}),
+    ({"kind": "reset-all"}, True, {}),
+]
+
+
+def test_every_command_with_replay_both_ways():
+    doc, states, done = edits.empty_document(), [], []
+    for command, changes, want in CASES:
+        before = json.dumps(doc, sort_keys=True)
+        patches = edits.command_patches(doc, command)
+        assert bool(patches) == changes, command
+        states.append(doc)
+        doc = edits.replay(doc, patches)
+        done.append(patches)
+        got = {m["id"]: "".join(c["id"] + {"add": "+", "subtract": "-"}[c["operation"]] for c in m["components"]) for m in doc["masks"]}
+        assert got == want and list(got) == list(want), command
+        assert json.dumps(states[-1], sort_keys=True) == before
+        if command["kind"] == "rename-mask" and changes:
+            assert doc["masks"][0]["name"] == "sky"
+        if command["kind"] == "duplicate-mask" and changes:
+            assert doc["masks"][0]["name"] == "sky copy"
+        if command["kind"] == "set-mask-assets":
+            assert list(doc["assets"]) == ["x0"]
+        if command["kind"] == "update-ai-mask":
+            assert sorted(doc["assets"]) == ["x1", "x2"]  # x0 isn't used
+        if command["kind"] == "remove-mask" and changes:
+            assert sorted(doc["assets"]) == ["x2"]
+    assert doc == edits.empty_document()
+    for patches, state in zip(reversed(done), reversed(states), strict=True):
+        doc = edits.replay(doc, patches, forward=False)
+        assert json.dumps(doc, sort_keys=True) == json.dumps(state, sort_keys=True)
+
+
+def test_bad_commands_are_errors(spark):
+    bad = ["null", None, "{", "[]", '{"kind": "fly"}', '{"kind": "replace-global", "plugin": "x", "value": {}}', '{"kind": "insert-mask"}', '{"kind": "insert-mask", "value": {"id": "m", "components": [{"id": "m", "operation": "add"}]}}', '{"kind": "insert-mask", "value": {"id": "m", "components": [{"id": "c", "operation": "add", "kind": "ai", "asset": "none"}]}}', '{"kind": "edit-metadata"}']
+    good = json.dumps({"kind": "replace-global", "plugin": "basic", "value": {"exposure": 1}})
+    log = spark.createDataFrame([(1, k, c) for k, c in enumerate([good, *bad])] + [(2, 0, good)], "entry long, seq long, command string")
+    rows = {r.entry: r for r in edits.fold_commands(log).collect()}
+    assert (rows[1].n_errors, rows[1].revision, rows[1].n_masks, rows[2].n_errors) == (len(bad), 1, 0, 0)
+    assert rows[1].document == rows[2].document and rows[1].last_error
+    too_many = mask("m", ("a", "add"))
+    too_many["components"][0] |= {"kind": "brush", "strokes": [{"points": [0] * 20_000}] * 4}
+    with pytest.raises(edits.Invalid):
+        edits.command_patches(edits.empty_document(), {"kind": "insert-mask", "value": too_many})
+
+
+def test_history():
     s = edits.Session()
-    mask = {"id": "m", "components": [{"id": "a", "operation": "subtract"}, {"id": "b", "operation": "subtract"}]}
-    assert s.step({"kind": "insert-mask", "value": mask}) and s.document["masks"][0]["components"][0]["operation"] == "add"
-    assert not s.step({"kind": "insert-mask", "value": mask}) and not s.step({"kind": "rename-mask", "mask": "?", "value": "x"})
-    assert s.step({"kind": "remove-mask-component", "mask": "m", "component": "a"})
-    assert s.document["masks"][0]["components"] == [{"id": "b", "operation": "add"}]
-    assert not s.step({"kind": "remove-mask-component", "mask": "m", "component": "b"})
-    assert s.step({"kind": "complete-ai-mask", "mask": "m", "component": "b", "value": "x1"}) and "x1" in s.document["assets"]
-    assert s.step({"kind": "remove-mask", "mask": "m"}) and s.document["assets"] == {}
-    assert s.step({"kind": "undo"}) and "x1" in s.document["assets"] and s.step({"kind": "redo"}) and not s.step({"kind": "redo"})
+    assert s.step({"kind": "insert-mask", "value": mask("m", ("a", "add"))})
+    assert s.step({"kind": "undo"}) and s.document["masks"] == [] and s.step({"kind": "redo"}) and not s.step({"kind": "redo"}) and len(s.document["masks"]) == 1
     assert s.step({"kind": "edit-metadata", "value": {"rating": 4}}) and not s.step({"kind": "edit-metadata", "value": {"rating": 4}})
     assert s.step({"kind": "undo"}) and s.metadata["rating"] == 0
     n = len(s.undo)
@@ -103,6 +175,27 @@ def test_commands_and_history():
     for k in range(150):
         s.step({"kind": "replace-global", "plugin": "crop", "value": {"x": k}})
     assert len(s.undo) == edits.HISTORY
+    s.step({"kind": "edit-metadata", "value": {"rating": 2}})
+    fresh = edits.empty_document()
+    assert not s.step({"kind": "hydrate", "value": fresh})  # unsaved edits
+    assert not s.step({"kind": "mark-persisted", "value": s.revision + 1}) and s.step({"kind": "mark-persisted", "value": s.revision}) and not s.step({"kind": "mark-persisted", "value": 3})
+    assert s.step({"kind": "hydrate", "value": fresh}) and s.document == fresh and [x["of"] for x in s.undo] == ["metadata"]
+
+
+def test_export_names_are_unique(spark):
+    jobs = [(k, b, s, "jpg") for k, (b, s) in enumerate([("a", None), ("a", ""), ("a-2", None), ("a", None), ("b", "-2"), ("b", None), ("b", None), ("c", None)])] + [(100 + k, "a", None, "png") for k in range(2)]
+    df = spark.createDataFrame(jobs, "job long, base string, suffix string, extension string")
+    there = spark.createDataFrame([("c.jpg",), ("c-2.jpg",), ("noext",)], "name string")
+    taken, want = {"c.jpg", "c-2.jpg", "noext"}, {}
+    for job, b, s, e in jobs:
+        name = b + (s or "")
+        free = next(x for k in range(1, 1000) if (x := f"{name}.{e}" if k == 1 else f"{name}-{k}.{e}") not in taken)
+        taken.add(free)
+        want[job] = free
+    assert {r.job: r.output_name for r in exports.export_names(df, there).collect()} == want
+    many = spark.range(1005).select(F.col("id").alias("job"), F.lit("x").alias("base"), F.lit(None).cast("string").alias("suffix"), F.lit("jpg").alias("extension"))
+    names = [r.output_name for r in exports.export_names(many).collect()]
+    assert names.count(None) == 6 and len(set(names)) == 1000
 
 
 def test_geometry_invariants(spark):
