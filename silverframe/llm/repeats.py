@@ -199,7 +199,8 @@ SORTED = "rid long, ord int, w0 int, w1 int, f1 long, f2 long, marked boolean, s
 
 def _shard_windows(blocks: DataFrame, width: int, hot: int) -> DataFrame:
     """Marked windows (rid, ord, w0, w1) of the single blocks among ``blocks`` (g, b, c, rid, ord, block)."""
-    crowded = blocks.groupBy("g").count().where(F.col("count") > hot).select("g", F.ceil(F.col("count") / hot).alias("shards"))
+    # written first: a table of few rows is broadcast by its measured size, and otherwise a hot anchor's side of the join can be split
+    crowded = materialize(blocks.groupBy("g").count().where(F.col("count") > hot).select("g", F.ceil(F.col("count") / hot).alias("shards")), "crowded-anchors")
     dealt = blocks.join(crowded, "g", "left").withColumn("shards", F.coalesce("shards", F.lit(1).cast("long"))).withColumn("shard", F.pmod(F.col("b"), F.col("shards")))
 
     def run(batches):
