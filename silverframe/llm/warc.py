@@ -34,6 +34,7 @@ _SPACE = uuid.UUID("9f7f2c1e-6a5f-4d43-8f6e-2d1a4c7b9e10")
 RECORD = "source_row long, headers map<string,string>, n_bytes long, block binary"
 # Elements without visible text, elements that a head can hold, and elements that break the line.
 _HIDDEN = {"script", "style", "noscript", "template"}
+_READ = {"a", "html"}  # their attributes are wanted
 _RAW = {"script", "style", "title", "textarea"}  # no tags within
 _HEAD = {"html", "head", "title", "meta", "link", "base", *_HIDDEN}
 _LINES = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "article", "section", "nav", "header", "footer", "blockquote", "pre"}
@@ -91,6 +92,8 @@ def parse_records(data: bytes):
         at = end + 8 + size
 
 
+_EASY = re.compile(r"([a-zA-Z][a-zA-Z0-9]*)((?:\s+[a-zA-Z-]+=\"[^\"<>]*\")*)\s*>")  # a start tag as most are
+_PAIR = re.compile(r"([a-zA-Z-]+)=\"([^\"]*)\"")
 _NAME = re.compile(r"[^\s/>]+")
 _SKIP = re.compile(r"[\s/]*")
 _ATTRIBUTE = re.compile(r"=?[^\s/>=]*+")
@@ -105,12 +108,39 @@ def _plain_text(s: str) -> str:
     return html.unescape(_HUGE.sub("\ufffd", s)) if "&" in s else s
 
 
+def _start_tag(markup: str, at: int) -> tuple[str, dict[str, str], bool, int] | None:
+    """Name, attributes, whether it closes itself, and the end of the start tag whose name is at ``at``; none if the page ends in it."""
+    m = _NAME.match(markup, at)
+    tag, attributes, n = m.group().lower(), {}, len(markup)
+    skipped = _SKIP.match(markup, m.end())
+    at = skipped.end()
+    while at < n and markup[at] != ">":
+        m = _ATTRIBUTE.match(markup, at)
+        name, at = m.group().lower(), m.end()
+        value, eq = "", _VALUE.match(markup, at)
+        if eq:
+            at = eq.end()
+            quote = markup[at : at + 1]
+            if quote in ("'", '"'):
+                end = markup.find(quote, at + 1)
+                if end < 0:
+                    return None
+                value, at = markup[at + 1 : end], end + 1
+            else:
+                m = _BARE.match(markup, at)
+                value, at = m.group(), m.end()
+        attributes.setdefault(name, value)
+        skipped = _SKIP.match(markup, at)
+        at = skipped.end()
+    return None if at >= n else (tag, attributes, skipped.group().endswith("/"), at + 1)
+
+
 def tokens(markup: str):
     """("text", string, None), ("start", tag, attributes) and ("end", tag, None) of a page, in time linear in its length.
 
     What a page's end cuts off (a tag, a comment, a quoted value) is left out, as HTML says. Comments and declarations are skipped.
     """
-    at, n = 0, len(markup)
+    at, n, gt = 0, len(markup), -1
     while at < n:
         lt = markup.find("<", at)
         if lt < 0:
@@ -120,34 +150,25 @@ def tokens(markup: str):
             yield "text", markup[at:lt], None
         after = markup[lt + 1 : lt + 2]
         closing = after == "/" and markup[lt + 2 : lt + 3].isalpha()
-        if after.isalpha():
-            m = _NAME.match(markup, lt + 1)
-            tag, attributes = m.group().lower(), {}
-            skipped = _SKIP.match(markup, m.end())
-            at = skipped.end()
-            while at < n and markup[at] != ">":
-                m = _ATTRIBUTE.match(markup, at)
-                name, at = m.group().lower(), m.end()
-                value, eq = "", _VALUE.match(markup, at)
-                if eq:
-                    at = eq.end()
-                    quote = markup[at : at + 1]
-                    if quote in ("'", '"') and quote:
-                        end = markup.find(quote, at + 1)
-                        if end < 0:
-                            return
-                        value, at = markup[at + 1 : end], end + 1
-                    else:
-                        m = _BARE.match(markup, at)
-                        value, at = m.group(), m.end()
-                attributes.setdefault(name, value)
-                skipped = _SKIP.match(markup, at)
-                at = skipped.end()
-            if at >= n:
+        if closing or after.isalpha():
+            if gt < lt:
+                gt = markup.find(">", lt)  # looked for again only behind it
+            if gt < 0:
                 return
-            at += 1
+        if after.isalpha():
+            easy = _EASY.match(markup, lt + 1) if gt - lt < 1000 else None
+            if easy:
+                tag, attributes, closed, at = easy[1].lower(), {}, False, easy.end()
+                if tag in _READ:
+                    for name, value in _PAIR.findall(easy[2]):
+                        attributes.setdefault(name.lower(), value)
+            else:
+                found = _start_tag(markup, lt + 1)
+                if not found:
+                    return
+                tag, attributes, closed, at = found
             yield "start", tag, attributes
-            if skipped.group().endswith("/"):
+            if closed:
                 yield "end", tag, None
             elif tag in _RAW:
                 end = _RAW_END[tag].search(markup, at)
@@ -158,12 +179,13 @@ def tokens(markup: str):
             if end < 0:
                 return
             at = end + 3
-        elif closing or after in ("!", "?", "/") and after:
+        elif closing:
+            yield "end", _NAME.match(markup, lt + 2).group().lower(), None
+            at = gt + 1
+        elif after in ("!", "?", "/") and after:
             end = markup.find(">", lt + 2)
             if end < 0:
                 return
-            if closing:
-                yield "end", _NAME.match(markup, lt + 2).group().lower(), None
             at = end + 1
         else:
             yield "text", "<", None
