@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silverframe.llm import text_hash
-from silverframe.llm.common import by_bytes, materialize
+from silverframe.llm.common import by_bytes, materialize, small_batches
 
 BANDS, WIDTH = 20, 4
 _RNG = np.random.default_rng(20240601)
@@ -107,4 +107,6 @@ def near_copy_links(rows: DataFrame, similarity: float = 0.8, shingle: int = 5)
                     heads.append((mine, own.copy()))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["u", "v"])
 
-    return streams.mapInArrow(run, "u long, v long").unionByName(equal)
+    with small_batches(rows.sparkSession, 256):  # a row has a whole set of shingles
+        links = materialize(streams.mapInArrow(run, "u long, v long"), "near-copy-links")
+    return links.unionByName(equal)
