@@ -74,13 +74,16 @@ def windows(word: str) -> list[str]:
     and one with digits or signs also with the letters that they replace.
     """
     w = word.strip(_PLAIN).lower()
-    if w.isalpha() and len(w) < 6:
-        return _cut(w)
-    w = _EDGES.sub("", w)
-    if not w:
-        return []
-    if w.isdigit():
-        return _cut(w)
+    if w.isalpha():
+        n = len(w)
+        if n < 7 or w[1] not in (w[3], w[4], w[5]):
+            return [f"^{w}$"] if n + 2 <= LONGEST else _cut(w)
+    else:
+        w = _EDGES.sub("", w)
+        if not w:
+            return []
+        if w.isdigit():
+            return _cut(w)
     forms = [w]
     if not w.isalpha():
         forms += [_SIGNS.sub("", w), w.translate(_READ)]

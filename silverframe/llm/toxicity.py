@@ -41,11 +41,14 @@ class WordScores:
             self.known.clear()
         new = [w for w in distinct if w not in self.known]
         parts = [sk.windows(w) for w in new]
-        scores = self.model.decision([v for p in parts for v in p])
-        at = 0
-        for w, p in zip(new, parts, strict=True):
-            self.known[w] = max(scores[at : at + len(p)], default=self.model.bias)
-            at += len(p)
+        index: dict[str, int] = {}
+        place = np.array([index.setdefault(v, len(index)) for p in parts for v in p], np.int64)
+        scores = self.model.decision(list(index))[place]
+        sizes = np.array([len(p) for p in parts], np.int64)
+        best, some = np.full(len(new), self.model.bias), np.flatnonzero(sizes)
+        if len(some):
+            best[some] = np.maximum.reduceat(scores, (np.cumsum(sizes) - sizes)[some])
+        self.known.update(zip(new, best.tolist(), strict=True))
         return np.array([max(map(self.known.__getitem__, ws), default=self.model.bias) for ws in split])
 
 
