@@ -13,7 +13,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder; sets a folder only where none is configured."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
