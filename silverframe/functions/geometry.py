@@ -122,3 +122,51 @@ def export_size(w: Column, h: Column, mode: Column, edge: Column, fit_w: Column,
     oh = F.when(ratio == 1, h).otherwise(F.greatest(F.lit(1), round_half_up(h * ratio)))
     allowed = (ow <= MAX_EDGE) & (oh <= MAX_EDGE) & (ow * oh <= MAX_PIXELS)
     return F.when(allowed, ow).cast("long"), F.when(allowed, oh).cast("long")
+
+
+def drag_crop(r: Rect, handle: Column, dx: Column, dy: Column, ratio: Column) -> Rect:
+    """A crop after one of its handles (``move``, ``n``, ``ne``, ... ``nw``) was dragged.
+
+    Without a ratio (null or not positive) the dragged sides move, each at least the least size from its opposite.
+    With one, width follows the pointer and height follows width; opposite sides, or the middle across an edge, stay.
+    A handle that can't keep both the ratio and the least size changes nothing.
+    """
+    c = clamp_crop(r)
+    move = handle == "move"
+    west, east, north, south = (~move & F.contains(handle, F.lit(k)) for k in "wens")
+    right, bottom = c.x + c.width, c.y + c.height
+    cx, cy = c.x + c.width / 2, c.y + c.height / 2
+    # free sides
+    left = F.when(west, F.greatest(F.lit(0.0), F.least(right - MIN_CROP, c.x + dx))).otherwise(c.x)
+    top = F.when(north, F.greatest(F.lit(0.0), F.least(bottom - MIN_CROP, c.y + dy))).otherwise(c.y)
+    free_right = F.when(east, F.greatest(left + MIN_CROP, F.least(F.lit(1.0), right + dx))).otherwise(right)
+    free_bottom = F.when(south, F.greatest(top + MIN_CROP, F.least(F.lit(1.0), bottom + dy))).otherwise(bottom)
+    # a locked ratio: everything in terms of the width
+    across, along = ~(north | south), ~(west | east)
+    room_x = F.when(along, 2 * F.least(cx, 1 - cx)).when(west, right).otherwise(1 - c.x)
+    room_y = F.when(across, 2 * F.least(cy, 1 - cy)).when(north, bottom).otherwise(1 - c.y)
+    least, most = F.greatest(F.lit(MIN_CROP), MIN_CROP * ratio), F.least(room_x, room_y * ratio)
+    by_width = across | (~along & (F.abs(dx) >= F.abs(dy)))
+    asked = F.when(by_width, c.width + F.when(west, -dx).otherwise(dx)).otherwise((c.height + F.when(north, -dy).otherwise(dy)) * ratio)
+    w = F.greatest(least, F.least(most, asked))
+    h = w / ratio
+    x = F.when(along, cx - w / 2).when(west, right - w).otherwise(c.x)
+    y = F.when(across, cy - h / 2).when(north, bottom - h).otherwise(c.y)
+    kept = clamp_crop(Rect(x, y, w, h))
+    moved = clamp_crop(Rect(c.x + dx, c.y + dy, c.width, c.height))
+    locked = F.coalesce((ratio > 0) & ~F.isnan(ratio) & (ratio < float("inf")), F.lit(False))
+    free = (left, top, free_right - left, free_bottom - top)
+    choices = zip((c.x, c.y, c.width, c.height), (moved.x, moved.y, moved.width, moved.height), (kept.x, kept.y, kept.width, kept.height), free, strict=True)
+    return Rect(*(F.when(move, m).when(locked, F.when(least > most, a).otherwise(k)).otherwise(f) for a, m, k, f in choices))
+
+
+# Named ratios of sides.
+RATIOS = {"1:1": 1.0, "4:3": 4 / 3, "3:2": 3 / 2, "16:9": 16 / 9, "5:4": 5 / 4, "2:3": 2 / 3, "9:16": 9 / 16}
+
+
+def preset_ratio(preset: Column, iw: Column, ih: Column, custom_w: Column, custom_h: Column) -> Column:
+    """The ratio of a crop's sides in unit coordinates that a preset asks for; null for ``free``, unknown names and empty images."""
+    named = F.create_map(*(F.lit(v) for kv in RATIOS.items() for v in kv))
+    custom = F.when((custom_w > 0) & (custom_h > 0), custom_w / custom_h)
+    pixels = F.when(preset == "original", iw / ih).when(preset == "custom", custom).otherwise(F.try_element_at(named, preset))
+    return F.when((iw > 0) & (ih > 0), pixels * ih / iw)

@@ -174,3 +174,43 @@ def normalize_degrees(degrees: Column) -> Column:
 def eight_bits(value: Column, rounded: bool = False) -> Column:
     """A 16-bit level in 8 bits: its high byte, or the nearest level."""
     return round_half_up(value * 255 / 65535).cast("int") if rounded else F.shiftright(value, 8).cast("int")
+
+
+# Extensions of export formats, the first being the one written; which take a quality, its default, which can be lossless.
+EXTENSIONS = {"jpeg": ["jpg", "jpeg"], "png": ["png"], "webp": ["webp"], "avif": ["avif"], "tiff": ["tif", "tiff"]}
+QUALITY = {"jpeg": 90, "webp": 85, "avif": 55}
+LOSSLESS = ("webp",)
+
+
+def strip_known_extension(name: Column) -> Column:
+    """A name without the extension of an export format, in any case; other extensions and names of nothing else stay."""
+    known = "|".join(e for group in EXTENSIONS.values() for e in group)
+    return F.regexp_replace(name, rf"(?i)(?<=[^/])\.({known})$", "")
+
+
+def name_part(value: Column, windows: bool = False) -> Column:
+    """A part of a file name as struct (value, error): trimmed, at most 240 characters; ``windows`` also replaces what is illegal there."""
+    bad = value.isNull() | (value == "") | F.contains(value, F.lit("\0")) | F.contains(value, F.lit("/")) | F.contains(value, F.lit("\\")) | F.contains(value, F.lit(".."))
+    text = F.regexp_replace(F.regexp_replace(value, r'[<>:"|?*\x00-\x1f]', "_"), r"[. ]+$", "") if windows else value
+    space = lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")
+    text = space(text)
+    empty = text.isin("", ".")
+    text = space(F.left(text, F.lit(240)))
+    if windows:
+        text = F.when(text.rlike(r"(?i)^(con|prn|aux|nul|com[0-9]|lpt[0-9])(\..*)?$"), F.concat(F.lit("_"), text)).otherwise(text)
+    error = F.when(bad, "invalid path").when(empty, "empty")
+    return F.struct(F.when(error.isNull(), text).alias("value"), error.alias("error"))
+
+
+def encode_options(fmt: Column, quality: Column, lossless: Column) -> Column:
+    """What an encoder runs with, as struct (quality, lossless, error); a null quality is the format's default."""
+    default = F.create_map(*(F.lit(v) for kv in QUALITY.items() for v in kv))
+    takes = fmt.isin(*QUALITY)
+    used = F.coalesce(quality, F.try_element_at(default, fmt).cast("double"))
+    error = (
+        F.when(fmt.isNull() | ~fmt.isin(*EXTENSIONS), "unknown format")
+        .when(takes & ((used != F.floor(used)) | (used < 1) | (used > 100)), "quality must be a whole number from 1 to 100")
+        .when(~takes & quality.isNotNull(), "no quality in this format")
+        .when(F.coalesce(lossless, F.lit(False)) & ~fmt.isin(*LOSSLESS), "no lossless mode in this format")
+    )
+    return F.struct(F.when(error.isNull(), used).cast("int").alias("quality"), F.when(error.isNull(), F.coalesce(lossless, F.lit(False))).alias("lossless"), error.alias("error"))

@@ -106,8 +106,8 @@ def in_view(library: Library, view: View) -> DataFrame:
     return shown
 
 
-def sort_order(name: str, collation: str | None = None) -> list[Column]:
-    """Sort keys, all with the path last: scan order settles ties. A collation (``UNICODE``) compares names as people do."""
+def sort_order(name: str, collation: str | None = "UNICODE") -> list[Column]:
+    """Sort keys, all with the path last: scan order settles ties. Names compare as people order them; by bytes without a collation."""
     text = F.col("name") if collation is None else F.collate("name", collation)
     last = F.col("relative_path")
     return {
@@ -141,6 +141,13 @@ def albums_with_any(album_entries: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def toggled_rating(current: str, rating: int) -> str:
-    """The curation filter after a click on a star: the same star again clears it."""
+    """The curation filter after a click on a star: the same star again clears it; no star clears a filter by rating."""
     name = f"rating-{rating}"
+    if rating == 0:
+        return "all" if rating_of(current) else current
     return "all" if current == name else name
+
+
+def rating_of(curation: str) -> int:
+    """The stars that a curation filter asks for; 0 if it is of another kind."""
+    return int(curation[-1]) if curation in {f"rating-{k}" for k in range(1, 6)} else 0

@@ -148,8 +148,8 @@ def histogram(spark, d):
     return rasters.luma_histogram(pixels(spark, d), 16)
 
 
-_ANGLES = [-10.0, -5.0, 0.0, 5.0, 10.0]
-_LINES = ", a AS (SELECT unnest(range(5)) AS angle, tan(radians(unnest([-10.0, -5.0, 0.0, 5.0, 10.0]::DOUBLE[]))) AS slope), l AS (SELECT image_id, angle, y - floor(slope * (x - 3.5::DOUBLE) + 0.5::DOUBLE) AS line, ceil(abs(slope) * 3.5::DOUBLE) + 1 AS m, round(r * 255)::BIGINT AS level FROM px, a), s AS (SELECT image_id, angle, line, sum(level)::BIGINT AS s FROM l WHERE line >= m AND line < 8 - m GROUP BY ALL), f AS (SELECT a.image_id, a.angle, sum((b.s - a.s) * (b.s - a.s))::BIGINT AS total, count(*) AS n FROM s a JOIN s b ON a.image_id = b.image_id AND a.angle = b.angle AND b.line = a.line + 1 GROUP BY ALL)"
+_ANGLES = [k / 4 for k in range(-60, 61)]
+_LINES = ", a AS (SELECT unnest(range(121)) AS angle, tan(radians(unnest(range(121)) / 4::DOUBLE - 15)) AS slope), l AS (SELECT image_id, angle, y - floor(slope * (x - 3.5::DOUBLE) + 0.5::DOUBLE) AS line, ceil(abs(slope) * 3.5::DOUBLE) + 1 AS m, round(r * 255)::BIGINT AS level FROM px, a), s AS (SELECT image_id, angle, line, sum(level)::BIGINT AS s FROM l WHERE line >= m AND line < 8 - m GROUP BY ALL), f AS (SELECT a.image_id, a.angle, sum((b.s - a.s) * (b.s - a.s))::BIGINT AS total, count(*) AS n FROM s a JOIN s b ON a.image_id = b.image_id AND a.angle = b.angle AND b.line = a.line + 1 GROUP BY ALL)"
 
 
 def _lines(spark, d):
@@ -271,13 +271,13 @@ _LUT = f", lut AS (SELECT i, {_hermite_sql('(i / 255.0::DOUBLE)')} AS v FROM (SE
 
 @query("curve_lut", "WITH " + _LUT[2:] + f" SELECT i::INTEGER AS i, {s_scaled('v')} AS v FROM lut")
 def curve_lut(spark, d):
-    lut = fx.table(spark, d, "region").limit(1).select(F.posexplode(curves.look_up_table(_fixed())).alias("i", "v"))
+    lut = spark.range(1).select(F.posexplode(curves.look_up_table(_fixed())).alias("i", "v"))
     return lut.select("i", scaled(F.col("v")).alias("v"))
 
 
 @query("lut_apply", sql(_LUT + f", c AS (SELECT *, floor(r * 255)::BIGINT AS k FROM px) SELECT image_id, x, y, {s_scaled('a.v * (1 - (r * 255 - k)) + b.v * (r * 255 - k)')} AS r FROM c JOIN lut a ON a.i = k JOIN lut b ON b.i = least(255, k + 1)", "px"))
 def lut_apply(spark, d):
-    lut = fx.table(spark, d, "region").limit(1).select(curves.look_up_table(_fixed()).alias("lut"))  # one table of 256 numbers
+    lut = spark.range(1).select(curves.look_up_table(_fixed()).alias("lut"))  # one table of 256 numbers
     return pixels(spark, d).join(F.broadcast(lut)).select("image_id", "x", "y", scaled(curves.look_up(F.col("lut"), F.col("r"))).alias("r"))
 
 
