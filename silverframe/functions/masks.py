@@ -51,3 +51,20 @@ def compose_all(parts: list[tuple[Column, str]], inverted: bool = False, enabled
 def matte_coverage(value: Column, threshold: float) -> Column:
     """Coverage of a model's matte (0 to 1): below the threshold nothing."""
     return F.when(value < threshold, 0).otherwise(round_half_up(value * 255)).cast("long")
+
+
+def mask_planes(parts: list[tuple[Column, str, Column]], inverted: bool = False, enabled: bool = True) -> tuple[Column, Column]:
+    """The planes (adjustment, inspection) of a mask from components (coverage, operation, whether it may adjust).
+
+    The inspection plane has all components. Both are inverted only if some component may adjust, and a mask that is
+    off adjusts nothing.
+    """
+    adjustment = inspection = F.lit(0).cast("long")
+    some = F.lit(False)
+    for source, operation, able in parts:
+        inspection = compose(inspection, source, operation)
+        adjustment = F.when(able, compose(adjustment, source, operation)).otherwise(adjustment)
+        some = some | able
+    if inverted:
+        adjustment, inspection = (F.when(some, 255 - plane).otherwise(plane) for plane in (adjustment, inspection))
+    return (adjustment if enabled else F.lit(0)).cast("long"), inspection.cast("long")

@@ -64,3 +64,36 @@ def is_default_masking() -> Column:
 def same_document(a: Column, b: Column) -> Column:
     """Whether two structs are equal as JSON texts, order of map entries included."""
     return F.to_json(a) == F.to_json(b)
+
+
+def mask_diagnostics(components: DataFrame, assets: DataFrame) -> DataFrame:
+    """(id, mask, component, asset, kind, blocks): what is wrong with components of kind ``ai`` and whether it stops an export.
+
+    ``components``: id, mask, component, asset, stale; ``assets``: id, asset, verified. A component may be stale and have
+    a missing or corrupt asset at once; stale ones don't stop an export.
+    """
+    known = components.join(assets.select("id", "asset", F.coalesce("verified", F.lit(False)).alias("verified")), ["id", "asset"], "left")
+    kinds = F.array(F.when(F.col("stale"), "stale-ai"), F.when(F.col("verified").isNull(), "missing-asset").when(~F.col("verified"), "corrupt-asset"))
+    rows = known.select("id", "mask", "component", "asset", F.explode(F.array_compact(kinds)).alias("kind"))
+    return rows.withColumn("blocks", F.col("kind") != "stale-ai")
+
+
+def asset_error(asset: Column, max_edge: int = 2048, max_bytes: int = MAX_BYTES) -> Column:
+    """What is wrong with a raster asset (struct of id, sha256, width, height, byte_length, png as base 64); null if nothing.
+
+    Checks run in order: base 64 and its length, the signature and header of a PNG, the digest's form, the id, the
+    sizes, and the digest of the bytes.
+    """
+    raw = F.try_to_binary(asset["png"], F.lit("base64"))
+    code = F.hex(F.substring(raw, 1, 24))
+    number = lambda at: F.conv(F.substring(code, at * 2 + 1, 8), 16, 10).cast("long")
+    edge = lambda v: F.coalesce(v.between(1, max_edge), F.lit(False))
+    return (
+        F.when(raw.isNull() | ~F.coalesce(asset["byte_length"].between(8, max_bytes) & (F.octet_length(raw) == asset["byte_length"]), F.lit(False)), "length")
+        .when(~code.startswith("89504E470D0A1A0A"), "signature")
+        .when((F.octet_length(raw) < 24) | (F.substring(code, 25, 8) != "49484452"), "header")
+        .when(~F.coalesce(asset["sha256"].rlike("^[a-f0-9]{64}$"), F.lit(False)), "digest form")
+        .when(~F.coalesce(asset["id"] == asset["sha256"], F.lit(False)), "id")
+        .when(~edge(asset["width"]) | ~edge(asset["height"]) | (number(16) != asset["width"]) | (number(20) != asset["height"]), "size")
+        .when(F.sha2(raw, 256) != asset["sha256"], "digest")
+    )

@@ -148,3 +148,24 @@ def brush_coverage(strokes: DataFrame, width: int, height: int) -> DataFrame:
     drawn = px.select("mask_id", "x", "y", F.struct("stroke", "i", "k", source.alias("v")).alias("s")).where("s.v > 0")
     over = F.aggregate(F.array_sort("list"), F.lit(0).cast("long"), lambda acc, s: F.least(F.lit(255).cast("long"), s["v"] + F.floor(acc * (255 - s["v"]) / 255.0 + 0.5)))
     return drawn.groupBy("mask_id", "x", "y").agg(F.collect_list("s").alias("list")).select("mask_id", "x", "y", over.alias("coverage"))
+
+
+ANGLES = [k / 4 for k in range(-60, 61)]
+
+
+def straighten_angle(px: DataFrame, width: int, height: int, distinct: float = 1.08) -> DataFrame:
+    """(image_id, degrees): the turn that levels each image of ``level`` pixels, in tenths of a degree, 0 if no angle stands out.
+
+    An angle's score is that of slanted rows or columns, whichever is higher; the best (the lowest of equal ones) must
+    reach ``distinct`` times the mean over all angles. Images without a scored line turn by 0.
+    """
+    mean = lambda scores, samples: scores.select("image_id", "angle", (F.col("total") / F.col("n") / float(samples * samples)).alias("score"))
+    rows = mean(line_scores(px, width, height, ANGLES), width)
+    turned = px.select("image_id", F.col("y").alias("x"), F.col("x").alias("y"), "level")
+    columns = mean(line_scores(turned, height, width, [-a for a in ANGLES]), height)
+    floor = px.select("image_id").distinct().select("image_id", F.lit(ANGLES.index(0.0)).alias("angle"), F.lit(0.0).alias("score"))
+    best = rows.unionByName(columns).unionByName(floor).groupBy("image_id", "angle").agg(F.max("score").alias("score"))
+    top = best.groupBy("image_id").agg(F.max_by("angle", F.struct("score", -F.col("angle"))).alias("angle"), F.max("score").alias("top"), (F.sum("score") / len(ANGLES)).alias("mean"))
+    degrees = F.element_at(F.array(*map(F.lit, ANGLES)), F.col("angle") + 1)
+    stands_out = (F.col("top") > 0) & (F.col("top") >= F.col("mean") * distinct)
+    return top.select("image_id", F.when(stands_out, round_half_up(-degrees * 10) / 10).otherwise(0.0).alias("degrees"))

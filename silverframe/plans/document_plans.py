@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from silverframe.functions import curves, geometry
+from silverframe.functions import codecs, curves, geometry, masks
 from silverframe.functions import scalars as sc
 from silverframe.functions.scalars import scaled
 from silverframe.operators import documents as docs
+from silverframe.operators import rasters
 from silverframe.plans import fixtures as fx
 from silverframe.plans import image_plans as im
 from silverframe.plans.fixtures import sql
@@ -156,3 +157,58 @@ def canonical(spark, d):
     text = F.array_join(F.transform(F.map_entries(sorted_), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     same = docs.same_document(F.struct(F.col("assets").alias("v")), F.struct(sorted_.alias("v")))
     return _documents(spark, d).select("id", text.alias("assets"), same.alias("unchanged"), docs.is_default_masking().alias("plain"))
+
+
+@query("mask_diagnostics", _DOCS + """, k AS (SELECT id, mask, component, asset, points % 2 = 0 AS stale FROM c WHERE kind = 'ai'), j AS (SELECT k.*, a.asset IS NOT NULL AS there, right(k.asset, 1) <> '1' AS good FROM k LEFT JOIN a USING (id, asset))
+    SELECT id, mask, component, asset, 'stale-ai' AS kind, false AS blocks FROM j WHERE stale UNION ALL SELECT id, mask, component, asset, CASE WHEN there THEN 'corrupt-asset' ELSE 'missing-asset' END, true FROM j WHERE NOT there OR NOT good""")
+def diagnostics(spark, d):
+    rows = _documents(spark, d)
+    m = rows.select("id", F.explode("masks").alias("m")).select("id", F.col("m.id").alias("mask"), F.explode("m.components").alias("c")).where("c.kind = 'ai'")
+    parts = m.select("id", "mask", F.col("c.id").alias("component"), F.col("c.asset").alias("asset"), (F.size(F.col("c.strokes")[0]["points"]) % 2 == 0).alias("stale"))
+    assets = rows.select("id", F.explode("assets").alias("asset", "content")).select("id", "asset", (F.right("asset", F.lit(1)) != "1").alias("verified"))
+    return docs.mask_diagnostics(parts, assets)
+
+
+_FAULTS = ["", "length", "signature", "header", "digest form", "id", "size", "digest"]
+
+
+@query("asset_errors", f" SELECT DISTINCT vec_id // 3 AS image_id, nullif([{', '.join(repr(f) for f in _FAULTS)}][1 + (vec_id // 3) % 8], '') AS error FROM embeddings WHERE vec_id // 3 IN (SELECT vec_id // 3 FROM embeddings GROUP BY 1 HAVING count(*) = 3)")
+def assets(spark, d):
+    fault = F.element_at(F.array(*map(F.lit, _FAULTS)), (1 + F.col("image_id") % 8).cast("int"))
+    png = codecs.encode_gray_png(F.lit(8), F.lit(8), F.transform("r", lambda v: (v * 255).cast("int")))
+    made = fx.tiles(spark, d).select("image_id", fault.alias("fault"), png.alias("png"))
+    # the hexadecimal text of a file, with one part spoilt
+    code, is_ = F.hex("png"), lambda f: F.col("fault") == f
+    spoilt = F.when(is_("signature"), F.concat(F.lit("88"), F.substring(code, 3, 1 << 20))).when(is_("header"), F.overlay(code, F.lit("00"), 25)).when(is_("digest"), F.overlay(code, F.lit("FFFF"), 81)).otherwise(code)
+    digest = F.sha2("png", 256)
+    raw = F.unhex(spoilt)
+    named = F.when(is_("digest form"), F.upper(digest)).otherwise(digest)
+    asset = F.struct(F.when(is_("id"), "other").otherwise(named).alias("id"), named.alias("sha256"), F.when(is_("size"), 9).otherwise(8).alias("width"), F.lit(8).alias("height"), (F.octet_length(raw) + is_("length").cast("int")).alias("byte_length"), F.base64(raw).alias("png"))
+    return made.select("image_id", docs.asset_error(asset).alias("error"))
+
+
+# -- masks and straightening -------------------------------------------------------------------------------
+_ABLE = "image_id % 3"
+
+
+@query("mask_planes", sql(f", a AS (SELECT *, {im.s_round('r * 255')} AS p, {im.s_round('g * 255')} AS q, {im.s_round('b * 255')} AS s FROM px), i AS (SELECT *, {im.s_round('p * (255 - q) / 255.0::DOUBLE')} AS pq FROM a), j AS (SELECT *, least(255, s + {im.s_round('pq * (255 - s) / 255.0::DOUBLE')}) AS ins, least(255, s + {im.s_round('p * (255 - s) / 255.0::DOUBLE')}) AS without_q FROM i) SELECT image_id, x, y, CASE {_ABLE} WHEN 0 THEN 0 WHEN 1 THEN 255 - ins ELSE 255 - without_q END::BIGINT AS adjustment, CASE {_ABLE} WHEN 0 THEN ins ELSE 255 - ins END::BIGINT AS inspection FROM j", "px"))
+def planes(spark, d):
+    level = lambda c: sc.round_half_up(F.col(c) * 255)
+    kind = F.col("image_id") % 3
+    a, i = masks.mask_planes([(level("r"), "add", kind > 0), (level("g"), "subtract", kind == 1), (level("b"), "add", kind > 0)], inverted=True)
+    return im.pixels(spark, d).select("image_id", "x", "y", a.alias("adjustment"), i.alias("inspection"))
+
+
+_BOTH = """, a AS (SELECT unnest(range(121)) AS angle, tan(radians(unnest(range(121)) / 4::DOUBLE - 15)) AS slope), z AS (SELECT *, ceil(abs(slope) * 3.5::DOUBLE) + 1 AS m FROM a),
+    l AS (SELECT image_id, angle, m, 'h' AS way, y - floor(slope * (x - 3.5::DOUBLE) + 0.5::DOUBLE) AS line, round(r * 255)::BIGINT AS level FROM px, z UNION ALL SELECT image_id, angle, m, 'v', x - floor(-slope * (y - 3.5::DOUBLE) + 0.5::DOUBLE), round(r * 255)::BIGINT FROM px, z),
+    s AS (SELECT image_id, angle, way, line, sum(level) / 8::DOUBLE AS s FROM l WHERE line >= m AND line < 8 - m GROUP BY ALL),
+    e AS (SELECT *, s - lag(s) OVER (PARTITION BY image_id, angle, way ORDER BY line) AS diff FROM s),
+    f AS (SELECT image_id, angle, way, avg(diff * diff) AS score FROM e WHERE diff IS NOT NULL GROUP BY ALL),
+    g AS (SELECT image_id, angle, max(score) AS score FROM f GROUP BY ALL)
+    SELECT image_id, (CASE WHEN max(score) > 0 AND max(score) >= sum(score) / 121 * 1.08 THEN floor(-(arg_max(angle, (round(score, 9), -angle)) / 4::DOUBLE - 15) * 10 + 0.5::DOUBLE) ELSE 0 END)::INTEGER AS tenths FROM g GROUP BY image_id"""
+
+
+@query("straighten_angle", sql(_BOTH, "px"))
+def straighten(spark, d):
+    px = im.pixels(spark, d).withColumn("level", F.round(F.col("r") * 255).cast("long"))
+    return rasters.straighten_angle(px, 8, 8).select("image_id", F.round(F.col("degrees") * 10).cast("int").alias("tenths"))
