@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from silverframe.functions import codecs, curves, geometry
 from silverframe.functions import scalars as sc
-from silverframe.operators import edits, exports, library, rasters
+from silverframe.operators import documents, edits, exports, library, rasters
 from silverframe.operators.positions import with_position
 from silverframe.plans import codec_plans, registry
 from silverframe.sources import library_scan as scan
@@ -276,3 +276,63 @@ def test_restore_selection(spark):
     old = spark.createDataFrame([(7, 0), (9, 1), (5, 2)], "id long, ord long")
     assert sorted(tuple(r) for r in ordered.restore_selection(rows, old).collect()) == [(5, 2), (7, 0)]
     assert [tuple(r) for r in ordered.restore_selection(rows, old.where("id = 9")).collect()] == [(6, 0)]
+
+
+def test_crop_handles(spark):
+    """Handles keep crops in the image and above the least size, and locked ratios as far as they fit."""
+    steps = [-2.0, -0.3, -0.02, 0.0, 0.02, 0.3, 2.0]
+    rows = [(h, dx, dy, a) for h in ("move", "n", "ne", "e", "se", "s", "sw", "w", "nw") for dx in steps for dy in steps for a in (None, 0.5, 1.0, 1.5, float("nan"))]
+    df = spark.createDataFrame(rows, "handle string, dx double, dy double, a double")
+    r = geometry.drag_crop(geometry.Rect(*map(F.lit, (0.2, 0.3, 0.4, 0.3))), *(F.col(c) for c in ("handle", "dx", "dy", "a")))
+    for row in df.select("*", r.x.alias("x"), r.y.alias("y"), r.width.alias("w"), r.height.alias("h")).collect():
+        assert min(row.x, row.y) >= -1e-9 and max(row.x + row.w, row.y + row.h) <= 1 + 1e-9 and min(row.w, row.h) >= 0.05 - 1e-9
+        if row.handle == "move":
+            assert (row.w, row.h) == (0.4, 0.3)
+        elif row.a and row.a == row.a:
+            assert row.w / row.h == pytest.approx(row.a)
+        else:
+            assert row.handle.strip("we") or (row.y, row.h) == (0.3, 0.3)
+
+
+def test_presets(spark):
+    ratio = lambda p, w, h: geometry.preset_ratio(F.lit(p), F.lit(w), F.lit(h), F.lit(0.0), F.lit(4.0))
+    row = one(spark, *(ratio(*v).alias(str(i)) for i, v in enumerate([("original", 30.0, 20.0), ("1:1", 30.0, 20.0), ("free", 30.0, 20.0), ("custom", 30.0, 20.0), ("3:2", 0.0, 20.0)])))
+    assert list(row) == [1.0, pytest.approx(2 / 3), None, None, None]
+
+
+def test_rating_filter():
+    assert [library.rating_of(c) for c in ("rating-3", "rating-6", "all", "picked")] == [3, 0, 0, 0]
+    assert [library.toggled_rating(*v) for v in (("all", 2), ("rating-2", 2), ("rating-2", 3), ("rating-2", 0), ("picked", 0))] == ["rating-2", "all", "rating-3", "all", "picked"]
+
+
+PARTS = "array<struct<id:string,components:array<struct<id:string,kind:string,asset:string,strokes:array<struct<points:array<int>>>>>>>"
+
+
+def test_documents(spark):
+    brush = ("c", "brush", None, [([1, 2, 3],), (None,)])
+    rows = [
+        (1, [("m", [("c", "ai", "a", None)])], {"a": "x"}),
+        (2, None, None),
+        (3, [("m", [brush, ("m", "ai", "a", None), ("d", "ai", None, [])])], {"b": "y"}),
+        (4, [], {}),
+    ]
+    df = spark.createDataFrame(rows, f"id int, masks {PARTS}, assets map<string,string>")
+    found = {tuple(r) for r in documents.violations(df, max_strokes=1, max_points=2).collect()}
+    assert found == {(3, "repeated id", "m"), (3, "missing asset", "a"), (3, "missing asset", None), (3, "unused asset", "b"), (3, "too many strokes", None), (3, "too many points", None)}
+    assert {r.id for r in documents.violations(df, max_bytes=20).where("rule = 'too large'").collect()} == {1, 3, 4} - {r for r in (4,) if len('{"masks":[],"assets":{}}') <= 20}
+    assert {tuple(r) for r in documents.totals(df).collect()} == {(1, 1, 1, 0, 0, 1), (2, 0, 0, 0, 0, 0), (3, 1, 3, 2, 3, 1), (4, 0, 0, 0, 0, 0)}
+    assert [r.plain for r in df.orderBy("id").select(documents.is_default_masking().alias("plain")).collect()] == [False, True, False, True]
+    assert documents.violations(df.limit(0)).count() == 0
+
+
+def test_name_parts(spark):
+    names = ["a/b", "..", "", None, " . ", "CON", "x" * 300, "a:b. "]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i").select(sc.name_part(F.col("n"), windows=True).alias("v"), sc.strip_known_extension(F.col("n")).alias("s")).collect()
+    assert [r.v.value for r in rows] == [None, None, None, None, None, "_CON", "x" * 240, "a_b"]
+    assert [r.v.error for r in rows] == ["invalid path"] * 4 + ["empty", None, None, None]
+
+
+def test_straighten_without_lines(spark):
+    """A flat image and one too small for a scored line turn by 0."""
+    px = spark.createDataFrame([(1, x, y, 7) for x in range(8) for y in range(8)] + [(2, 0, 0, 1)], "image_id int, x int, y int, level long")
+    assert {tuple(r) for r in rasters.straighten_angle(px, 8, 8).collect()} == {(1, 0.0), (2, 0.0)}
