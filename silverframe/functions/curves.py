@@ -126,13 +126,12 @@ CHANNELS = ("rgb", "red", "green", "blue")
 
 
 def channel_table(curve: dict[str, Column]) -> Column:
-    """The table of four curves: 256 steps of the values of master, red, green and blue; a missing curve is the identity."""
-    at = lambda c, v: sample(normalize(curve[c]), v) if c in curve else v
-    return F.transform(F.sequence(F.lit(0), F.lit(LUT_SIZE - 1)), lambda i: F.struct(*(at(c, i / float(LUT_SIZE - 1)).alias(c) for c in CHANNELS)))
+    """Tables of the master, red, green and blue curves (struct of arrays of 256 values); a missing curve is the identity."""
+    even = F.transform(F.sequence(F.lit(0), F.lit(LUT_SIZE - 1)), lambda i: i / float(LUT_SIZE - 1))
+    return F.struct(*((let(normalize(curve[c]), look_up_table) if c in curve else even).alias(c) for c in CHANNELS))
 
 
 def apply_channels(table: Column, color: tuple[Column, Column, Column]) -> tuple[Column, ...]:
     """A color through the master curve, then each channel through its own."""
-    one = lambda c: F.transform(table, lambda s: s[c])
-    own = lambda c: lambda m: look_up(one(c), m)
-    return tuple(let(look_up(one("rgb"), v), own(c)) for v, c in zip(color, CHANNELS[1:], strict=True))
+    own = lambda c: lambda m: look_up(table[c], m)
+    return tuple(let(look_up(table["rgb"], v), own(c)) for v, c in zip(color, CHANNELS[1:], strict=True))

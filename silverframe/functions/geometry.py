@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from silverframe.functions.scalars import clamp, round_half_up
+from silverframe.functions.scalars import clamp, let, round_half_up
 
 MIN_CROP = 0.05
 MAX_EDGE, MAX_PIXELS = 100_000, 50_000_000
@@ -131,33 +131,43 @@ def drag_crop(r: Rect, handle: Column, dx: Column, dy: Column, ratio: Column) ->
     With one, width follows the pointer and height follows width; opposite sides, or the middle across an edge, stay.
     A handle that can't keep both the ratio and the least size changes nothing.
     """
-    c = clamp_crop(r)
+    names = ("x", "y", "width", "height")
+    rect = lambda *v: F.struct(*(k.alias(n) for k, n in zip(v, names, strict=True)))
     move = handle == "move"
     west, east, north, south = (~move & F.contains(handle, F.lit(k)) for k in "wens")
-    right, bottom = c.x + c.width, c.y + c.height
-    cx, cy = c.x + c.width / 2, c.y + c.height / 2
-    # free sides
-    left = F.when(west, F.greatest(F.lit(0.0), F.least(right - MIN_CROP, c.x + dx))).otherwise(c.x)
-    top = F.when(north, F.greatest(F.lit(0.0), F.least(bottom - MIN_CROP, c.y + dy))).otherwise(c.y)
-    free_right = F.when(east, F.greatest(left + MIN_CROP, F.least(F.lit(1.0), right + dx))).otherwise(right)
-    free_bottom = F.when(south, F.greatest(top + MIN_CROP, F.least(F.lit(1.0), bottom + dy))).otherwise(bottom)
-    # a locked ratio: everything in terms of the width
     across, along = ~(north | south), ~(west | east)
-    room_x = F.when(along, 2 * F.least(cx, 1 - cx)).when(west, right).otherwise(1 - c.x)
-    room_y = F.when(across, 2 * F.least(cy, 1 - cy)).when(north, bottom).otherwise(1 - c.y)
-    least, most = F.greatest(F.lit(MIN_CROP), MIN_CROP * ratio), F.least(room_x, room_y * ratio)
-    by_width = across | (~along & (F.abs(dx) >= F.abs(dy)))
-    asked = F.when(by_width, c.width + F.when(west, -dx).otherwise(dx)).otherwise((c.height + F.when(north, -dy).otherwise(dy)) * ratio)
-    w = F.greatest(least, F.least(most, asked))
-    h = w / ratio
-    x = F.when(along, cx - w / 2).when(west, right - w).otherwise(c.x)
-    y = F.when(across, cy - h / 2).when(north, bottom - h).otherwise(c.y)
-    kept = clamp_crop(Rect(x, y, w, h))
-    moved = clamp_crop(Rect(c.x + dx, c.y + dy, c.width, c.height))
+
+    def free(c: Column) -> Column:
+        """The dragged sides, each on its own."""
+        right, bottom = c["x"] + c["width"], c["y"] + c["height"]
+        left = F.when(west, F.greatest(F.lit(0.0), F.least(right - MIN_CROP, c["x"] + dx))).otherwise(c["x"])
+        top = F.when(north, F.greatest(F.lit(0.0), F.least(bottom - MIN_CROP, c["y"] + dy))).otherwise(c["y"])
+        end = F.when(east, F.greatest(c["x"] + MIN_CROP, F.least(F.lit(1.0), right + dx))).otherwise(right)
+        low = F.when(south, F.greatest(c["y"] + MIN_CROP, F.least(F.lit(1.0), bottom + dy))).otherwise(bottom)
+        return rect(left, top, end - left, low - top)
+
+    def sized(c: Column) -> Column:
+        """The crop with the width that a locked ratio gives it, null if it doesn't fit."""
+        cx, cy = c["x"] + c["width"] / 2, c["y"] + c["height"] / 2
+        room_x = F.when(along, 2 * F.least(cx, 1 - cx)).when(west, c["x"] + c["width"]).otherwise(1 - c["x"])
+        room_y = F.when(across, 2 * F.least(cy, 1 - cy)).when(north, c["y"] + c["height"]).otherwise(1 - c["y"])
+        least, most = F.greatest(F.lit(MIN_CROP), MIN_CROP * ratio), F.least(room_x, room_y * ratio)
+        by_width = across | (~along & (F.abs(dx) >= F.abs(dy)))
+        asked = F.when(by_width, c["width"] + F.when(west, -dx).otherwise(dx)).otherwise((c["height"] + F.when(north, -dy).otherwise(dy)) * ratio)
+        return F.struct(c.alias("c"), F.when(least <= most, F.greatest(least, F.least(most, asked))).alias("w"))
+
+    def placed(s: Column) -> Column:
+        c, w, h = s["c"], s["w"], s["w"] / ratio
+        x = F.when(along, c["x"] + c["width"] / 2 - w / 2).when(west, c["x"] + c["width"] - w).otherwise(c["x"])
+        y = F.when(across, c["y"] + c["height"] / 2 - h / 2).when(north, c["y"] + c["height"] - h).otherwise(c["y"])
+        return F.when(w.isNull(), c).otherwise(inside(x, y, w, h))
+
+    inside = lambda x, y, w, h: rect(*(lambda k: (k.x, k.y, k.width, k.height))(clamp_crop(Rect(x, y, w, h))))
     locked = F.coalesce((ratio > 0) & ~F.isnan(ratio) & (ratio < float("inf")), F.lit(False))
-    free = (left, top, free_right - left, free_bottom - top)
-    choices = zip((c.x, c.y, c.width, c.height), (moved.x, moved.y, moved.width, moved.height), (kept.x, kept.y, kept.width, kept.height), free, strict=True)
-    return Rect(*(F.when(move, m).when(locked, F.when(least > most, a).otherwise(k)).otherwise(f) for a, m, k, f in choices))
+    start = inside(r.x, r.y, r.width, r.height)
+    moved = lambda c: inside(c["x"] + dx, c["y"] + dy, c["width"], c["height"])
+    out = F.when(move, let(start, moved)).when(locked, let(let(start, sized), placed)).otherwise(let(start, free))
+    return Rect(*(out[n] for n in names))
 
 
 # Named ratios of sides.
