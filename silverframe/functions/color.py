@@ -124,6 +124,13 @@ def overlay(c: Rgb, mask: Column, mode: str = "color") -> Rgb:
     return tuple(mix(p, F.lit(t), mask * 0.42) for p, t in zip(c, tint, strict=True))
 
 
+def framed(c: Rgb, original: Rgb, u: Column, v: Column, over_source: Column, show_original: Column) -> tuple[Column, ...]:
+    """A finished pixel (r, g, b, alpha): transparent outside the picture where the crop is drawn over its source, the original if asked for, else clamped."""
+    outside = over_source & ((u < 0) | (v < 0) | (u > 1) | (v > 1))
+    shown = (F.when(outside, 0.0).when(show_original, o).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))) for p, o in zip(c, original, strict=True))
+    return (*shown, F.when(outside, 0.0).otherwise(1.0))
+
+
 def denoise_and_sharpen(c: Rgb, average: Rgb, noise: float, detail: float, contrast: float, color_noise: float, color_detail: float, color_smooth: float, sharpen: float, sharpen_detail: float, masking: float) -> Rgb:
     """Luminance and colour noise reduction against the neighbours' average, then unsharp masking with an edge mask."""
     blend = min(0.9, max(0.0, noise * 0.003 * (1.5 - detail * 0.01)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from silverframe.functions import codecs, curves, geometry, masks
+from silverframe.functions import codecs, color, curves, geometry, masks
 from silverframe.functions import scalars as sc
 from silverframe.functions.scalars import scaled
 from silverframe.operators import documents as docs
@@ -212,3 +212,22 @@ _BOTH = """, a AS (SELECT unnest(range(121)) AS angle, tan(radians(unnest(range(
 def straighten(spark, d):
     px = im.pixels(spark, d).withColumn("level", F.round(F.col("r") * 255).cast("long"))
     return rasters.straighten_angle(px, 8, 8).select("image_id", F.round(F.col("degrees") * 10).cast("int").alias("tenths"))
+
+
+# -- the last steps of a pixel -----------------------------------------------------------------------------
+def _overlay(mode, *exprs):
+    @query(f"overlay_{mode}", im.rgb_sql(*exprs))
+    def run(spark, d):
+        return im.out(im.pixels(spark, d), color.overlay(im.rgb(), F.col("x") / 7.0, mode))
+
+
+_overlay("white", *(im.s_mix(c, "1.0::DOUBLE", "(x / 7::DOUBLE) * 0.42::DOUBLE") for c in im.C))
+_overlay("image", *(im.s_mix(c, "(x / 7::DOUBLE)", "0.82::DOUBLE") for c in im.C))
+
+
+@query("framed_pixels", sql(f" SELECT image_id, x, y, {', '.join(im.s_scaled(f'CASE WHEN image_id % 2 = 1 AND (x = 0 OR y = 7) THEN 0 WHEN image_id % 3 = 0 THEN {c} ELSE least(1, {c} * 1.5::DOUBLE) END') + f' AS {c}' for c in im.C)}, CASE WHEN image_id % 2 = 1 AND (x = 0 OR y = 7) THEN 0 ELSE 1 END::INTEGER AS alpha FROM px", "px"))
+def framed(spark, d):
+    k = F.col("image_id")
+    u, v = (F.col("x") - 1) / F.lit(6.0), F.col("y") / F.lit(6.0)
+    *c, alpha = color.framed(tuple(F.col(n) * 1.5 for n in im.C), im.rgb(), u, v, k % 2 == 1, k % 3 == 0)
+    return im.pixels(spark, d).select("image_id", "x", "y", *(scaled(p).alias(n) for n, p in zip(im.C, c, strict=True)), alpha.cast("int").alias("alpha"))
