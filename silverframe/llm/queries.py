@@ -105,6 +105,42 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_filter_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from silverframe.llm.filter_audit import filter_orders
+
+    return filter_orders(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# cells by failed filters first, then every order of the five letters and every step
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+     w AS (SELECT *, list_filter(regexp_split_to_array(t, '[ \t-\r]+'), lambda x: x <> '') AS w FROM t),
+     l AS (SELECT doc_id, max(coalesce(quality = 1, false)::INT) AS good, max(coalesce(toxic = 1, false)::INT) AS bad FROM labels GROUP BY doc_id),
+     m AS (SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+                  (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+                  + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+                  + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask
+           FROM w LEFT JOIN l USING (doc_id)),
+     c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM m GROUP BY ALL),
+     f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+     o AS (SELECT concat(a.x, b.x, d.x, e.x, g.x) AS filter_order, [a.bit, b.bit, d.bit, e.bit, g.bit] AS bits
+           FROM f a JOIN f b ON b.x <> a.x JOIN f d ON d.x NOT IN (a.x, b.x) JOIN f e ON e.x NOT IN (a.x, b.x, d.x) JOIN f g ON g.x NOT IN (a.x, b.x, d.x, e.x)),
+     s AS (SELECT filter_order, i::INTEGER AS step, bits[i] AS bit, coalesce(list_sum(bits[1:i - 1]), 0)::INT AS before
+           FROM (SELECT *, unnest(range(1, 6)) AS i FROM o)),
+     r AS (SELECT part, filter_order, step, bit,
+                  sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+                  sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS removed,
+                  sum(CASE WHEN mask & before > 0 AND mask & bit > 0 THEN n ELSE 0 END) AS redundant,
+                  sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+                  sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN good ELSE 0 END) AS good_lost,
+                  sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN bad ELSE 0 END) AS toxic_lost
+           FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM r
+"""
+
+
 WORDS_SQL = """
     SELECT {id} AS id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM {table}
 """
@@ -135,6 +171,7 @@ def queries() -> dict[str, Query]:
         "op8_decontamination": op8_decontamination,
         "op9_repeats": op9_repeats,
         "op10_warc": op10_warc,
+        "op12_filter_orders": op12_filter_orders,
     }
 
 
@@ -143,4 +180,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_topk": OP7_SQL,
         "op8_decontamination": OP8_SQL,
+        "op12_filter_orders": OP12_SQL,
     }
