@@ -105,6 +105,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from silverframe.llm.alignment import token_alignment
+
+    return token_alignment(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"), groups=False)
+
+
 def op12_filter_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     from silverframe.llm.filter_audit import filter_orders
 
@@ -171,6 +177,7 @@ def queries() -> dict[str, Query]:
         "op8_decontamination": op8_decontamination,
         "op9_repeats": op9_repeats,
         "op10_warc": op10_warc,
+        "op11_alignment": op11_alignment,
         "op12_filter_orders": op12_filter_orders,
     }
 

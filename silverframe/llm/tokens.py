@@ -28,7 +28,7 @@ MEMO_ENTRIES = 300_000
 _LOADED: dict[str, "PieceEncoder"] = {}
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """Byte-level vocabularies write each byte as a printable letter; others are numbered from 256."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(printable)]
@@ -58,7 +58,7 @@ class PieceEncoder:
         self.full = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             declared = json.load(f)
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         self.model = self.full.model
         added = [t["content"] for t in declared.get("added_tokens") or [] if t["content"]]
         self.special = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
