@@ -147,6 +147,12 @@ FROM r
 """
 
 
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from silverframe.llm.neighbour_graph import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 WORDS_SQL = """
     SELECT {id} AS id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM {table}
 """
@@ -179,6 +185,7 @@ def queries() -> dict[str, Query]:
         "op10_warc": op10_warc,
         "op11_alignment": op11_alignment,
         "op12_filter_orders": op12_filter_orders,
+        "op13_nearest": op13_nearest,
     }
 
 
