@@ -9,7 +9,7 @@ B id, needs the corpus; all the rest needs one document. So the work is
 2. counts of id pairs, added up in each task before they are shuffled;
 3. a cogroup on the B id: counts and postings are dealt by it and sorted (Spark spills what doesn't fit), so a task
    streams an id's counts, takes their maximum, and then works off its postings block by block;
-4. document contributions, added up in each task and then by document.
+4. document contributions, added up in each task, shuffled in blocks of documents and added up by document.
 
 An id with many postings is dealt to several tasks by ``split``, each with that id's counts; only ids, at
 most as many as the vocabulary has, are broadcast.
@@ -25,6 +25,7 @@ counted: repeated rows, ids and null ids count for themselves. An empty table gi
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import uuid
 from collections import Counter
@@ -40,8 +41,8 @@ from silverframe.llm.common import batch_texts, by_bytes, keep_until_exit, share
 from silverframe.llm.tokens import byte_letters
 
 SPACE_SIGN = "▁"
-MEMO_ENTRIES, MEMO_LENGTH = 200_000, 64
-POSTINGS, BLOCK = 1 << 20, 1 << 10
+MEMO_ENTRIES, MEMO_LENGTH, BULK, SLICE = 200_000, 64, 500, 1 << 20
+POSTINGS, BLOCK, ROWS = 1 << 20, 1 << 10, 1 << 10
 _WORD_END, _WHITE_BEFORE_SPACE = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
 _LOADED: dict[tuple[str, str], "PairEncoder"] = {}
 
@@ -72,6 +73,11 @@ class PairEncoder:
         if max(self.bytes_a) >= 1 << 16:
             raise ValueError("ids of the first vocabulary must be below 65536")
         self.by_word = not any(re.search(f"[^{SPACE_SIGN}]{SPACE_SIGN}", p) for p in pieces)
+        self.sizes_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 1)])
+        self.sizes_b = np.array(list(map(len, self.bytes_b)))
+        most = max(len(self.sizes_a), len(self.sizes_b))
+        self.digits = np.array([f"{i:<8}".encode() for i in range(most)]).view(np.uint8).reshape(most, 8)
+        self.digit_counts = np.array([len(str(i)) for i in range(most)])
         self.memo: dict[str, Aligned | None] = {}
 
     def _ids_b(self, text: str) -> list[int]:
@@ -100,6 +106,43 @@ class PairEncoder:
                 first_i, first_j = i, j
         return Aligned(len(ids_a), len(ids_b), ";".join(groups).encode(), tuple(links))
 
+    def _bulk(self, words: list[str]) -> list[Aligned] | None:
+        """:meth:`aligned` of many words, which stand behind each other in one text; None if either's bytes differ from it."""
+        text = " ".join(words)
+        whole = f" {text}".encode()
+        ids_a, ids_b = self.a.encode(f" {text}", add_special_tokens=False).ids, self.b.encode(text)
+        if b"".join(map(self.bytes_a.__getitem__, ids_a)) != whole or b"".join(map(self.bytes_b.__getitem__, ids_b)) != whole:
+            return None
+        a, b = np.array(ids_a), np.array(ids_b)
+        ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        last_a, last_b = np.searchsorted(ends_a, common), np.searchsorted(ends_b, common)
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        # a group's A ids and then its B ids
+        place_a = np.arange(len(a)) + np.append(0, last_b + 1)[group_a]
+        place_b = np.arange(len(b)) + last_a[group_b] + 1
+        ids, signs = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        ids[place_a], ids[place_b] = a, b
+        signs[place_a[last_a]], signs[place_b[last_b]] = ord("|"), ord(";")
+        rows, sizes = self.digits[ids], self.digit_counts[ids]
+        rows[np.arange(len(ids)), sizes] = signs
+        written = rows[np.arange(rows.shape[1]) <= sizes[:, None]].tobytes()
+        # each word ends with a group
+        last = np.searchsorted(common, np.cumsum([len(w.encode()) + 1 for w in words]))
+        cuts = np.append(0, np.cumsum(sizes + 1)[place_b[last_b[last]]]).tolist()
+        n_a, n_b = (np.diff(x[last] + 1, prepend=0).tolist() for x in (last_a, last_b))
+        links, firsts = (b[last_b] << 16 | a[last_a]).tolist(), np.append(0, last + 1).tolist()
+        return [Aligned(x, y, written[i : j - 1], tuple(links[f:t])) for x, y, i, j, f, t in zip(n_a, n_b, cuts, cuts[1:], firsts, firsts[1:], strict=False)]
+
+    def encoded(self, words: list[str]) -> dict[str, Aligned | None]:
+        """:meth:`aligned` of each word. Those that end with a sign other than white space can stand before another."""
+        found: dict[str, Aligned | None] = {}
+        plain = [w for w in words if self.by_word and w and not w[-1].isspace()]
+        for i in range(0, len(plain), BULK):
+            some = plain[i : i + BULK]
+            found.update(zip(some, self._bulk(some) or map(self.aligned, some), strict=True))
+        return found | {w: self.aligned(w) for w in words if w not in found}
+
     def words(self, text: str) -> list[str]:
         """The stretches of a space and ``text`` that are encoded by themselves, each without its first space."""
         if not self.by_word:
@@ -107,27 +150,25 @@ class PairEncoder:
         spaced = f" {text}"
         return [w[1:] for w in _WORD_END.split(spaced)] if _WHITE_BEFORE_SPACE.search(spaced) else text.split(" ")
 
-    def document(self, text: str) -> tuple[Aligned, Counter] | None:
-        """A whole text's alignment (its links left out) and how often it has which link; None without tokens."""
-        if not text or SPACE_SIGN in text:
-            return None
-        memo, links, n_a, n_b = self.memo, Counter(), 0, 0
-        words, new = self.words(text), {}
-        for word, times in Counter(words).items():
-            if word not in memo:
-                found = self.aligned(word)
-                if len(memo) < MEMO_ENTRIES and len(word) <= MEMO_LENGTH:
-                    memo[word] = found
-            else:
-                found = memo[word]
-            if found is None:
-                return None
-            new[word] = found.groups
-            n_a += times * found.n_a
-            n_b += times * found.n_b
-            for link in found.links:
-                links[link] += times
-        return Aligned(n_a, n_b, b";".join(map(new.__getitem__, words)), ()), links
+    def documents(self, texts: list[str]) -> list[tuple[Aligned, Counter] | None]:
+        """Each whole text's alignment (its links left out) and how often it has which link; None without tokens."""
+        words = [self.words(t) if t and SPACE_SIGN not in t else [] for t in texts]
+        memo, distinct = self.memo, set().union(*words)
+        known = {w: memo[w] for w in distinct if w in memo}
+        new = self.encoded([w for w in distinct if w not in known])
+        for w in itertools.islice(new, max(0, MEMO_ENTRIES - len(memo))):
+            if len(w) <= MEMO_LENGTH:
+                memo[w] = new[w]
+        known |= new
+        out: list[tuple[Aligned, Counter] | None] = []
+        for some in words:
+            found = [known[w] for w in some]
+            if not found or None in found:
+                out.append(None)
+                continue
+            n_a, n_b, groups, links = zip(*found, strict=True)
+            out.append((Aligned(sum(n_a), sum(n_b), b";".join(groups), ()), Counter(itertools.chain.from_iterable(links))))
+        return out
 
 
 def pair_encoder(path_a: str, path_b: str) -> PairEncoder:
@@ -173,10 +214,9 @@ def _scan(docs: DataFrame, path_a: str, path_b: str, groups: bool) -> DataFrame:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for batch in batches:
-            for part in by_bytes(batch):
+            for part in by_bytes(batch, limit=SLICE):
                 found = []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), batch_texts(part), strict=True):
-                    done = encoder.document(text)
+                for doc_id, done in zip(part.column("doc_id").to_pylist(), encoder.documents(batch_texts(part)), strict=True):
                     row += 1
                     if done is None:
                         found.append((row, doc_id, 0, 0, 0, 0, "", ""))
@@ -228,7 +268,7 @@ def pair_counts(postings: DataFrame) -> DataFrame:
 
 
 def _contributions(counts: DataFrame, postings: DataFrame, split: int) -> DataFrame:
-    """(row, n_best, count_sum) of documents, several rows a document, from the cogroup on the B id."""
+    """What each B id's links add to documents, in blocks of ``ROWS`` documents, several of each, from the cogroup on the B id."""
     # an entry for each id of the B vocabulary at most
     shares = F.broadcast(postings.groupBy("b").agg(F.ceil(F.sum("postings") / split).cast("int").alias("shares")))
     left = counts.join(shares, "b").select("b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("side"), "a", "n", *(F.lit(None).cast("binary").alias(c) for c in ("rows", "as", "times")))
@@ -247,7 +287,11 @@ def _contributions(counts: DataFrame, postings: DataFrame, split: int) -> DataFr
             order = np.argsort(row, kind="stable")
             row, best, total = row[order], best[order], total[order]
             starts = np.flatnonzero(np.diff(row, prepend=-1))
-            return pa.RecordBatch.from_arrays([pa.array(row[starts]), pa.array(np.add.reduceat(best, starts)), pa.array(np.add.reduceat(total, starts))], ["row", "n_best", "count_sum"])
+            row, best, total = row[starts], np.add.reduceat(best, starts), np.add.reduceat(total, starts)
+            cuts = np.flatnonzero(np.diff(row // ROWS, prepend=-1))
+            ends = np.append(cuts[1:], len(row))
+            blobs = [pa.array([x[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary()) for x in ((row % ROWS).astype("<u2"), best.astype("<i8"), total.astype("<i8"))]
+            return pa.RecordBatch.from_arrays([pa.array(row[cuts] // ROWS), *blobs], ["block", "rows", "n_best", "count_sum"])
 
         for batch in batches:
             b, share, side = (batch.column(c).to_numpy() for c in ("b", "share", "side"))
@@ -272,7 +316,33 @@ def _contributions(counts: DataFrame, postings: DataFrame, split: int) -> DataFr
         if held:
             yield sums()
 
-    return both.mapInArrow(run, "row long, n_best long, count_sum long")
+    return both.mapInArrow(run, "block long, rows binary, n_best binary, count_sum binary")
+
+
+def _by_document(contributions: DataFrame) -> DataFrame:
+    """(row, n_best, count_sum): contributions added up, block after block of documents."""
+
+    def run(batches):
+        current, sums, seen = None, np.zeros((2, ROWS), np.int64), np.zeros(ROWS, bool)
+
+        def rows():
+            at = np.flatnonzero(seen)
+            return pa.RecordBatch.from_arrays([pa.array(current * ROWS + at), *map(pa.array, sums[:, at])], ["row", "n_best", "count_sum"])
+
+        for batch in batches:
+            for block, at, *values in zip(*(batch.column(c).to_pylist() for c in ("block", "rows", "n_best", "count_sum")), strict=True):
+                if block != current:
+                    if current is not None:
+                        yield rows()
+                    current, sums[:], seen[:] = block, 0, False
+                at = np.frombuffer(at, "<u2")
+                seen[at] = True
+                for total, more in zip(sums, values, strict=True):
+                    total[at] += np.frombuffer(more, "<i8")
+        if current is not None:
+            yield rows()
+
+    return contributions.repartition("block").sortWithinPartitions("block").mapInArrow(run, "row long, n_best long, count_sum long")
 
 
 def token_alignment(docs: DataFrame, path_a: str, path_b: str, groups: bool = True, split: int = 1 << 20) -> DataFrame:
@@ -288,7 +358,7 @@ def token_alignment(docs: DataFrame, path_a: str, path_b: str, groups: bool = Tr
     _scan(docs, path_a, path_b, groups).write.partitionBy("kind").option("compression", "zstd").parquet(path)
     written = spark.read.schema(f"{DOCUMENT}, {POSTING}, kind string").parquet(path)
     postings = written.where("kind = 'postings'")
-    found = _contributions(pair_counts(postings), postings, split).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    found = _by_document(_contributions(pair_counts(postings), postings, split))
     sums = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("n_best", "count_sum")]
     columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", *sums, "groups_sha256", *(["groups"] if groups else [])]
     return written.where("kind = 'documents'").join(found, "row", "left").select(*columns)
