@@ -39,7 +39,7 @@ NONE = -2.0  # below any similarity of vectors of norm one
 def _blob(a: np.ndarray, cuts: np.ndarray) -> pa.Array:
     """``a`` cut before each of ``cuts`` and at its end, as bytes."""
     data, width = a.tobytes(), a.itemsize
-    ends = np.append(cuts[1:], len(a))
+    ends = np.append(cuts[1:], len(a))[: len(cuts)]
     return pa.array([data[i * width : j * width] for i, j in zip(cuts.tolist(), ends.tolist(), strict=True)], pa.binary())
 
 
