@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +32,8 @@ from silverframe.llm.common import drop_table, materialize, table_path
 
 SEED_BLOCK, NODE_BLOCK = 1024, 4096
 STATE = "node long, v binary, ids binary, sims binary, fresh binary, worst float, changed int"
-FOUND = "node long, ids binary, sims binary"
+FOUND = "home int, nodes binary, sizes binary, ids binary, sims binary"
+LISTS = "node long, ids binary, sims binary"
 BEAM = "node long, v binary, ids binary, sims binary, fresh binary, open binary"
 NONE = -2.0  # below any similarity of vectors of norm one
 
@@ -60,6 +62,18 @@ def _best(owner: np.ndarray, ids: np.ndarray, sims: np.ndarray, last: np.ndarray
     return order[np.arange(len(o)) - np.searchsorted(o, o) < keep]
 
 
+def _packed(home: np.ndarray, node: np.ndarray, sizes: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> pa.Table:
+    """Lists of nodes (``sizes`` of ``ids`` and ``sims`` each) as a row for each home block of the nodes."""
+    order = np.argsort(home, kind="stable")
+    starts = np.cumsum(sizes) - sizes
+    place = np.repeat(starts[order] - (np.cumsum(sizes[order]) - sizes[order]), sizes[order]) + np.arange(len(ids))
+    home, node, sizes, ids, sims = home[order], node[order], sizes[order], ids[place], sims[place]
+    cuts = np.flatnonzero(np.diff(home, prepend=-1))
+    inner = np.append(0, np.cumsum(sizes))[cuts]
+    blobs = [_blob(node.astype("<i8"), cuts), _blob(sizes.astype("<i4"), cuts), _blob(ids.astype("<i8"), inner), _blob(sims.astype("<f4"), inner)]
+    return pa.table([pa.array(home[cuts].astype(np.int32)), *blobs], ["home", "nodes", "sizes", "ids", "sims"])
+
+
 def points(vectors: DataFrame, asked: Column) -> DataFrame:
     """(vec_id, x, norm, asked): vectors as doubles without closing zeros; those that are null, zero, without id or not finite are left out."""
 
@@ -108,30 +122,39 @@ def nodes(rows: DataFrame, k: int) -> tuple[DataFrame, int]:
     return table, count
 
 
-def _block(column: str, count: int, size: int, salt: int = 0) -> Column:
-    return F.pmod(F.xxhash64(F.col(column), F.lit(salt)), F.lit(max(1, -(-count // size)))).cast("int")
+def _blocks(count: int, size: int) -> int:
+    return max(1, -(-count // size))
+
+
+def _block(column: str, count: int, size: int, salt: int = 1) -> Column:
+    """The block that a node is dealt to. Node ids number the rows of each of some partitions, which start apart."""
+    blocks = _blocks(count, size)
+    return F.pmod(F.shiftright(column, 33) * 7919 + F.floor(F.col(column) / salt), F.lit(blocks)).cast("int")
+
+
+def _block_of(node: np.ndarray, count: int) -> np.ndarray:
+    """:func:`_block` of NODE_BLOCK."""
+    return ((node >> 33) * 7919 + node) % _blocks(count, NODE_BLOCK)
 
 
 def _first_neighbours(base: DataFrame, count: int, degree: int, salt: int) -> DataFrame:
-    """The best of each node's random block: (node, ids, sims)."""
+    """The best of each node's random block, as ``FOUND``."""
 
     def run(block: pa.Table) -> pa.Table:
         ids = block["node"].to_numpy()
         v = np.frombuffer(b"".join(block["v"].to_pylist()), "<f2").reshape(len(ids), -1).astype(np.float32)
         k = min(degree, len(ids) - 1)
-        if not k:
-            return pa.table({"node": ids[:0], "ids": pa.array([], pa.binary()), "sims": pa.array([], pa.binary())})
         found, sims = [], []
-        for a in range(0, len(ids), 512):
+        for a in range(0, len(ids) if k else 0, 512):
             s = v[a : a + 512] @ v.T
             s[np.arange(len(s)), np.arange(a, a + len(s))] = NONE
             best = np.argpartition(-s, k - 1, axis=1)[:, :k]
             found.append(ids[best])
             sims.append(np.take_along_axis(s, best, 1))
-        cuts = np.arange(len(ids)) * k
-        return pa.table({"node": ids, "ids": _blob(np.concatenate(found).astype("<i8").ravel(), cuts), "sims": _blob(np.concatenate(sims).astype("<f4").ravel(), cuts)})
+        none = np.empty(0)
+        return _packed(block["home"].to_numpy(), ids, np.full(len(ids), k), np.concatenate([none.astype(np.int64), *(f.ravel() for f in found)]), np.concatenate([none, *(x.ravel() for x in sims)]))
 
-    return base.select("node", "v", _block("node", count, SEED_BLOCK, salt).alias("block")).groupBy("block").applyInArrow(run, FOUND)
+    return base.select("node", "v", _block("node", count, NODE_BLOCK).alias("home"), _block("node", count, SEED_BLOCK, salt).alias("block")).groupBy("block").applyInArrow(run, FOUND)
 
 
 def _whole_owners(batches, key: str):
@@ -151,29 +174,38 @@ def _whole_owners(batches, key: str):
         yield rest.combine_chunks()
 
 
-def _merged(state: DataFrame, found: DataFrame, degree: int) -> DataFrame:
-    """The graph with what was found: the best ``degree`` of a node's old and new neighbours; ``fresh`` marks new ones."""
+def _merged(state: DataFrame, found: DataFrame, count: int, degree: int) -> DataFrame:
+    """The graph with what was found: the best ``degree`` of a node's old and new neighbours; ``fresh`` marks new ones.
+
+    A task merges one block of nodes after another; what was found for it is bounded as the lists of its nodes are.
+    """
 
     def run(batches):
-        for t in _whole_owners(batches, "node"):
-            node, side = t["node"].to_numpy(), t["side"].to_numpy()
-            ids, sizes = _flat(t["ids"], "<i8")
-            sims, _ = _flat(t["sims"], "<f4")
-            heads = np.flatnonzero(side == 0)
-            place = np.cumsum(side == 0) - 1  # a node's own row comes first
-            owner, new = np.repeat(place, sizes), np.repeat(side, sizes)
+        for t in _whole_owners(batches, "home"):
+            heads = np.flatnonzero(t["side"].to_numpy() == 0)
+            rows = t.take(pa.array(heads)).sort_by("node")
+            more = t.filter(pa.compute.equal(t["side"], 1))
+            node = rows["node"].to_numpy()
+            old, sizes = _flat(rows["ids"], "<i8")
+            got, _ = _flat(more["ids"], "<i8")
+            to, _ = _flat(more["nodes"], "<i8")
+            counts, _ = _flat(more["sizes"], "<i4")
+            owner = np.concatenate([np.repeat(np.arange(len(node)), sizes), np.repeat(np.searchsorted(node, to), counts)])
+            ids, new = np.concatenate([old, got]), np.repeat([0, 1], [len(old), len(got)])
+            sims = np.concatenate([_flat(x["sims"], "<f4")[0] for x in (rows, more)])
             keep = _best(owner, ids, sims, new, degree)
             owner, ids, sims, new = owner[keep], ids[keep], sims[keep], new[keep]
-            cuts = np.searchsorted(owner, np.arange(len(heads)))
+            cuts = np.searchsorted(owner, np.arange(len(node)))
             full = np.diff(cuts, append=len(owner)) == degree
-            worst = np.full(len(heads), NONE, np.float32)
+            worst = np.full(len(node), NONE, np.float32)
             worst[full] = sims[cuts[full] + degree - 1]
-            columns = [node[heads], t["v"].take(pa.array(heads)).combine_chunks(), _blob(ids, cuts), _blob(sims, cuts), _blob(new.astype(np.uint8), cuts), worst, np.bincount(owner, new, len(heads)).astype(np.int32)]
+            columns = [node, rows["v"].combine_chunks(), _blob(ids, cuts), _blob(sims, cuts), _blob(new.astype(np.uint8), cuts), worst, np.bincount(owner, new, len(node)).astype(np.int32)]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [f.split()[0] for f in STATE.split(", ")])
 
-    old = state.select("node", F.lit(0).alias("side"), "v", "ids", "sims")
-    rows = old.unionByName(found.select("node", F.lit(1).alias("side"), F.lit(None).cast("binary").alias("v"), "ids", "sims"))
-    return rows.repartition("node").sortWithinPartitions("node", "side").mapInArrow(run, STATE)
+    none = F.lit(None).cast("binary")
+    old = state.select(_block("node", count, NODE_BLOCK).alias("home"), F.lit(0).alias("side"), "node", "v", "ids", "sims", none.alias("nodes"), none.alias("sizes"))
+    rows = old.unionByName(found.select("home", F.lit(1).alias("side"), F.lit(None).cast("long").alias("node"), none.alias("v"), "ids", "sims", "nodes", "sizes"))
+    return rows.repartition("home").sortWithinPartitions("home").mapInArrow(run, STATE)
 
 
 def _links(state: DataFrame, reverse: int) -> DataFrame:
@@ -193,18 +225,37 @@ def _links(state: DataFrame, reverse: int) -> DataFrame:
 
 
 def _local_join(state: DataFrame, count: int, degree: int, reverse: int) -> DataFrame:
-    """What neighbours of a node are to each other: (node, ids, sims), better than the worst that a node has."""
-    links = _links(state, reverse).repartition("member")
-    packed = F.collect_list(F.col("center") * 2 + F.col("fresh")).alias("centers")
-    sent = links.groupBy("member", _block("center", count, NODE_BLOCK).alias("block")).agg(packed)  # at most two for each node of a block
-    rows = sent.join(state.select(F.col("node").alias("member"), "v", "worst"), "member").select("block", "member", "v", "worst", "centers")
+    """What neighbours of a node are to each other, as ``FOUND``: better than the worst that a node has."""
+    none = F.lit(None)
+    own = state.select(_block("node", count, NODE_BLOCK).alias("home"), F.lit(0).alias("side"), "node", "v", "worst", none.cast("long").alias("center"))
+    links = _links(state, reverse).select(_block("member", count, NODE_BLOCK).alias("home"), F.lit(1).alias("side"), F.col("member").alias("node"), none.cast("binary").alias("v"), none.cast("float").alias("worst"), (F.col("center") * 2 + F.col("fresh")).alias("center"))
+
+    def send(batches):
+        """A block's vectors to each block whose nodes they are linked with: a row for each pair of blocks."""
+        for t in _whole_owners(batches, "home"):
+            side = t["side"].to_numpy()
+            rows, more = t.filter(pa.array(side == 0)).sort_by("node"), t.filter(pa.array(side == 1))
+            node, link = rows["node"].to_numpy(), more["center"].to_numpy()
+            v = np.array(rows["v"].to_pylist(), object)
+            row, to = np.searchsorted(node, more["node"].to_numpy()), _block_of(link >> 1, count)
+            order = np.lexsort((row, to))
+            link, row, to = link[order], row[order], to[order]
+            cuts = np.flatnonzero(np.diff(to, prepend=-1))
+            out = []
+            for i, j in zip(cuts, np.append(cuts[1:], len(to)), strict=False):
+                some, sizes = np.unique(row[i:j], return_counts=True)
+                out.append((int(to[i]), int(t["home"][0].as_py()), node[some].tobytes(), b"".join(v[some]), rows["worst"].to_numpy()[some].tobytes(), sizes.astype("<i4").tobytes(), link[i:j].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 5), strict=True)], ["block", "home", "nodes", "v", "worst", "sizes", "centers"])
+
+    dealt = own.unionByName(links).repartition("home").sortWithinPartitions("home")
+    rows = dealt.mapInArrow(send, "block int, home int, nodes binary, v binary, worst binary, sizes binary, centers binary")
 
     def run(block: pa.Table) -> pa.Table:
-        ids, worst = block["member"].to_numpy(), block["worst"].to_numpy()
+        (ids, counts), (worst, _), (sizes, _), (link, _) = (_flat(block[c], k) for c, k in (("nodes", "<i8"), ("worst", "<f4"), ("sizes", "<i4"), ("centers", "<i8")))
+        home = np.repeat(block["home"].to_numpy(), counts)
         v = np.frombuffer(b"".join(block["v"].to_pylist()), "<f2").reshape(len(ids), -1)
-        lists = block["centers"].combine_chunks()
-        link = lists.flatten().to_numpy()
-        row = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+        row = np.repeat(np.arange(len(ids)), sizes)
         order = np.argsort(link >> 1, kind="stable")
         link, row = link[order], row[order]
         starts = np.flatnonzero(np.diff(link >> 1, prepend=-1))
@@ -234,7 +285,7 @@ def _local_join(state: DataFrame, count: int, degree: int, reverse: int) -> Data
                 size = len(held[0][0])
         u, w, s = best() if held else (np.empty(0, int),) * 3
         cuts = np.flatnonzero(np.diff(u, prepend=-1))
-        return pa.table({"node": ids[u[cuts]], "ids": _blob(ids[w].astype("<i8"), cuts), "sims": _blob(s.astype("<f4"), cuts)})
+        return _packed(home[u[cuts]], ids[u[cuts]], np.diff(cuts, append=len(u)), ids[w], s)
 
     return rows.groupBy("block").applyInArrow(run, FOUND)
 
@@ -244,10 +295,10 @@ def descent(base: DataFrame, count: int, degree: int = 40, reverse: int = 32, it
     spark = base.sparkSession
     none = F.lit(None).cast("binary")
     state = base.select("node", "v", none.alias("ids"), none.alias("sims"))
-    found = _first_neighbours(base, count, degree, 1).unionByName(_first_neighbours(base, count, degree, 2))
-    state = materialize(_merged(state, found, degree), "graph")
+    found = _first_neighbours(base, count, degree, 1).unionByName(_first_neighbours(base, count, degree, SEED_BLOCK))
+    state = materialize(_merged(state, found, count, degree), "graph")
     for _ in range(iterations if count > SEED_BLOCK else 1):
-        after = materialize(_merged(state, _local_join(state, count, degree, reverse), degree), "graph")
+        after = materialize(_merged(state, _local_join(state, count, degree, reverse), count, degree), "graph")
         drop_table(spark, table_path(state))
         state = after
         if (state.agg(F.sum("changed")).first()[0] or 0) <= least_change * count * degree:
@@ -255,18 +306,31 @@ def descent(base: DataFrame, count: int, degree: int = 40, reverse: int = 32, it
     return state
 
 
-def _asked_blocks(asks: DataFrame, count: int) -> DataFrame:
-    """(block, node, v, worst, ids): rows of ``asks`` cut by the block of the asked ids."""
-    blocks = max(1, -(-count // NODE_BLOCK))
+def _asked_blocks(asks: DataFrame, askers: DataFrame, count: int) -> DataFrame:
+    """(block, node, v, worst, ids): what ``asks`` (node, ids) ask, by block, with the vectors and worst of ``askers`` (node, v, worst)."""
 
     def run(batches):
         for t in _whole_owners(batches, "node"):
-            node, block = t["node"].to_numpy(), t["block"].to_numpy()
-            key = np.flatnonzero(np.diff(node, prepend=node[0] - 1) | np.diff(block, prepend=-1))
-            yield pa.RecordBatch.from_arrays([pa.array(node[key]), pa.array(block[key]), _blob(t["id"].to_numpy(), key)], ["node", "block", "ids"])
-
-    ids = asks.select("node", F.explode(_longs("ids")).alias("id")).distinct().withColumn("block", F.pmod(F.xxhash64("id", F.lit(0)), F.lit(blocks)).cast("int"))
-    return ids.repartition("node").sortWithinPartitions("node", "block").mapInArrow(run, "node long, block int, ids binary")
+            side = t["side"].to_numpy()
+            heads, place = np.flatnonzero(side == 0), np.cumsum(side == 0) - 1
+            ids, sizes = _flat(t["ids"], "<i8")
+            owner = np.repeat(place, sizes)
+            order = np.lexsort((ids, owner))
+            owner, ids = owner[order], ids[order]
+            first = np.append(True, (owner[1:] != owner[:-1]) | (ids[1:] != ids[:-1]))[: len(ids)]
+            owner, ids = owner[first], ids[first]
+            block = _block_of(ids, count)
+            order = np.lexsort((ids, block, owner))
+            owner, ids, block = owner[order], ids[order], block[order]
+            cuts = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+            to = pa.array(heads[owner[cuts]])
+            columns = [pa.array(block[cuts].astype(np.int32)), *(t[c].take(to).combine_chunks() for c in ("node", "v", "worst")), _blob(ids, cuts)]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "node", "v", "worst", "ids"])
+
+    none = F.lit(None)
+    left = askers.select("node", F.lit(0).alias("side"), "v", "worst", none.cast("binary").alias("ids"))
+    right = asks.select("node", F.lit(1).alias("side"), none.cast("binary").alias("v"), none.cast("float").alias("worst"), "ids")
+    return left.unionByName(right).repartition("node").sortWithinPartitions("node", "side").mapInArrow(run, "block int, node long, v binary, worst float, ids binary")
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -382,8 +446,8 @@ def search(base: DataFrame, graph: DataFrame, count: int, ef: int, front: int, r
     for _ in range(rounds):
         full = F.length("sims") >= 4 * ef
         last = F.when(full, F.expr(f"substring(sims, {4 * ef - 3}, 4)"))
-        targets = _asked_blocks(asks, count).join(beams.select("node", "v", _float(last).alias("worst")), "node")
-        found = _at_blocks(targets, values, count, _scores, FOUND)
+        targets = _asked_blocks(asks, beams.select("node", "v", _float(last).alias("worst")), count)
+        found = _at_blocks(targets, values, count, _scores, LISTS)
         after = materialize(_beams(beams, found, ef, front), "beams")
         if old:
             drop_table(spark, old)
@@ -418,7 +482,7 @@ def _results(base: DataFrame, beams: DataFrame, count: int, k: int) -> DataFrame
 
     best = beams.select("node", "ids")
     own = base.where("asked").select("node", _bytes("node").alias("ids"))
-    targets = _asked_blocks(best.unionByName(own), count).join(base.where("asked").select("node", F.col("x").alias("v")), "node").withColumn("worst", F.lit(None).cast("float"))
+    targets = _asked_blocks(best.unionByName(own), base.where("asked").select("node", F.col("x").alias("v"), F.lit(None).cast("float").alias("worst")), count)
     rows = _at_blocks(targets, base.select("node", F.col("x").alias("vector"), "members"), count, answer, "node long, score double, vec_id long, same int")
     order = Window.partitionBy("node").orderBy(F.desc("score"), "vec_id", "same")  # k + 1 rows of each block at most
     top = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1)
