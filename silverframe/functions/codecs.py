@@ -4,41 +4,29 @@ from __future__ import annotations
 
 import struct
 import zlib
-from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, IntegerType, StringType, StructField, StructType
 
-# Namespaces and colour labels of sidecars.
-XMP = "http://ns.adobe.com/xap/1.0/"
-RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
-LABELS = ("red", "yellow", "green", "blue", "purple")
+from silverframe.functions import sidecars
+
+XMP, RDF = sidecars.XMP, sidecars.RDF
 
 SIDECAR = StructType([StructField("has_rating", BooleanType()), StructField("rating", IntegerType()), StructField("has_label", BooleanType()), StructField("label", StringType()), StructField("error", StringType())])
 SIZE = StructType([StructField("kind", StringType()), StructField("width", IntegerType()), StructField("height", IntegerType())])
 
 
 def parse_sidecar(text: str | None) -> tuple:
-    """(has_rating, rating, has_label, label, error). No label clears it; an unknown one says nothing."""
-    if text is None:
-        return False, None, False, None, None
-    try:
-        root = ElementTree.fromstring(text)
-    except ElementTree.ParseError as e:
-        return False, None, False, None, str(e)
-    rating, label, found = None, None, False
-    for d in root.iter(f"{{{RDF}}}Description"):
-        found = True
-        rating = d.get(f"{{{XMP}}}Rating", rating)
-        label = d.get(f"{{{XMP}}}Label", label)
-    try:
-        stars = None if rating is None else float(rating.strip() or 0)
-    except ValueError:
-        stars = None
-    good = stars is not None and stars == int(stars) and 0 <= stars <= 5
-    low = None if label is None or not label.strip() else label.strip().lower()
-    return good, int(stars) if good else None, found and (low is None or low in LABELS), low if low in LABELS else None, None
+    """(has_rating, rating, has_label, label, error). No label clears it; an unknown one, and a rating but 0 to 5, say nothing."""
+    said = sidecars.read(text)
+    if text is None or said["error"]:
+        return False, None, False, None, said["error"]
+    rating, label = said["xmp"].get("Rating"), said["xmp"].get("Label")
+    good = rating is not None and rating in ("0", "1", "2", "3", "4", "5")
+    known = label is not None and label.lower() in sidecars.LABELS
+    return good, int(rating) if good else None, label is None or known, label.lower() if known else None, None
 
 
 @F.pandas_udf(SIDECAR)
@@ -103,4 +91,4 @@ def gray_png(width: int, height: int, pixels: bytes) -> bytes:
 @F.pandas_udf(BinaryType())
 def encode_gray_png(width: pd.Series, height: pd.Series, levels: pd.Series) -> pd.Series:
     """PNG files of planes of levels from 0 to 255."""
-    return pd.Series([gray_png(int(w), int(h), bytes(int(v) for v in p)) for w, h, p in zip(width, height, levels, strict=True)])
+    return pd.Series([gray_png(int(w), int(h), np.asarray(p, np.uint8).tobytes()) for w, h, p in zip(width, height, levels, strict=True)])

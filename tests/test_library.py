@@ -6,9 +6,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from silverframe.functions import codecs, curves, geometry
+from silverframe.functions import codecs, curves, geometry, settings, sidecars
 from silverframe.functions import scalars as sc
 from silverframe.operators import documents, edits, exports, library, rasters
+from silverframe.operators import sidecars as sidecar_ops
 from silverframe.operators.positions import with_position
 from silverframe.plans import codec_plans, registry
 from silverframe.sources import library_scan as scan
@@ -64,6 +65,9 @@ def test_catalog_document(spark, tmp_path):
 
 
 def test_codecs():
+    odd = lambda rating, label: codecs.parse_sidecar(codecs.sidecar_text(rating, label))[:4]
+    assert [odd(r, None)[:2] for r in ("nan", "inf", "4.0", "1e0", "", "5")] == [(False, None)] * 5 + [(True, 5)]
+    assert [odd(1, label)[2:] for label in (" red ", "ReD")] == [(False, None), (True, "red")]
     assert codecs.parse_sidecar("<a") [4] and codecs.parse_sidecar(None)[:4] == (False, None, False, None)
     assert codecs.parse_sidecar(codecs.sidecar_text(7, "mauve"))[:4] == (False, None, False, None)
     assert codecs.parse_sidecar(codecs.sidecar_text(0, None))[:4] == (True, 0, True, None)
@@ -336,3 +340,41 @@ def test_straighten_without_lines(spark):
     """A flat image and one too small for a scored line turn by 0."""
     px = spark.createDataFrame([(1, x, y, 7) for x in range(8) for y in range(8)] + [(2, 0, 0, 1)], "image_id int, x int, y int, level long")
     assert {tuple(r) for r in rasters.straighten_angle(px, 8, 8).collect()} == {(1, 0.0), (2, 0.0)}
+
+
+def test_sidecar_numbers_and_properties():
+    assert [settings.to_fixed(x, 2) for x in (1.005, -1.005, 0.125, -0.125, -0.001, 1.115)] == ["1.00", "-1.00", "0.13", "-0.13", "-0.00", "1.11"]
+    assert [settings.whole(x) for x in (2.5, -2.5, 0.49999999999999994, -0.4)] == ["3", "-2", "0", "0"]
+    assert [settings.number(t) for t in ("", " 5 ", "+1.5e2", "0x1F", ".5", "5.", "1_0", "inf", "nan", "1e999", "two", None)] == [0, 5, 150, 31, 0.5, 5, None, None, None, None, None, None]
+    assert settings.from_properties({}, {}) == settings.DEFAULTS
+    read = settings.from_properties({"CropLeft": "0.5", "CropRight": "0.51", "Temperature": "6000", "ToneCurvePV2012Red": "0,0;128,64;128,70;300,300;x,1"}, {"ToneCurvePV2012": ["0, 10"], "Tint": ["4"]})
+    assert (read["crop"]["enabled"], read["crop"]["width"], read["basic"]["temperature"], read["basic"]["tint"]) == (True, 0.05, 500, 0)
+    assert read["curve"]["rgb"] == settings.LINE and [round(p["y"] * 255) for p in read["curve"]["red"]] == [0, 70, 255]
+
+
+def test_sidecar_texts_keep_foreign_content():
+    # another prefix for our namespace, our prefix for another one
+    text = f'<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="{sidecars.RDF}" xmlns:xmp="urn:other"><rdf:Description xmlns:q="{sidecars.XMP}" q:Rating="2" xmp:own="1"><!--c--><![CDATA[d]]></rdf:Description></rdf:RDF></x:xmpmeta>'
+    new, error = sidecars.write(text, {"Tint": "3", "ToneCurvePV2012": ["0, 0", "255, 255"]}, 4, "red", "QUJD")
+    assert error is None and 'xmp:own="1"' in new and 'q:Rating="4"' in new and "<!--c-->" in new and "<![CDATA[d]]>" in new
+    said = sidecars.read(new)
+    assert (said["texts"], said["lists"], said["xmp"], said["masks"]) == ({"Tint": "3"}, {"ToneCurvePV2012": ["0, 0", "255, 255"]}, {"Rating": "4", "Label": "red"}, "QUJD")
+    again, _ = sidecars.write(new, {"Tint": "5", "ToneCurvePV2012": ["0, 0"]}, 0, None, None)
+    assert again.count("ToneCurvePV2012") == 2 and "Label" not in again and sidecars.read(again)["lists"] == {"ToneCurvePV2012": ["0, 0"]}
+    assert sidecars.write("<a", {}, 0, None, None)[1] and sidecars.write("<a/>", {}, 0, None, None)[1] == "no description"
+    assert sidecars.read("x" * (sidecars.MAX_BYTES + 1))["error"] == "too large"
+
+
+def test_sidecars_of_untouched_images_masks_and_files(spark, tmp_path):
+    none, masks = "CAST(NULL AS STRING)", '{"masks":[{"id":"m"}]}'
+    rows = spark.createDataFrame([(1, None, 0, None, None), (2, None, 3, None, None), (3, masks, 0, None, None), (4, None, 0, "blue", None), (5, None, 0, None, "<broken")], "id int, masking string, rating int, color_label string, existing string")
+    made = sidecar_ops.sidecar_contents(rows.selectExpr("*", f"{none} AS assets").withColumn("settings", settings.defaults()))
+    got = {r.id: r for r in made.collect()}
+    assert got[1].contents is None and got[1].error is None and got[5].contents is None and got[5].error
+    records = {r.id: r for r in sidecar_ops.sidecar_records(made.where("contents IS NOT NULL").selectExpr("id", "contents AS text")).collect()}
+    assert sorted(records) == [2, 3, 4] and records[3].masking == masks and records[2].rating == 3 and records[4].color_label == "blue"
+    bad = spark.createDataFrame([("a", "###"), ("b", "W10="), ("c", "eyJ2ZXJzaW9uIjoyfQ=="), ("d", "gICA")], "id string, p string")
+    assert [r.e for r in bad.select("id", sidecar_ops.mask_texts(F.col("p"))["error"].alias("e")).orderBy("id").collect()] == ["not base 64", "no object", "incomplete", "no object"]
+    files = spark.createDataFrame([("a/x.xmp", "one"), ("y.xmp", "two"), ("z.xmp", None)], "path string, contents string")
+    assert sorted(tuple(r) for r in sidecar_ops.write_files(files, str(tmp_path)).collect()) == [("a/x.xmp", 3, None), ("y.xmp", 3, None)]
+    assert (tmp_path / "a/x.xmp").read_text() == "one" and not list(tmp_path.rglob("*.part"))
