@@ -3,8 +3,11 @@
 Candidates share a band of a MinHash sketch: with 20 bands of 4, a pair at 0.8 is missed with probability
 3 in 100,000, one above it more rarely. Every candidate link is verified on the whole sets, as 64-bit shingle hashes.
 Equal sets are collapsed first, and bands that hold the same rows are looked at once. A bucket is streamed in
-order of ids: each row is compared with the rows before it that are no near copy of another, so that a
-large group costs one comparison a row, and of two similar rows in a bucket one is always linked.
+order of ids and kept as stars: a head, and rows similar to it with their distance from it. A row is compared with each head.
+One minus the Jaccard similarity is a metric, so a row further from a head than twice the greatest distance
+allowed is similar to none of its star, and else only to rows that lie far enough from the head: these are
+compared too, until one is similar. So a large group costs about one comparison a row, and any two similar rows of a bucket end up
+linked, directly or through others. A task holds the sets of one bucket.
 
 Defined cases: texts without words have no shingles and no links; a text with fewer words than a shingle has one.
 """
@@ -69,14 +72,39 @@ def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.select("_row", "text").mapInArrow(run, "_row long, set binary")
 
 
-def similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
-    """Whether two sorted sets have at least this Jaccard similarity."""
+def distance(x: np.ndarray, y: np.ndarray, most: float) -> float:
+    """One minus the Jaccard similarity of two sorted sets, or 1 where their sizes alone put it above ``most``."""
     small, large = sorted((len(x), len(y)))
-    if small < least * large - 1e-9:
-        return False
+    if small < (1 - most) * large - 1e-9:
+        return 1.0
     both = np.sort(np.concatenate([x, y]))
     shared = int((both[1:] == both[:-1]).sum())
-    return shared >= least * (len(x) + len(y) - shared) - 1e-9
+    return 1 - shared / (len(x) + len(y) - shared)
+
+
+class Bucket:
+    """The rows of a bucket seen so far, as stars: a head and the rows within ``reach`` of it."""
+
+    def __init__(self, reach: float):
+        self.reach = reach + 1e-9
+        self.stars: list[tuple[int, np.ndarray, list[tuple[float, int, np.ndarray]]]] = []
+
+    def links(self, node: int, own: np.ndarray) -> list[int]:
+        """The nodes that a row is linked with, one of each star that has any; the row is kept."""
+        found, home = [], None
+        for head, other, members in self.stars:
+            d = distance(own, other, 2 * self.reach)
+            if d <= self.reach:
+                found.append(head)
+                home = home or (members, d)
+            elif d <= 2 * self.reach:
+                near = (n for far, n, x in members if far >= d - self.reach - 1e-9 and distance(own, x, self.reach) <= self.reach)
+                found += [n for n in [next(near, None)] if n is not None]
+        if home:
+            home[0].append((home[1], node, own))
+        else:
+            self.stars.append((node, own, []))
+        return found
 
 
 def near_copy_links(rows: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -94,17 +122,14 @@ def near_copy_links(rows: DataFrame, similarity: float = 0.8, shingle: int = 5)
     streams = members.withColumn("_row", F.col("at._row")).join(sets, "_row").select("b", "v", "at", "node", "set").repartition("b", "v").sortWithinPartitions("b", "v", "at")
 
     def run(batches):
-        bucket, heads = None, []
+        key, bucket = None, Bucket(1 - similarity)
         for batch in batches:
             links = []
             for b, v, node, raw in zip(*(batch.column(name) for name in ("b", "v", "node", "set")), strict=True):
-                if (key := (b.as_py(), v.as_py())) != bucket:
-                    bucket, heads = key, []
-                own, mine = np.frombuffer(raw.as_buffer(), np.uint64), node.as_py()
-                found = [head for head, other in heads if similar(own, other, similarity)]
-                links += [(mine, head) for head in found if head != mine]
-                if not found:
-                    heads.append((mine, own.copy()))
+                if (b.as_py(), v.as_py()) != key:
+                    key, bucket = (b.as_py(), v.as_py()), Bucket(1 - similarity)
+                mine = node.as_py()
+                links += [(mine, n) for n in bucket.links(mine, np.frombuffer(raw.as_buffer(), np.uint64).copy()) if n != mine]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["u", "v"])
 
     with small_batches(rows.sparkSession, 256):  # a row has a whole set of shingles

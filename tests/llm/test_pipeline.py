@@ -2,11 +2,13 @@
 
 import itertools
 
+import numpy as np
 import pytest
 
 pytest.importorskip("corpus_pipeline")
 import corpus_pipeline as cp
 from silverframe.llm import pii
+from silverframe.llm.near_copies import Bucket
 from silverframe.llm import queries as Q
 from silverframe.llm import toxicity as tox
 from tests.llm.test_decontamination import grams
@@ -82,3 +84,29 @@ def test_no_near_copy_stays(spark):
     near = {(x, y) for x, y in pairs if len(before[x] & before[y]) >= 0.8 * len(before[x] | before[y])}
     assert len(near) > 5 and not [p for p in near if kept.issuperset(p)]
     assert kept & set(range(10_000_000, 10_000_005)) == {10_000_000}
+
+
+def test_copies_of_copies_are_linked():
+    """Of any rows of a bucket, those linked with each other are those that similarity joins, however long the chain."""
+    draw = np.random.default_rng(2)
+    for _ in range(60):
+        sets = [np.arange(60, dtype=np.uint64)]
+        for _ in range(40):
+            base = sets[draw.integers(len(sets))].copy()
+            base[draw.integers(0, 60, draw.integers(1, 10))] += np.uint64(1000 * draw.integers(1, 50))
+            sets.append(np.unique(base))
+        order = draw.permutation(len(sets))
+        bucket, group = Bucket(0.2), list(range(len(sets)))
+
+        def top(i, group=group):
+            while group[i] != i:
+                i = group[i]
+            return i
+
+        for i in order.tolist():
+            for j in bucket.links(i, sets[i]):
+                assert len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9
+                group[top(i)] = top(j)
+        for i, j in itertools.combinations(range(len(sets)), 2):
+            if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])):
+                assert top(i) == top(j)
