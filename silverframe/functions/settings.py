@@ -106,10 +106,10 @@ def number(text: str | None) -> float | None:
     return found if math.isfinite(found) else None
 
 
-def _curve_points(points: list[tuple[float | None, float | None]]) -> list[dict]:
+def curve_points(points: list[tuple[float | None, float | None]]) -> list[dict]:
     """Points as a curve keeps them: clamped, in order, the last of each 1/255, ends at 0 and 1; under two: the straight line."""
     kept = sorted(((min(1.0, max(0.0, x)), min(1.0, max(0.0, y))) for x, y in points if x is not None and y is not None), key=lambda p: p[0])
-    kept = [p for p, after in zip(kept, [*kept[1:], None], strict=True) if after is None or whole(p[0] * 255) != whole(after[0] * 255)]
+    kept = [p for p, after in zip(kept, [*kept[1:], None], strict=False) if after is None or whole(p[0] * 255) != whole(after[0] * 255)]
     if len(kept) < 2:
         return LINE
     return [{"x": x, "y": y} for x, y in [(0.0, kept[0][1]), *kept[1:-1], (1.0, kept[-1][1])]]
@@ -119,7 +119,7 @@ def properties(s: dict) -> dict[str, str | list[str]]:
     """The sidecar properties of settings, in the order they are written."""
     crop, numbers = s["crop"], lambda group, of: {n.property: to_fixed(s[group][n.name], n.places) if n.places else whole(s[group][n.name] + n.offset) for n in of}
     edges = {"CropLeft": crop["x"], "CropTop": crop["y"], "CropRight": crop["x"] + crop["width"], "CropBottom": crop["y"] + crop["height"]}
-    pairs = lambda c: [f"{whole(p['x'] * 255)}, {whole(p['y'] * 255)}" for p in _curve_points([(p["x"], p["y"]) for p in s["curve"][c]])]
+    pairs = lambda c: [f"{whole(p['x'] * 255)}, {whole(p['y'] * 255)}" for p in curve_points([(p["x"], p["y"]) for p in s["curve"][c]])]
     return {
         "HasCrop": "True" if crop["enabled"] else "False",
         **{n: to_fixed(v, 6) for n, v in edges.items()},
@@ -147,7 +147,7 @@ def from_properties(texts: dict[str, str], lists: dict[str, list[str]]) -> dict:
         points = []
         for x, y in ([*p.split(","), None][:2] for p in pairs):
             points.append(tuple(None if n is None else n / 255 for n in (number(x), number(y))))
-        return _curve_points(points)
+        return curve_points(points)
 
     numbers = lambda of: {n.name: value(n.property, n.default + n.offset) - n.offset for n in of}
     left, top, right, bottom = (value(n, d) for n, d in (("CropLeft", 0.0), ("CropTop", 0.0), ("CropRight", 1.0), ("CropBottom", 1.0)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from silverframe.functions import codecs, curves, geometry, settings, sidecars
 from silverframe.functions import scalars as sc
-from silverframe.operators import documents, edits, exports, library, rasters
+from silverframe.operators import document_rules, documents, edits, exports, library, rasters
 from silverframe.operators import sidecars as sidecar_ops
 from silverframe.operators.positions import with_position
 from silverframe.plans import codec_plans, registry
@@ -378,3 +378,17 @@ def test_sidecars_of_untouched_images_masks_and_files(spark, tmp_path):
     files = spark.createDataFrame([("a/x.xmp", "one"), ("y.xmp", "two"), ("z.xmp", None)], "path string, contents string")
     assert sorted(tuple(r) for r in sidecar_ops.write_files(files, str(tmp_path)).collect()) == [("a/x.xmp", 3, None), ("y.xmp", 3, None)]
     assert (tmp_path / "a/x.xmp").read_text() == "one" and not list(tmp_path.rglob("*.part"))
+
+
+def test_curves_without_points_are_straight():
+    assert settings.from_properties({"ToneCurvePV2012": "x;y"}, {})["curve"]["rgb"] == settings.LINE
+    assert settings.curve_points([]) == settings.LINE
+
+
+def test_documents_of_any_json(spark):
+    texts = [None, "", "nul", "5", "null", '{"version":NaN}', '{"settings":{}}', "{}", '{"basic":[]}', '{"curve":{"rgb":[]}}', "[" * 20_000, '{"mixer":{"red":null}}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: [tuple(p) for p in r.problems] for r in document_rules.parsed_documents(rows).collect()}
+    json_, object_ = [("", "json")], [("", "object")]
+    assert got == {0: json_, 1: json_, 2: json_, 3: object_, 4: object_, 5: json_, 6: [("version", "number")], 7: [], 8: [("settings.basic", "object")], 9: [], 10: json_, 11: [("settings.mixer.red", "object")]}
+    assert document_rules.parsed_documents(rows.limit(0)).count() == 0
