@@ -10,6 +10,7 @@ import struct
 from pyspark.sql import functions as F
 
 from silverframe.functions import settings as st
+from silverframe.operators.catalog_documents import catalog_rows
 from silverframe.operators.document_rules import parsed_documents
 from silverframe.plans import fixtures as fx
 from silverframe.plans.library_plans import query
@@ -142,3 +143,29 @@ def document_migration(spark, d):
     points = F.from_json(at("curve.rgb"), "array<struct<x:double,y:double>>")
     rows = parsed_documents(fx.table(spark, d, "part").select(k.alias("id"), text.alias("text")))
     return rows.select("id", "source", at("basic.exposure").cast("double").alias("exposure"), at("effects.grainRoughness").cast("double").alias("grain_roughness"), at("mixer.aqua.hue").cast("double").alias("hue"), F.round(F.get(points, F.lit(1))["y"], 9).alias("second_y"), F.when(points.isNotNull(), F.size(points)).alias("points"), F.concat_ws(" ", F.get("problems", F.lit(0))["path"], F.get("problems", F.lit(0))["rule"]).alias("problem")).withColumn("problem", F.nullif("problem", F.lit("")))
+
+
+def _catalogs(spark, d):
+    """A catalog for each customer, of version 1 and 2 in turn; every seventh one breaks a rule."""
+    k = F.col("c_custkey")
+    n = lambda c: c.cast("string")
+    develop = F.when(k % 2 == 0, json.dumps({"version": 2, "settings": st.DEFAULTS | {"masking": {"masks": []}}, "maskAssets": {}})).otherwise(F.concat(F.lit('{"basic":{"exposure":'), n(k % 5), F.lit("}}")))
+    clock = F.when(k % 3 == 0, F.concat(F.lit(',"developUpdatedAt":'), n(k * 2))).otherwise("")
+    first = F.concat(F.lit('{"pick":"pick","rating":'), n(k % 6), F.lit(',"colorLabel":"red","develop":'), develop, clock, F.lit(',"updatedAt":'), n(k), F.lit("}"))
+    second = F.concat(F.lit('{"pick":"none","rating":'), F.when(k % 7 == 0, "5.5").otherwise("0"), F.lit(',"colorLabel":null,"updatedAt":1}'))
+    rest = F.when(k % 4 == 0, "").otherwise(F.concat(F.lit(',"albums":[{"id":"x","name":"N","entryIds":["a"],"createdAt":1,"updatedAt":'), n(k), F.lit('}],"archivedEntryIds":["b","c"]')))
+    text = F.concat(F.lit('{"version":'), n(2 - k % 2), F.lit(',"rootPath":"/r","entries":{"a":'), first, F.lit(',"b":'), second, F.lit("}"), rest, F.lit("}"))
+    return fx.table(spark, d, "customer").select(k.alias("id"), text.alias("text"))
+
+
+@query("catalog_documents", """ WITH c AS (SELECT c_custkey AS k FROM customer), good AS (SELECT k FROM c WHERE k % 7 > 0)
+    SELECT k AS id, 'entry' AS kind, 'a' AS key, 0 AS place, k % 6 AS rating, CASE WHEN k % 3 = 0 THEN k * 2 ELSE k END AS clock, CASE WHEN k % 2 = 0 THEN 0.0 ELSE k % 5 END::DOUBLE AS exposure, NULL AS path, NULL AS rule FROM good
+    UNION ALL SELECT k, 'entry', 'b', 1, 0, 0, NULL, NULL, NULL FROM good
+    UNION ALL SELECT k, 'album', 'x', 0, NULL, k, NULL, NULL, NULL FROM good WHERE k % 4 > 0
+    UNION ALL SELECT k, 'archived', unnest(['b', 'c']), unnest([0, 1]), NULL, NULL, NULL, NULL, NULL FROM good WHERE k % 4 > 0
+    UNION ALL SELECT k, 'problem', NULL, 0, NULL, NULL, NULL, 'entries.b.rating', 'range' FROM c WHERE k % 7 = 0""")
+def catalog_documents(spark, d):
+    at = lambda path, kind: F.get_json_object("value", f"$.{path}").cast(kind)
+    rows = catalog_rows(_catalogs(spark, d))
+    clock = F.when(F.col("kind") == "entry", at("developUpdatedAt", "long")).otherwise(at("updatedAt", "long"))
+    return rows.select("id", "kind", "key", "place", at("rating", "long").alias("rating"), clock.alias("clock"), at("develop.settings.basic.exposure", "double").alias("exposure"), "path", "rule")
