@@ -15,7 +15,7 @@ def square_rows(rows: DataFrame, width: float, target: float, gap: float) -> Dat
 
 
 def dynamic_rows(rows: DataFrame, key: str, width: float, height: float, gap: float) -> DataFrame:
-    """``row`` of each tile (key, pos, id, aspect): a row closes when the next tile would overflow it at ``height``.
+    """``row`` of each tile (key, pos, id, aspect): a row closes when the next tile would overflow it at ``height``; a column of that name gives way.
 
     The break depends on all tiles before, so each key is folded in order; tiles stream through sorted
     partitions, and only the sum and count of the open row are held.
@@ -34,7 +34,7 @@ def dynamic_rows(rows: DataFrame, key: str, width: float, height: float, gap: fl
                 out.append(row)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "row"])
 
-    tiles = rows.withColumn("aspect", F.coalesce("aspect", F.lit(1.0))).repartition(key).sortWithinPartitions(key, "pos")
+    tiles = rows.drop("row").withColumn("aspect", F.coalesce("aspect", F.lit(1.0))).repartition(key).sortWithinPartitions(key, "pos")
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tiles.schema.fields)
     return tiles.mapInArrow(run, f"{names}, row long")
 

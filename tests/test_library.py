@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from silverframe.functions import codecs, curves, geometry, settings, sidecars
 from silverframe.functions import scalars as sc
-from silverframe.operators import document_rules, documents, edits, exports, library, rasters
+from silverframe.operators import document_rules, documents, edits, exports, library, ordered, rasters
 from silverframe.operators import sidecars as sidecar_ops
 from silverframe.operators.positions import with_position
 from silverframe.plans import codec_plans, registry
@@ -392,3 +392,8 @@ def test_documents_of_any_json(spark):
     json_, object_ = [("", "json")], [("", "object")]
     assert got == {0: json_, 1: json_, 2: json_, 3: object_, 4: object_, 5: json_, 6: [("version", "number")], 7: [], 8: [("settings.basic", "object")], 9: [], 10: json_, 11: [("settings.mixer.red", "object")]}
     assert document_rules.parsed_documents(rows.limit(0)).count() == 0
+
+
+def test_row_packing_beside_a_column_of_that_name(spark):
+    tiles = spark.createDataFrame([(1, 0, "a", 1.0, "x"), (1, 1, "b", 5.0, "y")], "key int, pos int, id string, aspect double, row string")
+    assert [r.row for r in ordered.dynamic_rows(tiles, "key", 300, 100, 4).orderBy("pos").collect()] == [0, 1]
