@@ -62,16 +62,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from silverframe.llm.topk import top_k
 
-    vectors = table(spark, sf_dir, "embeddings")
-    return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
 OP7_SQL = """
-WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+WITH n AS (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings),
+     v AS (SELECT r, vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY embedding, r) AS query_copy, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM n
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-     s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
-           FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
-SELECT query_id, rank::INTEGER AS rank, vec_id, score
+     s AS (SELECT q.r, q.vec_id AS query_id, q.query_copy, c.vec_id AS vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+           FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score, query_copy
 FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """
 

@@ -18,13 +18,14 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from silverframe.llm.common import keep_until_exit, materialize, shared_dir
 
 BINS, BLOCK = 256, 1024
 LEAST, MOST = -(2**63) + 1, 2**63 - 1
+FOUND = "q long, query_id long, query_copy long, vec_id long, score long"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -58,11 +59,11 @@ def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 class Wave:
-    """Query vectors of bounded size, and the range that each k-th score is known to lie in."""
+    """Query vectors of bounded size, the number of each one's own row, and the range that each k-th score is known to lie in."""
 
-    def __init__(self, ids: list[int], vectors: list[list[float]], scale: int):
+    def __init__(self, ids: list[int], copies: list[int], own: list[int], vectors: list[list[float]], scale: int):
         self.dim, self.scale = max(map(len, vectors)), scale
-        self.ids = np.array(ids, np.int64)
+        self.ids, self.copies, self.own = (np.array(v, np.int64) for v in (ids, copies, own))
         x = np.zeros((len(ids), self.dim))
         for row, v in zip(x, vectors, strict=True):
             row[: len(v)] = v
@@ -70,20 +71,24 @@ class Wave:
         self.low = self.high = None
 
     def scores(self, batch: pa.RecordBatch):
-        """(slice of queries, ids, scores) of blocks of queries and rows; a shorter vector counts as padded with zeros."""
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        """(slice of queries, slice of rows, others, scores) of blocks of queries and rows; ``others`` is false at a query's own row.
+
+        The batch's columns are row, x and any more; a shorter vector counts as padded with zeros.
+        """
+        numbers = batch.column(0).to_numpy(zero_copy_only=False)
         lists = batch.column(1)
         sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
         flat = lists.flatten().to_numpy(zero_copy_only=False)
         place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         inside = place < self.dim
-        rows = np.zeros((len(ids), self.dim))
-        rows[np.repeat(np.arange(len(ids)), sizes)[inside], place[inside]] = flat[inside]
+        rows = np.zeros((len(numbers), self.dim))
+        rows[np.repeat(np.arange(len(numbers)), sizes)[inside], place[inside]] = flat[inside]
         rows = scaled(rows, self.scale)
-        for a in range(0, len(ids), 2 * BLOCK):
+        for a in range(0, len(numbers), 2 * BLOCK):
+            part = slice(a, a + 2 * BLOCK)
             for q in range(0, len(self.ids), BLOCK):
                 block = slice(q, q + BLOCK)
-                yield block, ids[a : a + 2 * BLOCK], products(self.x[block], rows[a : a + 2 * BLOCK])
+                yield block, part, numbers[None, part] != self.own[block, None], products(self.x[block], rows[part])
 
 
 def _extremes(rows: DataFrame, wave) -> DataFrame:
@@ -93,14 +98,13 @@ def _extremes(rows: DataFrame, wave) -> DataFrame:
         w = wave.value
         low, high, n = np.full(len(w.ids), MOST), np.full(len(w.ids), LEAST), np.zeros(len(w.ids), np.int64)
         for batch in batches:
-            for at, ids, s in w.scores(batch):
-                other = ids[None, :] != w.ids[at, None]
+            for at, _, other, s in w.scores(batch):
                 low[at] = np.minimum(low[at], np.where(other, s, MOST).min(1))
                 high[at] = np.maximum(high[at], np.where(other, s, LEAST).max(1))
                 n[at] += other.sum(1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w.ids), dtype=np.int32)), pa.array(low), pa.array(high), pa.array(n)], ["q", "low", "high", "n"])
 
-    return rows.mapInArrow(run, "q int, low long, high long, n long").groupBy("q").agg(F.min("low"), F.max("high"), F.sum("n"))
+    return rows.select("row", "x").mapInArrow(run, "q int, low long, high long, n long").groupBy("q").agg(F.min("low"), F.max("high"), F.sum("n"))
 
 
 def _bin_width(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -116,16 +120,18 @@ def _round(rows: DataFrame, wave) -> DataFrame:
         width = _bin_width(w.low, w.high)
         total = np.zeros((len(w.ids), BINS + 1), np.int64)
         for batch in batches:
-            for at, ids, s in w.scores(batch):
+            for at, _, other, s in w.scores(batch):
                 low, high = w.low[at, None], w.high[at, None]
-                inside = (s >= low) & (s <= high) & (ids[None, :] != w.ids[at, None])
+                inside = (s >= low) & (s <= high) & other
                 bins = np.where(inside, ((s.astype(np.uint64) - low.astype(np.uint64)) // width[at, None]).astype(np.int64), BINS)
                 place = np.arange(len(s))[:, None] * (BINS + 1)
                 total[at] += np.bincount((bins + place).ravel(), minlength=len(s) * (BINS + 1)).reshape(len(s), -1)
-        q, k = np.nonzero(total[:, :BINS])
-        yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(total[q, k])], ["q", "bin", "n"])
+        for first in range(0, len(total), BLOCK):
+            part = total[first : first + BLOCK, :BINS]
+            q, k = np.nonzero(part)
+            yield pa.RecordBatch.from_arrays([pa.array((first + q).astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(part[q, k])], ["q", "bin", "n"])
 
-    return rows.mapInArrow(run, "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
+    return rows.select("row", "x").mapInArrow(run, "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
 
 
 def _thresholds(rows: DataFrame, wave: Wave, k: int) -> np.ndarray:
@@ -155,7 +161,7 @@ def _thresholds(rows: DataFrame, wave: Wave, k: int) -> np.ndarray:
 
 
 def _best(rows: DataFrame, wave: Wave, at: np.ndarray, first: int, k: int) -> DataFrame:
-    """In each task, the k best rows of each query from its k-th score: (q, query_id, vec_id, score)."""
+    """In each task, the k best rows of each query from its k-th score: (q, query_id, query_copy, vec_id, score)."""
     shared = rows.sparkSession.sparkContext.broadcast((wave, at))
 
     def run(batches):
@@ -171,50 +177,54 @@ def _best(rows: DataFrame, wave: Wave, at: np.ndarray, first: int, k: int) -> Da
 
         held = 0
         for batch in batches:
-            for block, ids, s in w.scores(batch):
-                q, j = np.nonzero((s >= least[block, None]) & (ids[None, :] != w.ids[block, None]))
-                out.append((q + block.start, ids[j], s[q, j]))
+            ids = batch.column(2).to_numpy(zero_copy_only=False)
+            for block, part, other, s in w.scores(batch):
+                q, j = np.nonzero((s >= least[block, None]) & other)
+                out.append((q + block.start, ids[part][j], s[q, j]))
                 held += len(q)
                 if held > 2 * k * len(w.ids) + 100_000:
                     out = [best()]
                     held = len(out[0][0])
         if out:
             q, v, s = best()
-            yield pa.RecordBatch.from_arrays([pa.array(first + q), pa.array(w.ids[q]), pa.array(v), pa.array(s)], ["q", "query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(first + q), pa.array(w.ids[q]), pa.array(w.copies[q]), pa.array(v), pa.array(s)], ["q", "query_id", "query_copy", "vec_id", "score"])
+
+    return rows.select("row", "x", "vec_id").mapInArrow(run, FOUND)
 
-    return rows.mapInArrow(run, "q long, query_id long, vec_id long, score long")
 
+def top_k(vectors: DataFrame, queries: Column | DataFrame, k: int = 10, scale: int = 1024, wave_bytes: int = 32 << 20) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score, query_copy: the ``k`` highest integer inner products of each query with all other rows.
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, wave_bytes: int = 32 << 20) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the ``k`` highest integer inner products of each query with all rows of other ids.
+    ``vectors`` has vec_id and embedding. ``queries`` is a condition on vec_id, and a query's own row is then no candidate for
+    it; or a table of vec_id and embedding from elsewhere, for which all rows are candidates. Ties go to the smaller vec_id; a
+    query with fewer other rows gets all. Rows are what is ranked: an id with several rows takes a rank for each, and each
+    query row has its own ranks, told apart by ``query_copy``, its place (from 1) among the query rows of its id by vector.
+    Vectors of unequal length count as padded with zeros, empty ones as zeros; no queries or no rows give an empty result.
 
-    ``vectors`` and ``queries`` have vec_id and embedding; a wave holds about ``wave_bytes`` of query vectors. Ties go to the smaller
-    vec_id; a query with fewer other rows gets all. Rows are what is ranked: an id with several rows takes a rank for each, and
-    each row of ``queries`` has its own ranks. Vectors of unequal length count as padded with zeros, empty ones
-    as zeros; no queries or no rows give an empty result.
+    ``wave_bytes`` bounds what a task holds for a wave: its query vectors as wide as the widest, or its counts, or its finds.
     """
     spark = vectors.sparkSession
-    rows = materialize(usable(vectors), "vectors")
-    asked = usable(queries).orderBy("vec_id", "x")
+    rows = materialize(usable(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors")  # numbers stay as written
+    asked = rows.where(queries) if isinstance(queries, Column) else usable(queries).withColumn("row", F.lit(-1).cast("long"))
     path = keep_until_exit(spark, f"{shared_dir(spark)}/silverframe/top-k-{uuid.uuid4().hex}")
-    ids: list[int] = []
-    xs: list[list[float]] = []
-    first = size = 0
+    held: list[tuple[int, int, int, list[float]]] = []
+    first = widest = copy = 0
+    last = None
 
     def flush():
-        wave = Wave(ids, xs, scale)
+        wave = Wave(*map(list, zip(*held, strict=True)), scale)
         _best(rows, wave, _thresholds(rows, wave, k), first, k).write.mode("append").parquet(path)
 
-    for r in asked.toLocalIterator():
-        if ids and size + 8 * len(r.x) + 8 > wave_bytes:
+    for r in asked.orderBy("vec_id", "x").toLocalIterator():
+        copy = copy + 1 if r.vec_id == last else 1
+        last, widest = r.vec_id, max(widest, len(r.x))
+        if held and 8 * (len(held) + 1) * max(widest, BINS + 1, 6 * k) > wave_bytes:
             flush()
-            first, size, ids, xs = first + len(ids), 0, [], []
-        ids.append(r.vec_id)
-        xs.append(list(r.x))
-        size += 8 * len(r.x) + 8
-    if not ids:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+            first, widest, held = first + len(held), len(r.x), []
+        held.append((r.vec_id, copy, r.row, list(r.x)))
+    if not held:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long, query_copy long")
     flush()
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")  # at most k rows of each task a query
-    found = spark.read.schema("q long, query_id long, vec_id long, score long").parquet(path)
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = spark.read.schema(FOUND).parquet(path)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "query_copy")
