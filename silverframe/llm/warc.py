@@ -245,8 +245,8 @@ def derive(headers: dict[str, str], block: bytes, date: str) -> list[str]:
     source = headers["WARC-Record-ID"]
     link = {"WARC-Refers-To": source, "WARC-Refers-To-Target-URI": headers.get("WARC-Target-URI"), "WARC-Refers-To-Date": headers.get("WARC-Date"), "WARC-Target-URI": headers.get("WARC-Target-URI"), "WARC-Source-Payload-Digest": headers.get("WARC-Payload-Digest"), "WARC-Source-Block-Digest": headers.get("WARC-Block-Digest"), "Source-Row": headers.get("Source-Row")}
     status, *sent = http.decode("utf-8", "replace").split(BREAK)
-    fields = [("http-status", status), *((f"http-{k.lower()}", v) for k, v in (x.split(": ", 1) for x in sent if ": " in x)), ("title", page["title"]), ("language", page["lang"]), ("text-digest", digest(page["text"].encode())), *(("outlink", _clean(x)) for x in page["links"])]
-    meta = "".join(f"{k}: {v}{BREAK}" for k, v in fields if v)
+    fields = [("http-status", status), *((f"http-{k.lower()}", v) for k, v in (x.split(": ", 1) for x in sent if ": " in x)), ("title", page["title"]), ("language", page["lang"]), ("text-digest", digest(page["text"].encode())), *(("outlink", x) for x in page["links"])]
+    meta = "".join(f"{_clean(k)}: {_clean(v)}{BREAK}" for k, v in fields if v)
     out = []
     for kind, mime, body in (("metadata", "application/warc-fields", meta), ("conversion", "text/plain; charset=utf-8", page["text"])):
         out.append(record_text({"WARC-Type": kind, "WARC-Record-ID": record_id(kind, source), "WARC-Date": date, **link, "WARC-Block-Digest": digest(body.encode()), "Content-Type": mime}, body))

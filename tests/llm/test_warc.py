@@ -91,3 +91,10 @@ def test_a_member_for_each_record(spark, tmp_path):
     assert n == 12
     assert sorted(r.source_row for r in warc.read_records(spark, str(tmp_path / "r")).collect()) == list(range(12))
     assert [list(warc.members(b"WARC/1.1")), list(warc.members(b""))] == [[b"WARC/1.1"], [b""]]
+
+
+def test_metadata_fields_stay_on_their_lines():
+    page = '<html lang="en\r\noutlink: http://evil/"><title>a\r\noutlink: b</title><a href="/x\r\ntitle: y">l</a>'
+    block = f"HTTP/1.1 200 OK\r\nX-A: 1\nlanguage: de\r\n\r\n{page}".encode()
+    meta = warc.derive({"WARC-Record-ID": "<urn:uuid:1>"}, block, "2024-01-01T00:00:00Z")[0].split("\r\n\r\n", 1)[1]
+    assert [x.split(": ", 1)[0] for x in re.split(r"[\r\n]+", meta.strip())] == ["http-status", "http-x-a", "title", "language", "text-digest", "outlink"]
