@@ -57,7 +57,9 @@ def record_text(headers: dict[str, str | None], block: str) -> str:
 
 def _clean(value: str | None) -> str | None:
     """A header value on one line."""
-    return None if value is None else re.sub(r"[\r\n]+", " ", value)
+    if value is None or ("\n" not in value and "\r" not in value):
+        return value
+    return re.sub(r"[\r\n]+", " ", value)
 
 
 def response_record(page_id: int | None, url: str | None, page: str | None, date: str, place: str = "") -> str:
@@ -95,6 +97,7 @@ def parse_records(data: bytes):
 _EASY = re.compile(r"([a-zA-Z][a-zA-Z0-9]*)((?:\s+[a-zA-Z-]+=\"[^\"<>]*\")*)\s*>")  # a start tag as most are
 _PAIR = re.compile(r"([a-zA-Z-]+)=\"([^\"]*)\"")
 _NAME = re.compile(r"[^\s/>]+")
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*+)>")
 _SKIP = re.compile(r"[\s/]*")
 _ATTRIBUTE = re.compile(r"=?[^\s/>=]*+")
 _VALUE = re.compile(r"\s*+=\s*+")
@@ -148,6 +151,14 @@ def tokens(markup: str):
             return
         if lt > at:
             yield "text", markup[at:lt], None
+        plain = _PLAIN.match(markup, lt)  # most tags
+        if plain:
+            slash, tag = plain.groups()
+            tag = tag.lower()
+            if slash or tag not in _RAW:
+                yield "end" if slash else "start", tag, None if slash else {}
+                at = plain.end()
+                continue
         after = markup[lt + 1 : lt + 2]
         closing = after == "/" and markup[lt + 2 : lt + 3].isalpha()
         if closing or after.isalpha():
@@ -234,7 +245,7 @@ def page_parts(markup: str) -> dict:
                 in_title = False
             if what in _LINES:
                 text.append("\n")
-    lines = (" ".join(x.split()) for x in "".join(text).split("\n"))
+    lines = (" ".join(x.split()) for x in "".join(text).split("\n") if x)
     return {"text": "\n".join(x for x in lines if x), "title": " ".join("".join(title).split()), "lang": lang, "links": links}
 
 
