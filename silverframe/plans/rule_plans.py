@@ -10,6 +10,7 @@ import struct
 from pyspark.sql import functions as F
 
 from silverframe.functions import settings as st
+from silverframe.operators.batches import dealt
 from silverframe.operators.catalog_documents import catalog_rows
 from silverframe.operators.document_rules import parsed_documents
 from silverframe.plans import fixtures as fx
@@ -108,10 +109,10 @@ _LISTED = ", ".join(f"({i}, '{p}', '{r}')" for i, (_, found) in enumerate(CASES)
 
 
 def _texts(spark, d):
-    """A part's key picks its case and is in its text. The cases are a small table of their own."""
+    """A part's key picks its case and is in its text. The cases are a small table of their own, sent to all, since a case is not to be one task's."""
     cases = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CASES)], "case int, text string")
     parts = fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % len(CASES)).cast("int").alias("case"))
-    return parts.join(cases, "case").select("id", F.replace("text", F.lit('"@"'), F.col("id").cast("string")).alias("text"))
+    return dealt(parts, "id").join(F.broadcast(cases), "case").select("id", F.replace("text", F.lit('"@"'), F.col("id").cast("string")).alias("text"))
 
 
 @query("document_rules", f" SELECT p_partkey AS id, path, rule FROM part JOIN (VALUES {_LISTED}) c(k, path, rule) ON p_partkey % {len(CASES)} = k")
