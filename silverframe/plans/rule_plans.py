@@ -142,7 +142,7 @@ def document_migration(spark, d):
     text = F.concat(F.lit('{"basic":{"exposure":'), (k % 9).cast("string"), F.lit('},"mixer":{"aqua":{"hue":'), (k % 7).cast("string"), F.lit('}},"effects":{"grain":1},"crop":'), crop, F.lit(',"curve":'), curve, F.lit("}"))
     at = lambda path: F.get_json_object("document", f"$.settings.{path}")
     points = F.from_json(at("curve.rgb"), "array<struct<x:double,y:double>>")
-    rows = parsed_documents(fx.table(spark, d, "part").select(k.alias("id"), text.alias("text")))
+    rows = parsed_documents(dealt(fx.table(spark, d, "part").select("p_partkey"), "p_partkey").select(k.alias("id"), text.alias("text")))
     return rows.select("id", "source", at("basic.exposure").cast("double").alias("exposure"), at("effects.grainRoughness").cast("double").alias("grain_roughness"), at("mixer.aqua.hue").cast("double").alias("hue"), F.round(F.get(points, F.lit(1))["y"], 9).alias("second_y"), F.when(points.isNotNull(), F.size(points)).alias("points"), F.concat_ws(" ", F.get("problems", F.lit(0))["path"], F.get("problems", F.lit(0))["rule"]).alias("problem")).withColumn("problem", F.nullif("problem", F.lit("")))
 
 

@@ -42,3 +42,7 @@ def test_size_without_a_text_is_exact():
     assert dr._size(document, None) <= dr._size(document, 5_000) <= dr.MAX_BYTES
     document["settings"]["more"] = "x" * dr.MAX_BYTES
     assert dr._size(document, dr.MAX_BYTES) > dr.MAX_BYTES
+
+
+def test_older_settings_are_dealt(spark, sf_dir):
+    assert rp.document_migration(spark, sf_dir).rdd.getNumPartitions() > 8
