@@ -156,7 +156,7 @@ def _catalogs(spark, d):
     second = F.concat(F.lit('{"pick":"none","rating":'), F.when(k % 7 == 0, "5.5").otherwise("0"), F.lit(',"colorLabel":null,"updatedAt":1}'))
     rest = F.when(k % 4 == 0, "").otherwise(F.concat(F.lit(',"albums":[{"id":"x","name":"N","entryIds":["a"],"createdAt":1,"updatedAt":'), n(k), F.lit('}],"archivedEntryIds":["b","c"]')))
     text = F.concat(F.lit('{"version":'), n(2 - k % 2), F.lit(',"rootPath":"/r","entries":{"a":'), first, F.lit(',"b":'), second, F.lit("}"), rest, F.lit("}"))
-    return fx.table(spark, d, "customer").select(k.alias("id"), text.alias("text"))
+    return dealt(fx.table(spark, d, "customer").select("c_custkey"), "c_custkey").select(k.alias("id"), text.alias("text"))
 
 
 @query("catalog_documents", """ WITH c AS (SELECT c_custkey AS k FROM customer), good AS (SELECT k FROM c WHERE k % 7 > 0)

@@ -46,3 +46,7 @@ def test_size_without_a_text_is_exact():
 
 def test_older_settings_are_dealt(spark, sf_dir):
     assert rp.document_migration(spark, sf_dir).rdd.getNumPartitions() > 8
+
+
+def test_catalogs_are_dealt(spark, sf_dir):
+    assert rp._catalogs(spark, sf_dir).rdd.getNumPartitions() > 8
