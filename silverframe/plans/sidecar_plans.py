@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from silverframe.functions import settings as st
 from silverframe.functions import sidecars as sc
 from silverframe.operators import sidecars
+from silverframe.operators.batches import dealt
 from silverframe.plans import fixtures as fx
 from silverframe.plans.library_plans import query
 
@@ -19,7 +20,7 @@ _mix = lambda j: 40 + j
 
 def part_settings(spark, d):
     """(id, settings): curves with three points, a crop, and a number for every other setting."""
-    p, k = fx.table(spark, d, "part"), F.col("p_partkey")
+    p, k = dealt(fx.table(spark, d, "part"), "p_partkey"), F.col("p_partkey")
     group = lambda g: [_value(i).alias(n.name) for i, (of, n) in enumerate(NUMBERS) if of == g]
     crop = F.struct((k % 2 == 0).alias("enabled"), ((k % 50) / 100.0).alias("x"), ((k % 30) / 64.0).alias("y"), F.lit(0.5).alias("width"), F.lit(0.25).alias("height"), *group("crop"), F.lit("original").alias("aspectPreset"), F.lit(1.0).alias("customAspectWidth"), F.lit(1.0).alias("customAspectHeight"))
     point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))

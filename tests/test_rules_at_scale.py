@@ -4,8 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from silverframe.functions import rules
+from silverframe.functions import settings as st
+from silverframe.functions import sidecars as sc
 from silverframe.operators import document_rules as dr
 from silverframe.plans import rule_plans as rp
+from silverframe.plans import sidecar_plans as sp
 
 
 def tasks(rows):
@@ -50,3 +53,28 @@ def test_older_settings_are_dealt(spark, sf_dir):
 
 def test_catalogs_are_dealt(spark, sf_dir):
     assert rp._catalogs(spark, sf_dir).rdd.getNumPartitions() > 8
+
+
+def test_a_fresh_sidecar_is_that_of_an_empty_one():
+    said = st.properties(st.DEFAULTS) | {"Odd": 'a"<&>\n\t\r b', "Items": ["<1&", '"2"'], "None": []}
+    for label in (None, "green", 'x"<'):
+        for masks, namespace in ((None, sc.MASKS), ("q", sc.MASKS), ("q", 'urn:x&"'), ("q", sc.XMP), ("q", sc.RDF)):
+            assert sc.write(None, said, 3, label, masks, namespace) == sc.write(sc.EMPTY, said, 3, label, masks, namespace)
+
+
+def test_reading_builds_no_document(monkeypatch):
+    text = sc.write(None, {"Tint": "1", "A": ["0, 0", "1, 1"]}, 4, "red", "q")[0]
+    odd = text.replace("<rdf:li>0, 0", "<rdf:li>0,<!--x--> <![CDATA[0]]><?p?>").replace("</rdf:RDF>", f'<rdf:Description xmlns:c="{sc.SETTINGS_NS}" c:Tint="2"/></rdf:RDF>')
+    monkeypatch.setattr(sc.minidom, "parseString", None)
+    assert sc.read(text) == sc.read(odd) == {"texts": {"Tint": "1"}, "lists": {"A": ["0, 0", "1, 1"]}, "xmp": {"Rating": "4", "Label": "red"}, "masks": "q", "error": None}
+    assert sc.read(odd + "<b/>")["error"] and sc.read("<a/>")["error"] == "no description"
+
+
+def test_sidecars_are_dealt(spark, sf_dir):
+    assert sp.part_settings(spark, sf_dir).rdd.getNumPartitions() > 8
+
+
+def test_settings_of_a_batch_come_in_parts(spark, sf_dir):
+    """Whole batches of settings as Python values took a task's memory."""
+    rows = sp.part_settings(spark, sf_dir).limit(100).coalesce(1).withColumns({"existing": F.lit(None).cast("string"), "rating": F.lit(1), "label": F.lit("red"), "masks": F.lit(None).cast("string")})
+    assert sc.sidecar_texts(rows).where("text is not null and error is null").count() == 100 and sc.ROWS <= 1_000
