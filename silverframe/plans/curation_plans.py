@@ -46,9 +46,10 @@ def deleted(spark, d):
 
 
 @query("selection_toggle", """ WITH t AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS s, max(l_partkey) AS hit, max(l_suppkey) + 1000000 AS miss FROM lineitem GROUP BY l_orderkey),
-    u AS (SELECT l_orderkey, list_filter(s, lambda x: x <> hit) AS without_hit, list_append(s, miss) AS with_miss FROM t)
+    u AS (SELECT l_orderkey, list_filter(s, lambda x: x <> hit) AS without_hit, CASE WHEN list_contains(s, miss) THEN list_filter(s, lambda x: x <> miss) ELSE list_append(s, miss) END AS with_miss FROM t)
     SELECT l_orderkey, array_to_string(without_hit, ',') AS without_hit, without_hit[-1] AS focus, array_to_string(with_miss, ',') AS with_miss FROM u""")
 def toggle(spark, d):
+    """An entry of the selection and one that is rarely in it, each toggled: out if it is in, else in at the end."""
     li = fx.table(spark, d, "lineitem")
     t = li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("s"), F.max("l_partkey").alias("hit"), (F.max("l_suppkey") + 1_000_000).alias("miss"))
     out = t.select("l_orderkey", "hit", al.toggled(F.col("s"), F.col("hit")).alias("a"), al.toggled(F.col("s"), F.col("miss")).alias("b"))
