@@ -50,7 +50,9 @@ def export_summary(results: DataFrame) -> DataFrame:
 
 def first_free_number(names: DataFrame, key: str, number: str) -> DataFrame:
     """For each key, the least number from 1 that isn't taken."""
-    taken = names.select(key, number).where(F.col(number) >= 1).distinct()
-    w = Window.partitionBy(key).orderBy(number)
-    gaps = taken.withColumn("k", F.row_number().over(w)).groupBy(key).agg(F.max(F.when(F.col(number) == F.col("k"), F.col("k"))).alias("top"))
-    return names.select(key).distinct().join(gaps, key, "left").select(key, (F.coalesce("top", F.lit(0)) + 1).cast("long").alias("free"))
+    keys = names.select(F.col(key).alias("_key"), F.col(number).alias("_number"))
+    taken = keys.where("_number >= 1").distinct()
+    w = Window.partitionBy("_key").orderBy("_number")
+    # names of our own: a number column of the name of the rank would be replaced by it
+    gaps = taken.withColumn("_rank", F.row_number().over(w)).groupBy("_key").agg(F.max(F.when(F.col("_number") == F.col("_rank"), F.col("_rank"))).alias("_top"))
+    return keys.select("_key").distinct().join(gaps, "_key", "left").select(F.col("_key").alias(key), (F.coalesce("_top", F.lit(0)) + 1).cast("long").alias("free"))
