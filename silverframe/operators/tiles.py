@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silverframe.functions.geometry import Rect, output_to_source
 from silverframe.functions.scalars import clamp, round_half_up
 
 PLANES = ("r", "g", "b")
@@ -46,7 +45,7 @@ def output_tiles(jobs: DataFrame, edge: int = 512, window: int = 1024) -> DataFr
 
     ``jobs``: image_id, width, height, orientation (1 to 8; null counts as 1), out_w, out_h, crop (``CROP``, may be null). A window
     bounds 25 places of the tile, widened by a pixel, after transformation, with a margin for perspective and distortion and one pixel
-    for interpolation. Tiles of images that are scaled down are smaller, so that a window without perspective or distortion stays at
+    for interpolation; a bound is rounded to a millionth of a pixel first, so that it doesn't hang on the last bit. Tiles of images that are scaled down are smaller, so that a window without perspective or distortion stays at
     about ``window`` pixels of edge. Jobs without a positive size give no tile.
     """
     c = F.col
@@ -64,19 +63,51 @@ def output_tiles(jobs: DataFrame, edge: int = 512, window: int = 1024) -> DataFr
     x0, x1 = F.greatest(F.lit(0), c("x") - 1), F.least(c("out_w"), c("x") + c("w") + 1)
     y0, y1 = F.greatest(F.lit(0), c("y") - 1), F.least(c("out_h"), c("y") + c("h") + 1)
 
-    def place(k: Column) -> Column:
-        u = (x0 + (x1 - x0) * (k % 5) / 4) / c("out_w")
-        v = (y0 + (y1 - y0) * F.floor(k / 5) / 4) / c("out_h")
-        box = Rect(s["x"], s["y"], s["width"], s["height"])
-        sx, sy = output_to_source(u, 1 - v, box, s["angle"], shown_w, shown_h, s["perspective_x"], s["perspective_y"], s["distortion"], F.coalesce(c("orientation"), F.lit(1)))
-        return F.struct(sx.alias("x"), sy.alias("y"))
-
-    at = grid.withColumn("places", F.transform(F.sequence(F.lit(0), F.lit(24)), place))
-    margin = (F.abs(s["perspective_x"]) + F.abs(s["perspective_y"])) * 0.001 + F.abs(s["distortion"]) * 0.00025
-    low = lambda a, n: F.greatest(F.lit(0), F.floor(F.greatest(F.lit(0.0), F.array_min(a) - margin) * n) - 1).cast("int")
-    high = lambda a, n: F.least(n, F.ceil(F.least(F.lit(1.0), F.array_max(a) + margin) * n) + 1).cast("int")
-    bounds = at.withColumns({"left": low(c("places.x"), c("width")), "top": low(c("places.y"), c("height")), "right": high(c("places.x"), c("width")), "bottom": high(c("places.y"), c("height"))})
-    return bounds.drop("places", "step")
+    numbers = {"x0": x0, "x1": x1, "y0": y0, "y1": y1, "shown_w": shown_w, "shown_h": shown_h, "turn": F.coalesce(c("orientation"), F.lit(1)), "image_w": c("width"), "image_h": c("height"), "image_out_w": c("out_w"), "image_out_h": c("out_h"), **{f"crop_{k}": v for k, v in s.items()}}
+    rows = grid.drop("step").withColumn("_n", F.struct(*(v.cast("double").alias(k) for k, v in numbers.items())))
+
+    given, settings = list(numbers), list(s)
+
+    def bound(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("_n")
+            n = {k: v.to_numpy(zero_copy_only=False)[:, None] for k, v in zip(given, batch.column(at).flatten(), strict=True)}
+            k = np.arange(25)
+            u, v = (n["x0"] + (n["x1"] - n["x0"]) * (k % 5) / 4) / n["image_out_w"], (n["y0"] + (n["y1"] - n["y0"]) * (k // 5) / 4) / n["image_out_h"]
+            crop = {name: n[f"crop_{name}"] for name in settings}
+            sx, sy = _stored(*_bent(u, v, crop, n["shown_w"], n["shown_h"]), n["turn"])
+            margin = ((np.abs(crop["perspective_x"]) + np.abs(crop["perspective_y"])) * 0.001 + np.abs(crop["distortion"]) * 0.00025)[:, 0]
+            columns = []
+            for places, size in ((sx, n["image_w"][:, 0]), (sy, n["image_h"][:, 0])):
+                # settings that are no numbers take the whole image
+                low = np.nan_to_num(np.maximum(0, places.min(axis=1) - margin), nan=0.0)
+                high = np.nan_to_num(np.minimum(1, places.max(axis=1) + margin), nan=1.0)
+                columns.append((np.maximum(0, np.floor(np.round(low * size, 6)) - 1), np.minimum(size, np.ceil(np.round(high * size, 6)) + 1)))
+            (left, right), (top, bottom) = columns
+            kept = batch.drop_columns(["_n"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(b.astype(np.int32)) for b in (left, top, right, bottom))], [*kept.schema.names, "left", "top", "right", "bottom"])
+
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_n").schema.fields)
+    return rows.mapInArrow(bound, f"{names}, left int, top int, right int, bottom int")
+
+
+def _bent(u: np.ndarray, v: np.ndarray, crop: dict, shown_w: np.ndarray, shown_h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Output coordinates after crop, rotation, perspective and distortion; of one job, or of a job a row."""
+    u, v = crop["x"] + u * crop["width"], crop["y"] + v * crop["height"]
+    mx, my = crop["x"] + crop["width"] / 2, crop["y"] + crop["height"] / 2
+    angle = np.radians(-crop["angle"])
+    px, py = (u - mx) * shown_w, (v - my) * shown_h
+    u, v = mx + (np.cos(angle) * px - np.sin(angle) * py) / shown_w, my + (np.sin(angle) * px + np.cos(angle) * py) / shown_h
+    dx, dy = u - 0.5, v - 0.5
+    bulge = (dx * dx + dy * dy) * crop["distortion"] * 0.001
+    u, v = u + dy * crop["perspective_x"] * 0.002 + dx * bulge, v + dx * crop["perspective_y"] * 0.002 + dy * bulge
+    return np.clip(u, 0, 1), np.clip(v, 0, 1)
+
+
+def _stored(u: np.ndarray, v: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Upright coordinates in the image as it is stored."""
+    u, v = np.where(turn >= 5, v, u), np.where(turn >= 5, u, v)
+    return np.where(np.isin(turn, (2, 3, 7, 8)), 1 - u, u), np.where(np.isin(turn, (3, 4, 6, 7)), 1 - v, v)
 
 
 def source_places(x: np.ndarray, y: np.ndarray, job: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -87,21 +118,8 @@ def source_places(x: np.ndarray, y: np.ndarray, job: dict) -> tuple[np.ndarray,
     u, v = (x + 0.5) / job["out_w"], (y + 0.5) / job["out_h"]
     if crop is not None:
         shown_w, shown_h = (height, width) if turn >= 5 else (width, height)
-        u, v = crop["x"] + u * crop["width"], crop["y"] + v * crop["height"]
-        mx, my = crop["x"] + crop["width"] / 2, crop["y"] + crop["height"] / 2
-        angle = np.radians(-crop["angle"])
-        px, py = (u - mx) * shown_w, (v - my) * shown_h
-        u, v = mx + (np.cos(angle) * px - np.sin(angle) * py) / shown_w, my + (np.sin(angle) * px + np.cos(angle) * py) / shown_h
-        dx, dy = u - 0.5, v - 0.5
-        bulge = (dx * dx + dy * dy) * crop["distortion"] * 0.001
-        u, v = u + dy * crop["perspective_x"] * 0.002 + dx * bulge, v + dx * crop["perspective_y"] * 0.002 + dy * bulge
-        u, v = np.clip(u, 0, 1), np.clip(v, 0, 1)
-    if turn >= 5:
-        u, v = v, u
-    if turn in (2, 3, 7, 8):
-        u = 1 - u
-    if turn in (3, 4, 6, 7):
-        v = 1 - v
+        u, v = _bent(u, v, crop, shown_w, shown_h)
+    u, v = _stored(u, v, turn)
     return u * width - 0.5, v * height - 0.5
 
 

@@ -93,8 +93,8 @@ _BYTE = "least(255, floor({} * 255 / 65535 + 0.5::DOUBLE))"
     uv AS (SELECT *, (greatest(0, x - 1) + (least(ow, x + w + 1) - greatest(0, x - 1)) * (k % 5) / 4.0::DOUBLE) / ow AS u, (greatest(0, y - 1) + (least(oh, y + h + 1) - greatest(0, y - 1)) * (k // 5) / 4.0::DOUBLE) / oh AS v FROM k)"""
     + PLACE.format(src="uv")
     + """, box AS (SELECT image_id, x, y, w, h, width, height, min(su) AS x0, max(su) AS x1, min(sv) AS y0, max(sv) AS y1, any_value((abs(px) + abs(py)) * 0.001::DOUBLE + abs(dist) * 0.00025::DOUBLE) AS mg FROM f GROUP BY ALL)
-    SELECT image_id, x::INTEGER AS x, y::INTEGER AS y, w::INTEGER AS w, h::INTEGER AS h, greatest(0, floor(greatest(0, x0 - mg) * width) - 1)::INTEGER AS "left", greatest(0, floor(greatest(0, y0 - mg) * height) - 1)::INTEGER AS top,
-        least(width, ceil(least(1, x1 + mg) * width) + 1)::INTEGER AS "right", least(height, ceil(least(1, y1 + mg) * height) + 1)::INTEGER AS bottom FROM box""",
+    SELECT image_id, x::INTEGER AS x, y::INTEGER AS y, w::INTEGER AS w, h::INTEGER AS h, greatest(0, floor(round(greatest(0, x0 - mg) * width, 6)) - 1)::INTEGER AS "left", greatest(0, floor(round(greatest(0, y0 - mg) * height, 6)) - 1)::INTEGER AS top,
+        least(width, ceil(round(least(1, x1 + mg) * width, 6)) + 1)::INTEGER AS "right", least(height, ceil(round(least(1, y1 + mg) * height, 6)) + 1)::INTEGER AS bottom FROM box""",
 )
 def source_windows(spark, d):
     return tiles.output_tiles(crops(spark, d), 8, 24).select("image_id", "x", "y", "w", "h", "left", "top", "right", "bottom")

@@ -2,7 +2,7 @@
 
 import duckdb
 
-from silverframe.operators import rollups
+from silverframe.operators import rollups, tiles
 from silverframe.plans import registry
 
 
@@ -23,3 +23,15 @@ def test_selection_toggle_of_large_keys(spark, tmp_path):
     con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
     assert got == set(con.sql(registry.oracle_sql()["selection_toggle"]).fetchall())
     assert (1, "1000005", 1_000_005, "1000009") in got
+
+
+def test_windows_dont_hang_on_the_last_bit(spark):
+    """A tile that starts at row 2 of 5 in an image of 15 rows needs the source from row 3 of 15 less a pixel, not two."""
+    jobs = spark.createDataFrame([(1441, 23, 15, 2, 5, 5, None)], f"image_id long, width int, height int, orientation int, out_w int, out_h int, crop {tiles.CROP}")
+    assert {r.top for r in tiles.output_tiles(jobs, 8, 24).where("y = 2").collect()} == {2}
+
+
+def test_windows_of_settings_that_are_no_numbers(spark):
+    nan = float("nan")
+    jobs = spark.createDataFrame([(1, 9, 7, 1, 2, 2, (0.0, 0.0, 1.0, 1.0, nan, 0.0, 0.0, 0.0))], f"image_id long, width int, height int, orientation int, out_w int, out_h int, crop {tiles.CROP}")
+    assert {(r.left, r.top, r.right, r.bottom) for r in tiles.output_tiles(jobs).collect()} == {(0, 0, 9, 7)}
