@@ -2,7 +2,7 @@
 
 Source images are tables of tiles on a grid (image_id, tx, ty, w, h, and r, g, b in row order). An output tile needs the part of
 the source that its transformed bounds touch: the parts are cut from the source tiles before they are shuffled to the output tile's
-group, so a task holds one window of the source and not an image.
+group, so a task holds one window of the source, or small ones of about as many pixels, and not an image.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from silverframe.functions.scalars import clamp, round_half_up
 
 PLANES = ("r", "g", "b")
+TILE = ("image_id", "tx", "ty", "x", "y", "w", "h")
 JOB = ("width", "height", "orientation", "out_w", "out_h", "crop")
 #: Crop settings of a job; a job without any keeps the whole image.
 CROP = "struct<x:double,y:double,width:double,height:double,angle:double,perspective_x:double,perspective_y:double,distortion:double>"
@@ -156,21 +157,39 @@ def render(tiles: DataFrame, jobs: DataFrame, source_edge: int = 512, edge: int
     place = {"px": c("sx") * source_edge + c("px") - c("left"), "py": c("sy") * source_edge + c("py") - c("top")}
     parts = parts.withColumns(place).drop("sx", "sy", "sw", "sh")
 
-    def draw(table: pa.Table) -> pa.Table:
-        job = table.slice(0, 1).drop_columns([*PLANES, "px", "py", "pw", "ph"]).to_pylist()[0]
+    def draw(parts: list[dict]) -> tuple:
+        job = parts[0]
         planes = [np.zeros((job["bottom"] - job["top"], job["right"] - job["left"])) for _ in PLANES]
-        places = zip(*(table[k].to_pylist() for k in ("px", "py", "pw", "ph")), strict=True)
-        for i, (x, y, w, h) in enumerate(places):
+        for part in parts:
+            x, y, w, h = (part[k] for k in ("px", "py", "pw", "ph"))
             for p, name in zip(planes, PLANES, strict=True):
-                if table[name][i].is_valid:
-                    p[y : y + h, x : x + w] = table[name][i].values.to_numpy(zero_copy_only=False).reshape(h, w)
+                if part[name] is not None:
+                    p[y : y + h, x : x + w] = part[name].reshape(h, w)
         y, x = np.mgrid[job["y"] : job["y"] + job["h"], job["x"] : job["x"] + job["w"]]
         drawn = sample(planes, *source_places(x, y, job), job["left"], job["top"], job["width"], job["height"])
-        return pa.table({k: [job[k]] for k in ("image_id", "tx", "ty", "x", "y", "w", "h")} | {n: [v.ravel()] for n, v in zip(PLANES, drawn, strict=True)}, schema=schema)
-
-    schema = pa.schema([("image_id", pa.int64()), *((k, pa.int32()) for k in ("tx", "ty", "x", "y", "w", "h")), *((p, pa.list_(pa.float64())) for p in PLANES)])
+        return (*(job[k] for k in TILE), *(v.ravel() for v in drawn))
+
+    def draw_all(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        rows = table.drop_columns([*PLANES, "_images", "_across", "_down"]).to_pylist()
+        for name in PLANES:
+            lists = table[name].chunk(0)
+            values, ends, there = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist(), lists.is_valid().to_pylist()
+            for row, start, end, valid in zip(rows, ends, ends[1:], there, strict=False):
+                row[name] = values[start:end] if valid else None
+        windows: dict[tuple, list[dict]] = {}
+        for row in rows:
+            windows.setdefault((row["image_id"], row["tx"], row["ty"]), []).append(row)
+        made = zip(*map(draw, windows.values()), strict=True)
+        return pa.table([pa.array(column, f.type) for column, f in zip(made, schema, strict=True)], schema=schema)
+
+    schema = pa.schema([("image_id", pa.int64()), *((k, pa.int32()) for k in TILE[1:]), *((p, pa.list_(pa.float64())) for p in PLANES)])
     typed = parts.withColumns({**{k: c(k).cast("int") for k in ("width", "height", "orientation", "out_w", "out_h", "x", "y", "w", "h")}, "image_id": c("image_id").cast("long"), "crop": F.when(c("crop").isNotNull(), F.struct(*(v.cast("double").alias(k) for k, v in _settings(c("crop")).items())))})
-    return typed.groupBy("image_id", "tx", "ty").applyInArrow(draw, "image_id long, tx int, ty int, x int, y int, w int, h int, r array<double>, g array<double>, b array<double>")  # the parts of one window
+    # a group is windows of about a million pixels together: one large window, or small ones of neighbouring tiles and images
+    many = max(1, (1 << 20) // window**2)
+    side = max(1, int(many**0.25))
+    group = {"_images": F.floor(c("image_id") / max(1, many // side**2)), "_across": F.floor(c("tx") / side), "_down": F.floor(c("ty") / side)}
+    return typed.withColumns(group).groupBy(*group).applyInArrow(draw_all, "image_id long, tx int, ty int, x int, y int, w int, h int, r array<double>, g array<double>, b array<double>")
 
 
 def joined_rows(tiles: DataFrame) -> DataFrame:

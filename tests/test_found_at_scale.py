@@ -35,3 +35,12 @@ def test_windows_of_settings_that_are_no_numbers(spark):
     nan = float("nan")
     jobs = spark.createDataFrame([(1, 9, 7, 1, 2, 2, (0.0, 0.0, 1.0, 1.0, nan, 0.0, 0.0, 0.0))], f"image_id long, width int, height int, orientation int, out_w int, out_h int, crop {tiles.CROP}")
     assert {(r.left, r.top, r.right, r.bottom) for r in tiles.output_tiles(jobs).collect()} == {(0, 0, 9, 7)}
+
+
+def test_small_windows_share_a_group(spark):
+    """Tiles of 8 x 8 were a group each; a window of full size still is."""
+    jobs = spark.createDataFrame([(i, 16, 16, 1, 16, 16, None) for i in range(-3, 5)], f"image_id long, width int, height int, orientation int, out_w int, out_h int, crop {tiles.CROP}")
+    src = spark.createDataFrame([(i, 0, 0, 16, 16, *[[float(i)] * 256] * 3) for i in range(-3, 5)], "image_id long, tx int, ty int, w int, h int, r array<double>, g array<double>, b array<double>")
+    drawn = tiles.render(src, jobs, 16, 8, 24)
+    assert {(r.image_id, *set(r.r)) for r in drawn.collect()} == {(i, float(i)) for i in range(-3, 5)} and drawn.count() == 32
+    assert "_across" in drawn._jdf.queryExecution().toString()
