@@ -64,15 +64,15 @@ def export_status(items: DataFrame) -> DataFrame:
 def overwrites_source(targets: DataFrame, sources: DataFrame, outputs: DataFrame) -> DataFrame:
     """Targets that would overwrite a source: the same path, real path, file id or folder and name.
 
-    Four equi-joins instead of one condition with or. A source that is an earlier output of ours is allowed, unless it
-    is selected now.
+    Four equi-joins instead of one condition with or: targets stream past the guarded keys, which are hashed, so a task
+    sorts and holds none of its targets. A source that is an earlier output of ours is allowed, unless it is selected now.
     """
     allowed = outputs.select("path").withColumn("ours", F.lit(True))
     guarded = sources.join(allowed, "path", "left").where(F.col("ours").isNull() | F.col("selected"))
     keys = [["path"], ["real_path"], ["device", "inode"], ["folder", "name"]]
     hits = None
     for k in keys:
-        part = targets.join(guarded.select(*k).distinct(), k, "left_semi").select("target")
+        part = targets.join(guarded.select(*k).distinct().hint("shuffle_hash"), k, "left_semi").select("target")
         hits = part if hits is None else hits.unionByName(part)
     return hits.distinct()
 

@@ -2,7 +2,7 @@
 
 import duckdb
 
-from silverframe.operators import rollups, tiles
+from silverframe.operators import exports, rollups, tiles
 from silverframe.plans import registry
 
 
@@ -44,3 +44,15 @@ def test_small_windows_share_a_group(spark):
     drawn = tiles.render(src, jobs, 16, 8, 24)
     assert {(r.image_id, *set(r.r)) for r in drawn.collect()} == {(i, float(i)) for i in range(-3, 5)} and drawn.count() == 32
     assert "_across" in drawn._jdf.queryExecution().toString()
+
+
+def test_guarded_keys_are_hashed(spark):
+    """A task held and sorted its targets for each of the four rules; now they stream past the keys."""
+    sources = spark.createDataFrame([("a", "ra", 1, 10, "f", "n", False), ("b", "rb", 1, 11, "f", "m", False), ("b2", "rc", 2, 10, "g", "n", True)], "path string, real_path string, device int, inode int, folder string, name string, selected boolean")
+    outputs = spark.createDataFrame([("b",), ("b2",)], "path string")
+    rows = [(1, "a", "x", 0, 0, "", ""), (2, "x", "rb", 1, 11, "f", "m"), (3, "x", "rc", 0, 0, "", ""), (4, "x", "x", 1, 10, "", ""), (5, "x", "x", 0, 0, "g", "n"), (5, "b2", "x", 0, 0, "g", "n"), (6, None, None, None, None, None, None)]
+    targets = spark.createDataFrame(rows, "target int, path string, real_path string, device int, inode int, folder string, name string")
+    found = exports.overwrites_source(targets, sources, outputs)
+    assert sorted(r.target for r in found.collect()) == [1, 3, 4, 5]
+    joins = [line for line in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "LeftSemi" in line]
+    assert len(joins) == 4 and all("ShuffledHashJoin" in line for line in joins)
