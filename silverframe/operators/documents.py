@@ -23,32 +23,43 @@ def _keys() -> Column:
     return F.coalesce(F.map_keys("assets"), F.array())
 
 
+def _parts(documents: DataFrame) -> DataFrame:
+    """Documents with their components and keys of assets as columns, so that each is worked out once."""
+    return documents.select("id", "masks", "assets", _components().alias("components"), _keys().alias("keys"))
+
+
+def _strokes() -> Column:
+    brush = F.filter("components", lambda c: c["kind"] == "brush")
+    return F.flatten(F.transform(brush, lambda c: F.coalesce(c["strokes"], F.array())))
+
+
+def _points(strokes: Column) -> Column:
+    return F.aggregate(strokes, F.lit(0), lambda n, s: n + F.coalesce(F.size(s["points"]), F.lit(0)))
+
+
 def totals(documents: DataFrame) -> DataFrame:
     """(id, n_masks, n_components, n_strokes, n_points, n_assets) of each document; nulls count as empty."""
-    brush = F.filter(_components(), lambda c: c["kind"] == "brush")
-    strokes = F.flatten(F.transform(brush, lambda c: F.coalesce(c["strokes"], F.array())))
-    points = F.aggregate(strokes, F.lit(0), lambda n, s: n + F.coalesce(F.size(s["points"]), F.lit(0)))
-    return documents.select("id", F.size(F.coalesce("masks", F.array())).alias("n_masks"), F.size(_components()).alias("n_components"), F.size(strokes).alias("n_strokes"), points.alias("n_points"), F.size(_keys()).alias("n_assets"))
+    row = _parts(documents).withColumn("strokes", _strokes())
+    return row.select("id", F.size(F.coalesce("masks", F.array())).alias("n_masks"), F.size("components").alias("n_components"), F.size("strokes").alias("n_strokes"), _points(F.col("strokes")).alias("n_points"), F.size("keys").alias("n_assets"))
 
 
 def violations(documents: DataFrame, max_strokes: int = MAX_STROKES, max_points: int = MAX_POINTS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(id, rule, subject): each broken rule of each document with the id it is about (null for limits).
 
     Rules: an id of masks and components that repeats, a component of kind ``ai`` without its asset, an asset that no
-    component refers to, limits of strokes, points and bytes as JSON.
+    component refers to, limits of strokes, points and bytes as JSON. A document is read once for all of them.
     """
-    ids = F.concat(F.transform(F.coalesce("masks", F.array()), lambda m: m["id"]), F.transform(_components(), lambda c: c["id"]))
+    ids = F.concat(F.transform(F.coalesce("masks", F.array()), lambda m: m["id"]), F.transform("components", lambda c: c["id"]))
+    referred = F.array_distinct(F.transform(F.filter("components", lambda c: c["kind"] == "ai"), lambda c: c["asset"]))
     # an id repeats if it sorts next to itself
-    ordered = F.array_sort(ids)
-    repeated = F.array_distinct(F.filter(ordered, lambda v, i: (i > 0) & (v == F.try_element_at(ordered, i))))
-    referred = F.array_distinct(F.transform(F.filter(_components(), lambda c: c["kind"] == "ai"), lambda c: c["asset"]))
-    about = lambda subjects, rule: F.transform(subjects, lambda v: F.struct(F.lit(rule).alias("rule"), v.alias("subject")))
-    row = documents.select("id", about(repeated, "repeated id").alias("a"), about(F.array_except(referred, _keys()), "missing asset").alias("b"), about(F.array_except(_keys(), referred), "unused asset").alias("c"), F.octet_length(F.to_json(F.struct("masks", "assets"))).alias("bytes"))
-    named = row.select("id", F.explode(F.concat("a", "b", "c")).alias("v")).select("id", "v.rule", "v.subject")
-    over = [("too many strokes", F.col("n_strokes") > max_strokes), ("too many points", F.col("n_points") > max_points)]
-    limits = totals(documents).select("id", F.explode(F.array_compact(F.array(*(F.when(broken, rule) for rule, broken in over)))).alias("rule"))
-    large = row.where(F.col("bytes") > max_bytes).select("id", F.lit("too large").alias("rule"))
-    return named.unionByName(limits.unionByName(large).withColumn("subject", F.lit(None).cast("string")))
+    row = _parts(documents).select("id", "keys", F.sort_array(ids).alias("ids"), referred.alias("referred"), _strokes().alias("strokes"), F.octet_length(F.to_json(F.struct("masks", "assets"))).alias("bytes"))
+    repeated = F.array_distinct(F.filter("ids", lambda v, i: (i > 0) & (v == F.try_element_at("ids", i))))
+    about = lambda subjects, rule: F.transform(subjects, lambda v: F.struct(F.lit(rule).alias("rule"), v.cast("string").alias("subject")))
+    named = F.concat(about(repeated, "repeated id"), about(F.array_except("referred", "keys"), "missing asset"), about(F.array_except("keys", "referred"), "unused asset"))
+    over = [("too many strokes", F.size("strokes") > max_strokes), ("too many points", _points(F.col("strokes")) > max_points), ("too large", F.col("bytes") > max_bytes)]
+    none = F.lit(None).cast("string")
+    limits = F.array_compact(F.array(*(F.when(broken, F.struct(F.lit(rule).alias("rule"), none.alias("subject"))) for rule, broken in over)))
+    return row.select("id", F.explode(F.concat(F.coalesce(named, F.array()), limits)).alias("v")).select("id", "v.rule", "v.subject")
 
 
 def canonical_assets(assets: Column) -> Column:

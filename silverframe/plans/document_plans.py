@@ -130,10 +130,13 @@ _DOCS = """ WITH c AS (SELECT l_orderkey AS id, 'm' || l_linenumber % 5 AS mask,
 def _documents(spark, d):
     li, o, c = fx.table(spark, d, "lineitem"), fx.table(spark, d, "orders"), F.col
     kind = F.when(c("l_returnflag") == "R", "ai").when(c("l_returnflag") == "A", "brush").otherwise("linear-gradient")
-    strokes = F.array(F.struct(F.sequence(F.lit(1), c("l_quantity").cast("int")).alias("points")))
-    part = F.struct(F.concat(F.lit("c"), (c("l_partkey") % 50).cast("string")).alias("id"), kind.alias("kind"), F.concat(F.lit("a"), (c("l_suppkey") % 3).cast("string")).alias("asset"), strokes.alias("strokes"))
-    mask = F.struct(F.concat(F.lit("m"), (c("l_linenumber") % 5).cast("string")).alias("id"), F.array(part).alias("components"))
-    masks = li.groupBy(c("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(mask)).alias("masks"))
+    name = lambda prefix, k: F.concat(F.lit(prefix), k.cast("string"))
+    short = F.struct(name("m", c("l_linenumber") % 5).alias("mask"), name("c", c("l_partkey") % 50).alias("id"), kind.alias("kind"), name("a", c("l_suppkey") % 3).alias("asset"), c("l_quantity").cast("int").alias("n"))
+    # points are made after the shuffle; their number sorts as they do
+    stroke = lambda v: F.struct(F.sequence(F.lit(1), v["n"]).alias("points"))
+    part = lambda v: F.struct(v["id"].alias("id"), v["kind"].alias("kind"), v["asset"].alias("asset"), F.array(stroke(v)).alias("strokes"))
+    mask = lambda v: F.struct(v["mask"].alias("id"), F.array(part(v)).alias("components"))
+    masks = li.groupBy(c("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(short)).alias("short")).select("id", F.transform("short", mask).alias("masks"))
     keys = F.array_distinct(F.array(*(F.concat(F.lit("a"), k.cast("string")) for k in (c("o_custkey") % 5, c("o_orderkey") % 3))))
     assets = o.select(c("o_orderkey").alias("id"), F.map_from_arrays(keys, F.transform(keys, lambda k: F.sha2(k, 256))).alias("assets"))
     return masks.join(assets, "id")

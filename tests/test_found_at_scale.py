@@ -2,7 +2,7 @@
 
 import duckdb
 
-from silverframe.operators import exports, rollups, tiles
+from silverframe.operators import documents, exports, rollups, tiles
 from silverframe.plans import registry
 
 
@@ -56,3 +56,22 @@ def test_guarded_keys_are_hashed(spark):
     assert sorted(r.target for r in found.collect()) == [1, 3, 4, 5]
     joins = [line for line in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "LeftSemi" in line]
     assert len(joins) == 4 and all("ShuffledHashJoin" in line for line in joins)
+
+
+def test_violations_read_a_document_once(spark):
+    kind = "id int, masks array<struct<id string, components array<struct<id string, kind string, asset string, strokes array<struct<points array<int>>>>>>>, assets map<string, string>"
+    brush = ("b", "brush", None, [([1, 2],), ([3],), (None,)])
+    rows = [
+        (1, [("m", [("m", "ai", "x", None), brush]), ("n", [("b", "ai", None, None)])], {"y": "1"}),
+        (2, [("m", None), ("m", [brush])], {"y": "1"}),  # components unknown: no rule about ids and assets, limits count nothing
+        (3, None, None),
+        (4, [("m", [brush, ("c", "brush", None, None)])], {}),
+    ]
+    found = documents.violations(spark.createDataFrame(rows, kind), max_strokes=2, max_points=2, max_bytes=100)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(
+        [(1, "repeated id", "m"), (1, "repeated id", "b"), (1, "missing asset", "x"), (1, "missing asset", None), (1, "unused asset", "y"), (1, "too many strokes", None), (1, "too many points", None), (1, "too large", None)]
+        + [(2, "too large", None), (4, "too many strokes", None), (4, "too many points", None), (4, "too large", None)],
+        key=str,
+    )
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "Union" not in plan and plan.count("structstojson") <= 1
