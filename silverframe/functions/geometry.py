@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from silverframe.functions.scalars import clamp, let, round_half_up
@@ -35,20 +35,30 @@ def clamp_crop(r: Rect) -> Rect:
     return Rect(F.greatest(F.lit(0.0), F.least(1 - w, r.x)), F.greatest(F.lit(0.0), F.least(1 - h, r.y)), w, h)
 
 
-def fit_rotation(r: Rect, angle: Column, iw: Column, ih: Column) -> Rect:
-    """A crop shrunk and moved so that its rotated box stays in the image."""
-    c = clamp_crop(r)
-    a = F.radians(F.abs(angle))
-    cos, sin = F.abs(F.cos(a)), F.abs(F.sin(a))
-    half_w = (cos * (c.width * iw) + sin * (c.height * ih)) / 2
-    half_h = (sin * (c.width * iw) + cos * (c.height * ih)) / 2
-    scale = F.least(F.lit(1.0), iw / (half_w * 2), ih / (half_h * 2))
-    w, h = c.width * scale, c.height * scale
-    bw, bh = half_w * scale, half_h * scale
-    x = F.greatest(bw, F.least(iw - bw, (c.x + c.width / 2) * iw)) / iw - w / 2
-    y = F.greatest(bh, F.least(ih - bh, (c.y + c.height / 2) * ih)) / ih - h / 2
-    still = angle.isNull() | F.isnan(angle) | (angle == 0) | (iw <= 0) | (ih <= 0)
-    return Rect(*(F.when(still, k).otherwise(v) for k, v in ((c.x, x), (c.y, y), (c.width, w), (c.height, h))))
+def fit_rotation(rows: DataFrame, r: Rect, angle: Column, iw: Column, ih: Column) -> DataFrame:
+    """``rows`` with a struct ``fitted`` (x, y, width, height): the crop shrunk and moved so that its rotated box stays in the image.
+
+    Each step is columns, since one expression would spell out the first steps again wherever the last ones use them.
+    """
+    mark = "_"
+    while any(n.startswith(mark) for n in rows.columns):
+        mark += "_"
+    col = lambda n: F.col(mark + n)
+    step = lambda df, **values: df.withColumns({mark + n: v for n, v in values.items()})
+    c, a = clamp_crop(r), F.radians(F.abs(angle))
+    df = step(rows, w=c.width, h=c.height, cos=F.abs(F.cos(a)), sin=F.abs(F.sin(a)))
+    x, y, w, h, cos, sin, half_w, half_h, scale = map(col, ("x", "y", "w", "h", "cos", "sin", "half_w", "half_h", "scale"))
+    df = step(df, x=F.greatest(F.lit(0.0), F.least(1 - w, r.x)), y=F.greatest(F.lit(0.0), F.least(1 - h, r.y)))
+    df = step(df, half_w=(cos * (w * iw) + sin * (h * ih)) / 2, half_h=(sin * (w * iw) + cos * (h * ih)) / 2)
+    df = step(df, scale=F.least(F.lit(1.0), iw / (half_w * 2), ih / (half_h * 2)))
+    df = step(df, bw=half_w * scale, bh=half_h * scale, to_w=w * scale, to_h=h * scale)
+    to_x = F.greatest(col("bw"), F.least(iw - col("bw"), (x + w / 2) * iw)) / iw - col("to_w") / 2
+    to_y = F.greatest(col("bh"), F.least(ih - col("bh"), (y + h / 2) * ih)) / ih - col("to_h") / 2
+    df = step(df, still=angle.isNull() | F.isnan(angle) | (angle == 0) | (iw <= 0) | (ih <= 0), to_x=to_x, to_y=to_y)
+    kept = {"x": x, "y": y, "width": w, "height": h}
+    moved = {"x": col("to_x"), "y": col("to_y"), "width": col("to_w"), "height": col("to_h")}
+    fitted = F.struct(*(F.when(col("still"), kept[n]).otherwise(moved[n]).alias(n) for n in kept))
+    return df.select(*(F.col(f"`{n}`") for n in rows.columns), fitted.alias("fitted"))
 
 
 def fit_ratio(r: Rect, ratio: Column) -> Rect:

@@ -317,7 +317,8 @@ def _keep(still, x):
 
 @query("crop_rotation_fit", _rect_sql(_ROT, _keep("cx", "greatest(hw * sc, least(iw - hw * sc, (cx + cw / 2) * iw)) / iw - cw * sc / 2"), _keep("cy", "greatest(hh * sc, least(ih - hh * sc, (cy + ch / 2) * ih)) / ih - ch * sc / 2"), _keep("cw", "cw * sc"), _keep("ch", "ch * sc"), "s"))
 def crop_rotation(spark, d):
-    return _rect_out(_crops(spark, d), geometry.fit_rotation(_rect(), F.col("angle"), F.col("iw"), F.col("ih")))
+    rows = geometry.fit_rotation(_crops(spark, d), _rect(), F.col("angle"), F.col("iw"), F.col("ih"))
+    return _rect_out(rows, Rect(*(F.col(f"fitted.{n}") for n in ("x", "y", "width", "height"))))
 
 
 _FIT = _CLAMPED + f", a AS (SELECT *, 1.5::DOUBLE * ih / iw AS ra FROM k), b AS (SELECT *, greatest(greatest(0.05::DOUBLE, 0.05::DOUBLE * ra), least(least(1.0::DOUBLE, ra), sqrt(cw * ch * ra))) AS nw FROM a), e AS (SELECT *, {s_clamp('nw', '0.05::DOUBLE')} AS fw, {s_clamp('nw / ra', '0.05::DOUBLE')} AS fh FROM b)"

@@ -1,7 +1,12 @@
 """Faults that only larger tables or other names showed."""
 
+import math
+
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
+from silverframe.functions import geometry
 from silverframe.operators import documents, exports, rollups, tiles
 from silverframe.plans import registry
 
@@ -75,3 +80,26 @@ def test_violations_read_a_document_once(spark):
     )
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate") == 1 and "Union" not in plan and plan.count("structstojson") <= 1
+
+
+def test_rotation_is_worked_out_once(spark):
+    """One expression spelled the sine and cosine out some twenty times; columns of the caller's names stay."""
+    cases = [(0.1, 0.2, 0.5, 0.4, 30.0, 3000.0, 2000.0), (-0.3, 0.9, 1.2, 0.01, -45.0, 2000.0, 3500.0), (0.4, 0.4, 0.2, 0.2, 0.0, 10.0, 10.0), (0.0, 0.0, 1.0, 1.0, float("nan"), 10.0, 10.0), (0.2, 0.2, 0.3, 0.3, 10.0, 0.0, 10.0), (0.5, 0.5, 0.5, 0.5, None, 9.0, 9.0)]
+    rows = spark.createDataFrame([(i, i * 7, *c) for i, c in enumerate(cases)], "_w int, __scale int, x double, y double, w double, h double, angle double, iw double, ih double")
+    fitted = geometry.fit_rotation(rows, geometry.Rect(*map(F.col, "xywh")), F.col("angle"), F.col("iw"), F.col("ih"))
+    assert fitted.columns == [*rows.columns, "fitted"]
+    for r in fitted.collect():
+        assert r["__scale"] == r["_w"] * 7
+        x, y, w, h, angle, iw, ih = cases[r["_w"]]
+        w, h = min(1, max(0.05, w)), min(1, max(0.05, h))
+        x, y = max(0, min(1 - w, x)), max(0, min(1 - h, y))
+        if angle and not math.isnan(angle) and iw > 0:
+            cos, sin = abs(math.cos(math.radians(angle))), abs(math.sin(math.radians(angle)))
+            bw, bh = (cos * w * iw + sin * h * ih) / 2, (sin * w * iw + cos * h * ih) / 2
+            k = min(1, iw / (2 * bw), ih / (2 * bh))
+            x = max(bw * k, min(iw - bw * k, (x + w / 2) * iw)) / iw - w * k / 2
+            y = max(bh * k, min(ih - bh * k, (y + h / 2) * ih)) / ih - h * k / 2
+            w, h = w * k, h * k
+        assert tuple(r.fitted) == pytest.approx((x, y, w, h))
+    query = registry.queries()["crop_rotation_fit"](spark, "/root/testdata/sf0.001")
+    assert query._jdf.queryExecution().optimizedPlan().toString().count("COS(") == 1
