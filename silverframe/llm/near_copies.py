@@ -43,20 +43,30 @@ def _texts(piece: pa.RecordBatch) -> list[bytes]:
     return [x or b"" for x in piece.column("text").cast(pa.binary()).to_pylist()]
 
 
-def sketches(rows: DataFrame, shingle: int) -> DataFrame:
-    """_row, same and bands of the rows (_row, text) that have words."""
-
-    def run(batches):
-        for batch in batches:
-            for piece in by_bytes(batch, limit=1 << 20):
-                hashes, sizes = text_hash.shingles(_texts(piece), shingle)
-                some = np.flatnonzero(sizes)
-                if len(some):
-                    same, bands = sketch(hashes, sizes[some])
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
-                    yield pa.RecordBatch.from_arrays([piece.column("_row").take(pa.array(some)), pa.array(same.view(np.int64)), lists], ["_row", "same", "bands"])
-
-    return rows.select("_row", "text").mapInArrow(run, "_row long, same long, bands array<long>")
+def piece_sketches(piece: pa.RecordBatch, shingle: int) -> list[pa.Array]:
+    """same and bands of each text of a batch, null where it has no words."""
+    hashes, sizes = text_hash.shingles(_texts(piece), shingle)
+    some = sizes > 0
+    if not some.any():
+        return [pa.nulls(len(sizes), pa.int64()), pa.nulls(len(sizes), pa.list_(pa.int64()))]
+    same, bands = sketch(hashes, sizes[some])
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(same) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
+    at = pa.array(np.cumsum(some) - 1, mask=~some)
+    return [pa.array(same.view(np.int64)).take(at), lists.take(at)]
+
+
+def numbered_in(rows: DataFrame, row: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose number (column ``row``, from 0) is among those ``wanted`` (_row).
+
+    The numbers are broadcast as bitmaps, a bit for each row in blocks of 32,768, so that wide rows are filtered where they
+    are and not shuffled.
+    """
+    blocks = wanted.select(F.shiftright("_row", 15).alias("block"), F.col("_row").bitwiseAND(F.lit(32767)).alias("at")).repartition("block")
+    blocks = blocks.groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits"))
+    at = rows[row].bitwiseAND(F.lit(32767))
+    byte = F.conv(F.hex(F.substring(blocks["bits"], F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1
+    return rows.join(F.broadcast(blocks), (F.shiftright(rows[row], 15) == blocks["block"]) & held, "left_semi")
 
 
 def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
@@ -107,18 +117,20 @@ class Bucket:
         return found
 
 
-def near_copy_links(rows: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """Links (u, v) of the nodes of near copies. rows: _row, doc_id, text and a node; links of a node with itself are left out."""
-    drawn = sketches(rows, shingle).join(rows.select("_row", "node", F.col("doc_id").cast("long").alias("id")), "_row")
-    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "_row")
-    classes = materialize(drawn.groupBy("same", "node").agg(F.min(order).alias("at"), F.first("bands").alias("bands")), "sketch-classes")
+def near_copy_links(drawn: DataFrame, rows: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """Links (u, v) of the nodes of near copies; links of a node with itself are left out.
+
+    drawn: _row, doc_id, a node, and same and bands of :func:`piece_sketches`; rows: _row (a number from 0) and text.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "_row")
+    classes = materialize(drawn.where("same is not null").groupBy("same", "node").agg(F.min(order).alias("at"), F.first("bands").alias("bands")), "sketch-classes")
     equal = classes.join(classes.groupBy("same").agg(F.min("node").alias("v")), "same").where("node <> v").select(F.col("node").alias("u"), "v")
     dealt = classes.select("node", "at", F.posexplode("bands").alias("b", "v"))
     buckets = dealt.groupBy("b", "v").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("at._row")).alias("who")).where("n > 1")
     once = buckets.groupBy("n", "who").agg(F.min(F.struct("b", "v")).alias("k")).select("k.b", "k.v")
     members = materialize(dealt.join(once, ["b", "v"]), "sketch-buckets")
     wanted = members.select(F.col("at._row").alias("_row")).distinct()
-    sets = materialize(shingle_sets(rows.join(wanted, "_row", "left_semi"), shingle), "shingle-sets")
+    sets = materialize(shingle_sets(numbered_in(rows.select("_row", "text"), "_row", wanted), shingle), "shingle-sets")
     streams = members.withColumn("_row", F.col("at._row")).join(sets, "_row").select("b", "v", "at", "node", "set").repartition("b", "v").sortWithinPartitions("b", "v", "at")
 
     def run(batches):

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from silverframe.llm.common import by_bytes, drop_table, materialize, table_path
 from silverframe.llm.components import connected_components
-from silverframe.llm.near_copies import near_copy_links
+from silverframe.llm.near_copies import near_copy_links, numbered_in, piece_sketches
 
 LEAF_PAIRS, TOGETHER = 64, 200_000
 
@@ -42,28 +42,43 @@ def fingerprint_hashes(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def piece_fingerprints(piece: pa.RecordBatch, shingle: int, seed: int) -> pa.Array:
+    """The fingerprint of each text of a batch, as a signed long."""
+    from xxhash import xxh64_intdigest
+
+    digest = partial(xxh64_intdigest, seed=seed)
+    hashes, sizes = [], []
+    for raw in piece.column("text").cast(pa.binary()).to_pylist():
+        words = (raw or b"").lower().split()  # bytes: A-Z and the six ASCII spaces only
+        grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)] if words else ()
+        found = np.fromiter(map(digest, grams), np.uint64)
+        hashes.append(found)
+        sizes.append(len(found))
+    return pa.array(fingerprint_hashes(np.concatenate(hashes), np.array(sizes)).view(np.int64))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of every document."""
 
     def run(batches):
-        from xxhash import xxh64_intdigest
-
-        digest = partial(xxh64_intdigest, seed=seed)
         for batch in batches:
             for piece in by_bytes(batch, limit=1 << 20):
-                hashes, sizes = [], []
-                for raw in piece.column("text").cast(pa.binary()).to_pylist():
-                    words = (raw or b"").lower().split()  # bytes: A-Z and the six ASCII spaces only
-                    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)] if words else ()
-                    found = np.fromiter(map(digest, grams), np.uint64)
-                    hashes.append(found)
-                    sizes.append(len(found))
-                fp = fingerprint_hashes(np.concatenate(hashes), np.array(sizes))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece_fingerprints(piece, shingle, seed)], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
+def drawn(plain: DataFrame, shingle: int, seed: int, near: int = 5) -> DataFrame:
+    """Fingerprints (as node) and MinHash sketches of ``near``-word shingles, in one reading of the texts. plain: _row, doc_id, text."""
+
+    def run(batches):
+        for batch in batches:
+            for piece in by_bytes(batch, limit=1 << 20):
+                yield pa.RecordBatch.from_arrays([piece.column("_row"), piece.column("doc_id"), piece_fingerprints(piece, shingle, seed), *piece_sketches(piece, near)], ["_row", "doc_id", "node", "same", "bands"])
+
+    return plain.select("_row", "doc_id", "text").mapInArrow(run, "_row long, doc_id long, node long, same long, bands array<long>")
+
+
 class Forest:
     """Least-index labels of linked rows, folded in block by block."""
 
@@ -222,12 +237,9 @@ def one_per_group(docs: DataFrame, bits: int = 3, shingle: int = 3, seed: int =
         row = f"_{row}"
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     plain = numbered.select(F.col(row).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = plain.select(F.col("_row").alias("doc_id"), "text")
-    prints = materialize(fingerprints(ids, shingle, seed), "fingerprints").withColumnRenamed("doc_id", "_row")
-    texts = plain.join(prints.select("_row", F.col("fp").alias("node")), "_row")
-    links = near_links(prints.select("fp").distinct(), bits).unionByName(near_copy_links(texts, similarity))
-    roots = connected_components(links).withColumnRenamed("node", "fp")
-    grouped = prints.join(roots, "fp", "left").select("_row", F.coalesce("root", "fp").alias("root"))
-    named = grouped.join(plain.select("_row", F.col("doc_id").alias("id")), "_row")
-    kept = named.groupBy("root").agg(F.min_by("_row", F.struct(F.col("id").isNull(), "id", "_row")).alias("_row"))
-    return numbered.join(kept.select(F.col("_row").alias(row)), row, "left_semi").select(*docs.columns)
+    prints = materialize(drawn(plain, shingle, seed), "fingerprints")
+    links = near_links(prints.select(F.col("node").alias("fp")).distinct(), bits).unionByName(near_copy_links(prints, plain, similarity))
+    roots = connected_components(links)
+    grouped = prints.select("_row", F.col("doc_id").alias("id"), "node").join(roots, "node", "left").select("_row", "id", F.coalesce("root", "node").alias("root"))
+    kept = grouped.groupBy("root").agg(F.min_by("_row", F.struct(F.col("id").isNull(), "id", "_row")).alias("_row"))
+    return numbered_in(numbered, row, kept.select("_row")).select(*docs.columns)

@@ -8,9 +8,10 @@ import pytest
 pytest.importorskip("corpus_pipeline")
 import corpus_pipeline as cp
 from silverframe.llm import pii
-from silverframe.llm.near_copies import Bucket
+from silverframe.llm.near_copies import Bucket, numbered_in
 from silverframe.llm import queries as Q
 from silverframe.llm import toxicity as tox
+from silverframe.llm.simhash import one_per_group
 from tests.llm.test_decontamination import grams
 from tests.llm.test_simhash import brute_print
 from tests.llm.test_tokens import check_pieces, library
@@ -110,3 +111,21 @@ def test_copies_of_copies_are_linked():
         for i, j in itertools.combinations(range(len(sets)), 2):
             if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])):
                 assert top(i) == top(j)
+
+
+def test_texts_are_not_shuffled_to_be_filtered(spark):
+    """Each filter by row numbers shuffled all texts where its numbers weren't few."""
+    numbers = [*range(0, 70_000, 7), *(3 * 2**33 + n for n in (0, 1, 32_767, 32_768, 40_000)), 2**45]
+    rows = spark.createDataFrame([(n, "b", n % 5) for n in numbers], "n long, bits string, block int")
+    wanted = [n for n in numbers if n % 3 == 0 or n > 2**40] + [1, 2**33]
+    kept = numbered_in(rows, "n", spark.createDataFrame([(n,) for n in wanted], "_row long"))
+    assert kept.columns == rows.columns and sorted(r.n for r in kept.collect()) == sorted(set(numbers) & set(wanted))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stays = one_per_group(spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d e f"), (3, None), (4, "other words")], "doc_id long, text string"))
+        assert sorted(r.doc_id for r in stays.collect()) == [1, 3, 4]
+        joins = [x for x in stays._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in x]
+        assert "BroadcastHashJoin" in joins[0] and "LeftSemi" in joins[0]  # the uppermost, of whole rows
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
