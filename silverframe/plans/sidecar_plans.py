@@ -18,8 +18,8 @@ _sql = lambda i: f"((p_partkey * {2 * i + 3} % 401 - 200) / 2.0::DOUBLE)"  # noq
 _mix = lambda j: 40 + j
 
 
-def part_settings(spark, d):
-    """(id, settings): curves with three points, a crop, and a number for every other setting."""
+def part_settings(spark, d, *also):
+    """(id, settings) and ``also`` of each part: curves with three points, a crop, and a number for every other setting."""
     p, k = dealt(fx.table(spark, d, "part"), "p_partkey"), F.col("p_partkey")
     group = lambda g: [_value(i).alias(n.name) for i, (of, n) in enumerate(NUMBERS) if of == g]
     crop = F.struct((k % 2 == 0).alias("enabled"), ((k % 50) / 100.0).alias("x"), ((k % 30) / 64.0).alias("y"), F.lit(0.5).alias("width"), F.lit(0.25).alias("height"), *group("crop"), F.lit("original").alias("aspectPreset"), F.lit(1.0).alias("customAspectWidth"), F.lit(1.0).alias("customAspectHeight"))
@@ -27,7 +27,7 @@ def part_settings(spark, d):
     curve = F.array(point(F.lit(0.0), (k % 16) / 255.0), point((k % 100 + 50) / 255.0, (k % 200) / 255.0), point(F.lit(1.0), F.lit(1.0)))
     mixer = F.struct(*(F.struct(*(_value(_mix(3 * a + b)).alias(n) for b, (n, _) in enumerate(st.BAND))).alias(c) for a, c in enumerate(st.COLORS)))
     curves = F.struct(*(curve.alias(c) for c, _ in st.CURVES))
-    return p.select(k.alias("id"), F.struct(F.struct(*group("basic")).alias("basic"), crop.alias("crop"), curves.alias("curve"), mixer.alias("mixer"), F.struct(*group("effects")).alias("effects")).cast(st.SETTINGS).alias("settings"))
+    return p.select(k.alias("id"), F.struct(F.struct(*group("basic")).alias("basic"), crop.alias("crop"), curves.alias("curve"), mixer.alias("mixer"), F.struct(*group("effects")).alias("effects")).cast(st.SETTINGS).alias("settings"), *also)
 
 
 def part_sidecars(spark, d):
@@ -121,8 +121,10 @@ _EXPOSURE = next(i for i, (_, n) in enumerate(NUMBERS) if n.name == "exposure")
 @query("sidecar_foreign", f""" SELECT p_partkey AS id, p_name AS creator, p_brand AS keyword, 'keep' AS remark, 'x' AS second, (p_partkey % 6)::INTEGER AS rating,
     CASE WHEN p_partkey % 3 = 0 THEN 'green' END AS color_label, {_fixed(_sql(_EXPOSURE), 2)} AS exposure FROM part""")
 def foreign(spark, d):
-    """Files of another application, written over: its own data is still there, ours is new."""
-    p = fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_brand")
+    """Files of another application, written over: its own data is still there, ours is new.
+
+    A file's text is made beside its settings, after the shuffle: by size, Spark would broadcast the texts of a table of short columns.
+    """
     text = F.concat(
         F.lit(f'<?xpacket begin=""?><x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="{sc.RDF}"><!--keep--><rdf:Description xmlns:dc="urn:dc" xmlns:c="{sc.SETTINGS_NS}" xmlns:xmp="{sc.XMP}" c:Exposure2012="+9.99" xmp:Label="Old" xmp:Rating="9" dc:creator="'),
         "p_name",
@@ -130,7 +132,7 @@ def foreign(spark, d):
         "p_brand",
         F.lit('</rdf:li></rdf:Bag></dc:subject></rdf:Description><rdf:Description xmlns:o="urn:o" o:second="x"/></rdf:RDF></x:xmpmeta><?xpacket end="w"?>'),
     )
-    rows = part_settings(spark, d).join(p.select("id", text.alias("existing")), "id").withColumns({"masking": F.lit(None).cast("string"), "assets": F.lit(None).cast("string"), "rating": (F.col("id") % 6).cast("int"), "color_label": F.when(F.col("id") % 3 == 0, "green")})
+    rows = part_settings(spark, d, text.alias("existing")).where("id IS NOT NULL").withColumns({"masking": F.lit(None).cast("string"), "assets": F.lit(None).cast("string"), "rating": (F.col("id") % 6).cast("int"), "color_label": F.when(F.col("id") % 3 == 0, "green")})
     new = sidecars.sidecar_contents(rows)
     said = new.select("id", "contents", sc.sidecar_properties(F.col("contents")).alias("p"))
     inside = lambda pattern: F.nullif(F.regexp_extract("contents", pattern, 1), F.lit(""))

@@ -74,6 +74,17 @@ def test_sidecars_are_dealt(spark, sf_dir):
     assert sp.part_settings(spark, sf_dir).rdd.getNumPartitions() > 8
 
 
+def test_foreign_texts_stay_with_their_parts(spark, tmp_path):
+    """Texts were joined to their parts' settings, by a broadcast of all of them; a part that comes twice came four times."""
+    parts = spark.createDataFrame([(7, "hot bolt", "Brand#7"), (7, "big nut", "Brand#1"), (9, None, "Brand#2"), (None, "no key", "Brand#3")], "p_partkey long, p_name string, p_brand string")
+    parts.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    found = sp.foreign(spark, str(tmp_path))
+    # without a name there is no file of the other application
+    assert sorted(tuple(r)[:7] for r in found.collect()) == [(7, "big nut", "Brand#1", "keep", "x", 1, None), (7, "hot bolt", "Brand#7", "keep", "x", 1, None), (9, None, None, None, None, 3, "green")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation") == 1
+
+
 def test_settings_of_a_batch_come_in_parts(spark, sf_dir):
     """Whole batches of settings as Python values took a task's memory."""
     rows = sp.part_settings(spark, sf_dir).limit(100).coalesce(1).withColumns({"existing": F.lit(None).cast("string"), "rating": F.lit(1), "label": F.lit("red"), "masks": F.lit(None).cast("string")})
