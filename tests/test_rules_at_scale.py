@@ -1,5 +1,6 @@
 """Documents, catalogs and sidecars: work dealt over tasks, values told to be fine without a walk."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,23 @@ def test_reading_builds_no_document(monkeypatch):
     assert sc.read(odd + "<b/>")["error"] and sc.read("<a/>")["error"] == "no description"
 
 
+def test_new_properties_of_a_foreign_file_are_no_nodes(monkeypatch):
+    """Some seventy attributes and lists were made as nodes of the document, only to be written as text."""
+    monkeypatch.setattr(sc.minidom.Element, "setAttributeNS", None)
+    monkeypatch.setattr(sc.minidom.Document, "createElementNS", None)
+    start, end = f'<a xmlns:r="{sc.RDF}" xmlns:crs="urn:other"><!--k-->', "<r:Description/></a>"
+    there = f'<r:Description xmlns:c="{sc.SETTINGS_NS}" crs:Tint="1" c:Tint="2" c:Own="3"><c:A>4</c:A>t<crs:A/><c:A/></r:Description>'
+    new = f'<r:Description xmlns:c="{sc.SETTINGS_NS}" crs:Tint="1" c:Own="3" xmlns:xmp="{sc.XMP}" c:Tint="&quot;5&lt;" xmp:Rating="4" xmlns:masks="{sc.MASKS}" masks:MaskingData="q">t<crs:A/><c:A><r:Seq><r:li>6&amp;</r:li></r:Seq></c:A><c:B><r:Seq/></c:B></r:Description>'
+    assert sc.write(start + there + end, {"A": ["6&"], "Tint": '"5<', "B": []}, 4, None, "q") == (start + new + end, None)
+
+
+def test_values_of_nested_columns():
+    point = pa.struct([("x", pa.float64()), ("y", pa.string())])
+    rows = [None, {"a": None, "b": {"l": [{"x": 1.5, "y": "q"}, None]}}, {"a": 2.0, "b": None}, {"a": 3.0, "b": {"l": None}}, {"a": 4.0, "b": {"l": []}}]
+    array = pa.array(rows, pa.struct([("a", pa.float64()), ("b", pa.struct([("l", pa.list_(point))]))]))
+    assert all(sc._values(array.slice(i, n)) == rows[i : i + n] for i in range(5) for n in range(6))
+
+
 def test_sidecars_are_dealt(spark, sf_dir):
     assert sp.part_settings(spark, sf_dir).rdd.getNumPartitions() > 8
 
